@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import snap
 from ..config import ModelRules
 from ..functions.tables import WALLET_FEATURES
 from ..session import cut
@@ -153,7 +154,7 @@ def assign_nearest(df: DataFrame, labelled: DataFrame, cols: list[str], key: str
 def cluster_entities(df: DataFrame, cols: list[str], key: str = "address", cfg: ModelRules = ModelRules()) -> DataFrame:
     """(key, cluster_label): all rows when few, else a seeded sample and nearest centres for the rest."""
     cols = list(cols)
-    scaled = standard_scale(clean_matrix(df.select(key, *cols), cols), cols)
+    scaled = cut(standard_scale(clean_matrix(df.select(key, *cols), cols), cols))
     few = scaled.limit(cfg.dbscan_max_rows + 1).count() <= cfg.dbscan_max_rows
     if few:
         return dbscan(scaled, cols, key, cfg.dbscan_eps, cfg.dbscan_min_samples, cfg.dbscan_max_rows)
@@ -181,7 +182,7 @@ def cluster_profile(df: DataFrame, labels: DataFrame, cols=WALLET_FEATURES, key:
         .otherwise(F.concat(head, F.lit("Behaviorally Correlated Group")))
     )
     return means.select(
-        "cluster_label", name.alias("cluster_name"), "member_count", *[F.bround(f"m_{c}", 4).alias(c) for c in cols]
+        "cluster_label", name.alias("cluster_name"), "member_count", *[snap(f"m_{c}", 4).alias(c) for c in cols]
     )
 
 

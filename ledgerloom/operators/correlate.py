@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import snap
 from ..config import LeadRules
 from .spread import around
 
@@ -98,7 +99,7 @@ def join_wallets(
 
 
 def decay(diff_s: Column, window_s: float) -> Column:
-    return F.bround(F.greatest(F.lit(0.0), 1.0 - diff_s / F.lit(window_s)), 4)
+    return snap(F.greatest(F.lit(0.0), 1.0 - diff_s / F.lit(window_s)), 4)
 
 
 def _obs_struct() -> Column:
@@ -112,11 +113,11 @@ def exact_match(tx: DataFrame, obs: DataFrame) -> DataFrame:
         .groupBy(F.col("network_txid").alias("txid"))
         .agg(F.max_by(_obs_struct(), "obs_id").alias("hit"))
     )
-    gap = F.abs(F.col("ts_us") - F.col("hit.obs_us")) / 1e6
+    gap = F.abs(F.col("ts_us") - F.col("obs_us")) / 1e6
     return (
         tx.select("txid", "ts_us")
-        .join(last, "txid")
-        .withColumn("time_difference_seconds", F.bround(F.coalesce(gap, F.lit(0.0)), 2))
+        .join(last.select("txid", "hit.*"), "txid")
+        .withColumn("time_difference_seconds", snap(F.coalesce(gap, F.lit(0.0)), 2))
         .withColumn("network_confidence", F.lit(1.0))
         .withColumn("correlation_method", F.lit("exact_txid"))
     )
@@ -138,7 +139,7 @@ def nearest_match(tx: DataFrame, obs: DataFrame, window_s: float = 120.0) -> Dat
     line = (
         asked.withColumn("ask", F.lit(True))
         .join(seen, "t", "full_outer")
-        .withColumn("obs", F.when(F.col("obs").isNotNull(), F.struct("t", "obs.*")))
+        .withColumn("obs", F.when(F.col("obs").isNotNull(), F.struct("t", "obs")))
     )
     near = around(line, [], "t", "obs").filter("ask")
     back, ahead = F.col("t") - F.col("mark_before.t"), F.col("mark_after.t") - F.col("t")
@@ -146,14 +147,15 @@ def nearest_match(tx: DataFrame, obs: DataFrame, window_s: float = 120.0) -> Dat
     pick_back = F.coalesce(back, far) <= F.coalesce(ahead, far)
     chosen = near.select(
         F.col("t").alias("ts_us"),
-        F.when(pick_back, F.col("mark_before")).otherwise(F.col("mark_after")).dropFields("t").alias("hit"),
+        F.when(pick_back, F.col("mark_before")).otherwise(F.col("mark_after")).alias("_m"),
         F.when(pick_back, back).otherwise(ahead).alias("_gap"),
     ).filter(F.col("_gap") <= width)
+    chosen = chosen.select("ts_us", "_m.obs.*", "_gap")
     gap_s = F.col("_gap") / 1e6
     return (
         tx.select("txid", "ts_us")
         .join(chosen, "ts_us")
-        .withColumn("time_difference_seconds", F.bround(gap_s, 2))
+        .withColumn("time_difference_seconds", snap(gap_s, 2))
         .withColumn("network_confidence", decay(gap_s, window_s))
         .withColumn("correlation_method", F.lit("timestamp_window"))
         .drop("_gap")
@@ -164,7 +166,7 @@ def join_network(tx: DataFrame, obs: DataFrame, window_s: float = 120.0) -> Data
     """Exact match, else nearest in the window, else none.  Adds the match columns to `tx`."""
     exact = exact_match(tx, obs)
     rest = tx.join(exact.select("txid"), "txid", "left_anti")
-    cols = ["txid", "hit", "time_difference_seconds", "network_confidence", "correlation_method"]
+    cols = ["txid", *OBS_FIELDS, "time_difference_seconds", "network_confidence", "correlation_method"]
     hits = exact.select(*cols).unionByName(nearest_match(rest, obs, window_s).select(*cols))
     method = F.coalesce("correlation_method", F.lit("none"))
     note = F.create_map(*[F.lit(x) for kv in NOTES.items() for x in kv])
@@ -172,7 +174,6 @@ def join_network(tx: DataFrame, obs: DataFrame, window_s: float = 120.0) -> Data
         tx.join(hits, "txid", "left")
         .withColumn("correlation_method", method)
         .withColumn("network_confidence", F.coalesce("network_confidence", F.lit(0.0)))
-        .select("*", *[F.col(f"hit.{c}").alias(c) for c in OBS_FIELDS])
         .withColumn("observation_note", note[F.col("correlation_method")])
         .withColumn(
             "names_other_tx",
@@ -181,7 +182,6 @@ def join_network(tx: DataFrame, obs: DataFrame, window_s: float = 120.0) -> Data
                 F.lit(False),
             ),
         )
-        .drop("hit")
     )
 
 
@@ -192,18 +192,18 @@ def tx_vector(df: DataFrame) -> DataFrame:
     """Adds the transaction feature columns."""
     return (
         df.withColumn("degree", F.col("fan_in") + F.col("fan_out"))
-        .withColumn("fan_ratio", F.bround(F.col("fan_in") / F.greatest(F.lit(1), F.col("fan_out")), 4))
-        .withColumn("transaction_amount", F.bround("total_input_amount", 6))
-        .withColumn("fee_rounded", F.bround("fee", 8))
-        .withColumn("amount_per_output_rounded", F.bround("amount_per_output", 6))
+        .withColumn("fan_ratio", snap(F.col("fan_in") / F.greatest(F.lit(1), F.col("fan_out")), 4))
+        .withColumn("transaction_amount", snap("total_input_amount", 6))
+        .withColumn("fee_rounded", snap("fee", 8))
+        .withColumn("amount_per_output_rounded", snap("amount_per_output", 6))
         .withColumn("unique_counterparties", F.col("wallet_count"))
-        .withColumn("network_correlation_strength", F.bround("network_confidence", 4))
-        .withColumn("temporal_distance", F.bround(F.coalesce("time_difference_seconds", F.lit(999.0)), 2))
+        .withColumn("network_correlation_strength", snap("network_confidence", 4))
+        .withColumn("temporal_distance", snap(F.coalesce("time_difference_seconds", F.lit(999.0)), 2))
     )
 
 
 def _fixed(c: Column | str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.bround(c, digits))
+    return F.format_string(f"%.{digits}f", snap(c, digits))
 
 
 def lead_terms(cfg: LeadRules) -> list[tuple[Column, int, Column]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import snap
 from .spread import running_before
 
 
@@ -62,7 +63,7 @@ def evaluate(df: DataFrame, label: str = "label", pred: str = "prediction", scor
         "false_positive_rate": fp / F.greatest(F.lit(1.0), fp + tn),
         "detection_rate": div(tp, tp + fn),
     }
-    return one.select(*[F.bround(v, 4).alias(k) for k, v in out.items()], n.cast("long").alias("sample_count"))
+    return one.select(*[snap(v, 4).alias(k) for k, v in out.items()], n.cast("long").alias("sample_count"))
 
 
 def with_labels(scored: DataFrame, labels: DataFrame | None, key: str = "address") -> DataFrame:

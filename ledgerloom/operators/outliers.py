@@ -8,9 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.numbers import snap
 from ..config import ModelRules
 from ..functions.tables import MODEL_FEATURES
+from ..session import cut
 from .spread import SPLIT_OVER, quantiles
 
 FOREST = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
@@ -79,7 +82,7 @@ def heuristic_score(df: DataFrame) -> DataFrame:
         F.lit(1.0),
         F.col("fan_in") * 0.05 + F.col("fan_out") * 0.05 + F.col("transaction_amount") * 0.01 + F.col("network_confidence") * 0.4,
     )
-    return df.withColumn("ml_anomaly_score", F.bround(h, 4)).withColumn(
+    return df.withColumn("ml_anomaly_score", snap(h, 4)).withColumn(
         "ml_anomaly_label", F.when(h > 0.6, F.lit(-1)).otherwise(F.lit(1))
     )
 
@@ -203,7 +206,7 @@ def score_forest(df: DataFrame, forest: DataFrame, cols: list[str], out: str = "
             pdf[out] = np.exp2(-(depth / len(shared.value)) / norm)
             yield pdf
 
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
     return df.mapInPandas(score, schema)
 
 
@@ -227,9 +230,9 @@ def contamination_cut(
 
 def detect(df: DataFrame, cols: list[str], key: str, cfg: ModelRules = ModelRules()) -> DataFrame:
     """raw_score, anomaly_score in [0, 1] and prediction from an isolation forest on scaled features."""
-    scaled = robust_scale(clean_matrix(df.select(key, *cols), list(cols)), list(cols))
+    scaled = cut(robust_scale(clean_matrix(df.select(key, *cols), list(cols)), list(cols)))
     forest = fit_forest(scaled, cols, key, cfg.trees, cfg.rows_per_tree, cfg.seed)
-    scored = score_forest(scaled, forest, cols).select(key, "raw_score")
+    scored = cut(score_forest(scaled, forest, cols).select(key, "raw_score"))
     return contamination_cut(min_max(scored), cfg.contamination)
 
 
@@ -239,17 +242,17 @@ def model_scores(matrix: DataFrame, cfg: ModelRules = ModelRules(), train_max: i
     Score is 1 - minmax(decision), which is the min-max of the outlier score itself.
     """
     cols = MODEL_FEATURES
-    train = seeded_sample(matrix, "txid", min(train_max, cfg.train_max_rows), cfg.seed)
-    params = robust_parameters(train, cols)
+    train = cut(seeded_sample(matrix, "txid", min(train_max, cfg.train_max_rows), cfg.seed))
+    params = cut(robust_parameters(train, cols))
     forest = fit_forest(_apply(train, cols, params), cols, "txid", cfg.trees, cfg.rows_per_tree, cfg.seed)
     on_train = score_forest(_apply(train, cols, params), forest, cols)
     cut = quantiles(on_train, [], "raw_score", {"cut": 1.0 - cfg.contamination}).select("cut").scalar()
-    scored = score_forest(_apply(matrix, cols, params), forest, cols).select("txid", "raw_score")
+    scored = cut(score_forest(_apply(matrix, cols, params), forest, cols).select("txid", "raw_score"))
     b = scored.agg(F.struct(F.min("raw_score").alias("lo"), F.max("raw_score").alias("hi"))).scalar()
     span = F.col("_b.hi") - F.col("_b.lo")
     return scored.withColumn("_b", b).select(
         "txid",
-        F.bround((F.col("raw_score") - F.col("_b.lo")) / F.when(span > 1e-6, span).otherwise(F.lit(1.0)), 4).alias("ml_anomaly_score"),
+        snap((F.col("raw_score") - F.col("_b.lo")) / F.when(span > 1e-6, span).otherwise(F.lit(1.0)), 4).alias("ml_anomaly_score"),
         F.when(F.col("raw_score") > cut, F.lit(-1)).otherwise(F.lit(1)).alias("ml_anomaly_label"),
     )
 
@@ -292,7 +295,7 @@ def lof(df: DataFrame, cols: list[str], key: str, k: int = 20, max_rows: int = 5
     """Local outlier factor per row: mean neighbour density over own density."""
     n = df.count()
     k = min(k, max(2, n - 1))
-    near = nearest_neighbours(df, cols, key, min(k, n - 1), max_rows)
+    near = cut(nearest_neighbours(df, cols, key, min(k, n - 1), max_rows))
     reach = near.groupBy(F.col(key).alias("neighbour")).agg(F.max("distance").alias("k_distance"))
     density = (
         near.join(reach, "neighbour")
@@ -313,7 +316,7 @@ def lof_baseline(df: DataFrame, cols: list[str], key: str, cfg: ModelRules = Mod
     """Comparison scores, or None above the size the comparison is made for."""
     if df.limit(cfg.lof_max_rows + 1).count() > cfg.lof_max_rows:
         return None
-    scaled = robust_scale(clean_matrix(df.select(key, *cols), list(cols)), list(cols))
+    scaled = cut(robust_scale(clean_matrix(df.select(key, *cols), list(cols)), list(cols)))
     return contamination_cut(min_max(lof(scaled, cols, key, cfg.lof_neighbours, cfg.lof_max_rows)), cfg.contamination)
 
 

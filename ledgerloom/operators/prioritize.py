@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import snap
 from ..config import ModelRules
 from ..functions.tables import WALLET_FEATURES
 from .spread import SPLIT_OVER, quantiles
@@ -55,7 +56,7 @@ def priority(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("priority_score", composite())
         .withColumn("severity", severity("priority_score"))
-        .select("*", *[F.bround(c, 1).alias(n) for n, c in subscore_columns().items()])
+        .select("*", *[snap(c, 1).alias(n) for n, c in subscore_columns().items()])
     )
 
 
@@ -92,7 +93,7 @@ def deviations(df: DataFrame, baseline: DataFrame, cols=WALLET_FEATURES) -> Data
     return rows.join(base, "feature").select(
         "address", "feature", "pos", "value", "mean", "median", "p90",
         z.alias("z"), ratio.alias("ratio"),
-        F.bround(z, 2).alias("z_score"), F.bround(ratio, 2).alias("ratio_to_median"),
+        snap(z, 2).alias("z_score"), snap(ratio, 2).alias("ratio_to_median"),
     )
 
 
@@ -108,7 +109,7 @@ def top_deviations(dev: DataFrame, n: int = 6) -> DataFrame:
 
 
 def _num(c: Column | str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.bround(c, digits))
+    return F.format_string(f"%.{digits}f", snap(c, digits))
 
 
 def reason_text() -> Column:
@@ -189,7 +190,7 @@ def evidence_sample(wallets: DataFrame, legs: DataFrame, obs: DataFrame, n: int
 
 def write_back(wallets: DataFrame, scored: DataFrame) -> DataFrame:
     """Next wallet snapshot with the new scores."""
-    new = scored.select("address", F.col("priority_score").alias("_p"), F.bround("anomaly_score", 4).alias("_a"))
+    new = scored.select("address", F.col("priority_score").alias("_p"), snap("anomaly_score", 4).alias("_a"))
     return (
         wallets.join(new, "address", "left")
         .withColumn("risk_score", F.coalesce("_p", "risk_score"))

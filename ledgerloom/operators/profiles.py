@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import snap
 from ..config import STORED_PROFILE, ProfileRules
 from .spread import SPLIT_OVER, gap_range, quantiles
 
@@ -69,19 +70,19 @@ def amount_profile(events: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame
     def stats(d: str, name: str) -> list[Column]:
         c = side(d)
         return [
-            F.bround(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(f"avg_{name}_amount"),
-            F.bround(F.when(F.count(c) > 1, F.stddev_pop(c)).otherwise(F.lit(0.0)), 4).alias(f"{name}_amount_dispersion"),
-            F.bround(F.coalesce(F.sum(c), F.lit(0.0)), 4).alias(f"total_{name}_value"),
+            snap(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(f"avg_{name}_amount"),
+            snap(F.when(F.count(c) > 1, F.stddev_pop(c)).otherwise(F.lit(0.0)), 4).alias(f"{name}_amount_dispersion"),
+            snap(F.coalesce(F.sum(c), F.lit(0.0)), 4).alias(f"total_{name}_value"),
         ]
 
     every = F.when(F.count("*") > 1, F.stddev_pop("amount")).otherwise(F.lit(0.0))
     base = events.groupBy("address").agg(
-        *stats("IN", "input"), *stats("OUT", "output"), F.bround(every, 4).alias("amount_dispersion")
+        *stats("IN", "input"), *stats("OUT", "output"), snap(every, 4).alias("amount_dispersion")
     )
     medians = quantiles(events, ["address", "direction"], "amount", {"m": 0.5}, split_over)
     pick = lambda d, name: F.max(F.when(F.col("direction") == d, F.col("m"))).alias(f"median_{name}_amount")
     flat = medians.groupBy("address").agg(pick("IN", "input"), pick("OUT", "output"))
-    zero = lambda c: F.bround(F.coalesce(F.col(c), F.lit(0.0)), 4).alias(c)
+    zero = lambda c: snap(F.coalesce(F.col(c), F.lit(0.0)), 4).alias(c)
     return base.join(flat, "address", "left").select(
         *base.columns, zero("median_input_amount"), zero("median_output_amount")
     )
@@ -105,21 +106,21 @@ def tempo_profile(events: DataFrame, cfg: ProfileRules = STORED_PROFILE) -> Data
     hours = F.greatest(F.lit(cfg.min_span_hours), span_s / 3600.0)
     return j.select(
         "address",
-        F.bround(pick(F.col("n") / hours, 1.0), 2).alias("transaction_velocity"),
-        F.bround(pick(F.col("n") / F.greatest(F.lit(1.0 / 24.0), span_s / DAY_S), 1.0), 2).alias("transaction_frequency"),
-        F.bround(pick(F.try_divide(span_s, F.col("n") - 1), DAY_S), 1).alias("avg_inter_transaction_time"),
-        F.bround(pick(speed("max_gap_s"), 0.5), 2).alias("min_velocity"),
-        F.bround(pick(speed("min_gap_s"), 1.5), 2).alias("max_velocity"),
+        snap(pick(F.col("n") / hours, 1.0), 2).alias("transaction_velocity"),
+        snap(pick(F.col("n") / F.greatest(F.lit(1.0 / 24.0), span_s / DAY_S), 1.0), 2).alias("transaction_frequency"),
+        snap(pick(F.try_divide(span_s, F.col("n") - 1), DAY_S), 1).alias("avg_inter_transaction_time"),
+        snap(pick(speed("max_gap_s"), 0.5), 2).alias("min_velocity"),
+        snap(pick(speed("min_gap_s"), 1.5), 2).alias("max_velocity"),
         F.timestamp_micros("lo").alias("first_seen"),
         F.timestamp_micros("hi").alias("last_seen"),
-        F.bround(pick(hours, 1.0), 2).alias("active_duration_hours"),
+        snap(pick(hours, 1.0), 2).alias("active_duration_hours"),
     )
 
 
 def flow_profile(events: DataFrame, legs: DataFrame) -> DataFrame:
     """Mean fan-in and fan-out per event and distinct opposite-side peers."""
     fans = events.groupBy("address").agg(
-        F.bround(F.avg("fan_in"), 2).alias("typical_fan_in"), F.bround(F.avg("fan_out"), 2).alias("typical_fan_out")
+        snap(F.avg("fan_in"), 2).alias("typical_fan_in"), snap(F.avg("fan_out"), 2).alias("typical_fan_out")
     )
     mine = events.select("address", "txid", "direction").distinct()
     theirs = legs.select(
@@ -235,7 +236,7 @@ def on_demand_baseline(tx: DataFrame, legs: DataFrame, min_history: int = 3, hig
         "address",
         F.inline(F.array(F.struct(F.lit("S").alias("side"), F.col("sent").alias("amount")), F.struct(F.lit("R").alias("side"), F.col("received").alias("amount")))),
     ).filter(F.col("amount").isNotNull())
-    r4 = lambda c: F.bround(c, 4)
+    r4 = lambda c: snap(c, 4)
     amounts = both.groupBy("address").agg(
         r4(F.avg("amount")).alias("avg_amount"),
         r4(F.when(F.count("*") > 1, F.stddev_pop("amount")).otherwise(F.lit(0.0))).alias("std_amount"),
@@ -287,13 +288,13 @@ def on_demand_baseline(tx: DataFrame, legs: DataFrame, min_history: int = 3, hig
         "avg_amount", "std_amount", "max_amount", "min_amount",
         r4(F.coalesce("_mo", "_ma")).alias("median_output_amount"),
         r4(F.coalesce("_avg_out", "_avg_all")).alias("avg_output_amount"),
-        F.bround(pick(F.col("n") / F.greatest(F.lit(1.0), span_s / 3600.0), 1.0), 2).alias("avg_velocity_per_hour"),
-        F.bround(pick(speed("max_gap_s"), 0.5), 2).alias("min_velocity_per_hour"),
-        F.bround(pick(speed("min_gap_s"), 1.5), 2).alias("max_velocity_per_hour"),
-        F.bround(pick(F.try_divide(span_s, F.col("n") - 1), DAY_S), 1).alias("avg_time_between_txs_sec"),
+        snap(pick(F.col("n") / F.greatest(F.lit(1.0), span_s / 3600.0), 1.0), 2).alias("avg_velocity_per_hour"),
+        snap(pick(speed("max_gap_s"), 0.5), 2).alias("min_velocity_per_hour"),
+        snap(pick(speed("min_gap_s"), 1.5), 2).alias("max_velocity_per_hour"),
+        snap(pick(F.try_divide(span_s, F.col("n") - 1), DAY_S), 1).alias("avg_time_between_txs_sec"),
         F.coalesce("counterparties_count", F.lit(0)).alias("counterparties_count"),
-        F.bround(F.col("_in") / total, 2).alias("fan_in_ratio"),
-        F.bround(F.col("_out") / total, 2).alias("fan_out_ratio"),
+        snap(F.col("_in") / total, 2).alias("fan_in_ratio"),
+        snap(F.col("_out") / total, 2).alias("fan_out_ratio"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import snap
 from .ingest import Ledger
 
 COMPLETENESS_FIELDS = [
@@ -62,7 +63,7 @@ def completeness(ledger: Ledger) -> DataFrame:
     ).withColumn("input_addresses", F.col("input_addresses") + F.col("wallet_rows"))
     pairs = F.array(
         *[
-            F.struct(F.lit(f).alias("field"), F.bround(F.col(f) / F.col("_all") * 100.0, 1).alias("percent"))
+            F.struct(F.lit(f).alias("field"), snap(F.col(f) / F.col("_all") * 100.0, 1).alias("percent"))
             for f in COMPLETENESS_FIELDS
         ]
     )
@@ -77,7 +78,7 @@ def quality_report(ledger: Ledger) -> DataFrame:
         F.count("*").alias("valid_transactions"),
         F.min("ts").alias("time_min"),
         F.max("ts").alias("time_max"),
-        F.bround(F.coalesce(F.sum(F.greatest("input_total", "output_total")), F.lit(0.0)), 4).alias("total_btc_volume"),
+        snap(F.coalesce(F.sum(F.greatest("input_total", "output_total")), F.lit(0.0)), 4).alias("total_btc_volume"),
         F.coalesce(F.sum("fee"), F.lit(0.0)).alias("_fees"),
     )
     distinct = tx.agg(
@@ -107,5 +108,5 @@ def quality_report(ledger: Ledger) -> DataFrame:
         "time_min",
         "time_max",
         "total_btc_volume",
-        F.bround(F.col("_fees") / F.greatest(F.lit(1), valid), 6).alias("avg_fee"),
+        snap(F.col("_fees") / F.greatest(F.lit(1), valid), 6).alias("avg_fee"),
     )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import snap
 from ..config import ModelRules, ValidationRules
 from ..functions.tables import WALLET_FEATURES
 from ..operators import clusters as cl
@@ -52,7 +53,7 @@ def alert_rows(
             F.lit(dataset_id).alias("dataset_id"),
             F.col("address").alias("entity_id"),
             F.lit("WALLET").alias("entity_type"),
-            F.bround("anomaly_score", 4).alias("anomaly_score"),
+            snap("anomaly_score", 4).alias("anomaly_score"),
             "raw_anomaly_score",
             "validation_score",
             "priority_score",

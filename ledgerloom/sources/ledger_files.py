@@ -123,29 +123,23 @@ def read_ledger_json(spark: SparkSession, path) -> DataFrame:
     """
     record = _record_schema()
     layout = json_layout(spark, path)
-    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-    bad = T.StructField("_bad", T.StringType())
     if layout == "lines":
-        rows = reader.schema(T.StructType([*record, bad])).json(path).filter(F.col("_bad").isNull()).drop("_bad")
-    elif layout == "array":
-        rows = reader.option("multiLine", True).schema(T.StructType([*record, bad])).json(path)
-        rows = _strict(rows, path)
+        bad = T.StructField("_bad", T.StringType())
+        parsed = F.from_json("value", T.StructType([*record, bad]), {"columnNameOfCorruptRecord": "_bad"})
+        rows = spark.read.text(path).select(parsed.alias("r")).filter(F.col("r._bad").isNull()).select("r.*").drop("_bad")
+        return _map_records(_with_position(rows), split_list)
+    # a broken document fails its job instead of turning into nulls
+    strict, document = {"mode": "FAILFAST"}, spark.read.option("wholetext", True).text(path)
+    if layout == "array":
+        rows = document.select(F.inline(F.from_json("value", T.ArrayType(record), strict)))
     else:
         wrappers = [T.StructField(w, T.ArrayType(record)) for w in JSON_WRAPPERS]
-        whole = reader.option("multiLine", True).schema(T.StructType([*wrappers, *record, bad])).json(path)
-        whole = _strict(whole, path)
+        whole = document.select(F.from_json("value", T.StructType([*wrappers, *record]), strict).alias("r")).select("r.*")
         itself = F.array(F.struct(*[F.col(f.name) for f in record]))
         rows = whole.select(F.inline(F.coalesce(*[F.col(w) for w in JSON_WRAPPERS], itself)))
     return _map_records(_with_position(rows), split_list)
 
 
-def _strict(df: DataFrame, path) -> DataFrame:
-    """Whole-document formats: a broken document fails its job instead of turning into nulls."""
-    return df.filter(
-        F.when(F.col("_bad").isNotNull(), F.raise_error(F.lit(f"not a readable document: {path}"))).otherwise(F.lit(True))
-    ).drop("_bad")
-
-
 def xml_row_tag(spark: SparkSession, path) -> str:
     tags = "|".join(XML_ROW_TAGS)
     hit = (
