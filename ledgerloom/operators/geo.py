@@ -17,12 +17,16 @@ def _geo(values: tuple[str, str, str]) -> Column:
 
 def _subnet_chain(number: Column, subnets=SUBNETS) -> Column:
     """A short fixed list compiles to one expression: no join, no shuffle, first listed wins."""
-    hits = []
-    for cidr, *meta in subnets:
-        net = ipaddress.ip_network(cidr, strict=False)
-        inside = number.between(int(net.network_address), int(net.broadcast_address))
-        hits.append(F.when(inside, _geo(tuple(meta))))
-    return F.coalesce(*hits)
+
+    def first_hit(n: Column) -> Column:
+        hits = []
+        for cidr, *meta in subnets:
+            net = ipaddress.ip_network(cidr, strict=False)
+            inside = n.between(int(net.network_address), int(net.broadcast_address))
+            hits.append(F.when(inside, _geo(tuple(meta))))
+        return F.coalesce(*hits)
+
+    return F.get(F.transform(F.array(number), first_hit), F.lit(0))  # the number is worked out once
 
 
 def fallback_geo(ip: Column | str) -> Column:

@@ -33,14 +33,10 @@ def _stack(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _apply(df: DataFrame, cols: list[str], params: DataFrame) -> DataFrame:
-    """(x - centre) / scale with one row of parameters as scalar subqueries."""
-    keyed = params.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("centre", "scale").alias("p")))).alias("m")).scalar()
-    held = df.withColumn("_m", keyed)
-    return held.select(
-        *[
-            ((F.col(c) - F.col("_m")[c]["centre"]) / F.col("_m")[c]["scale"]).alias(c) if c in cols else F.col(c)
-            for c in df.columns
-        ]
+    """(x - centre) / scale.  The parameters are one row per column, so they become literals."""
+    by = {r.feature: (r.centre, r.scale) for r in params.collect()}
+    return df.select(
+        *[((F.col(c) - F.lit(by[c][0])) / F.lit(by[c][1])).alias(c) if c in by else F.col(c) for c in df.columns]
     )
 
 
@@ -224,8 +220,8 @@ def contamination_cut(
     df: DataFrame, contamination: float = 0.05, score: str = "raw_score", out: str = "prediction", split_over: int = SPLIT_OVER
 ) -> DataFrame:
     """1 for rows whose outlier score lies above the (1 - contamination) quantile."""
-    cut = quantiles(df, [], score, {"cut": 1.0 - contamination}, split_over).select("cut").scalar()
-    return df.withColumn(out, F.when(F.col(score) > cut, F.lit(1)).otherwise(F.lit(0)))
+    bar = quantiles(df, [], score, {"cut": 1.0 - contamination}, split_over).select("cut").scalar()
+    return df.withColumn(out, F.when(F.col(score) > bar, F.lit(1)).otherwise(F.lit(0)))
 
 
 def detect(df: DataFrame, cols: list[str], key: str, cfg: ModelRules = ModelRules()) -> DataFrame:
@@ -246,14 +242,14 @@ def model_scores(matrix: DataFrame, cfg: ModelRules = ModelRules(), train_max: i
     params = cut(robust_parameters(train, cols))
     forest = fit_forest(_apply(train, cols, params), cols, "txid", cfg.trees, cfg.rows_per_tree, cfg.seed)
     on_train = score_forest(_apply(train, cols, params), forest, cols)
-    cut = quantiles(on_train, [], "raw_score", {"cut": 1.0 - cfg.contamination}).select("cut").scalar()
+    bar = quantiles(on_train, [], "raw_score", {"cut": 1.0 - cfg.contamination}).select("cut").scalar()
     scored = cut(score_forest(_apply(matrix, cols, params), forest, cols).select("txid", "raw_score"))
     b = scored.agg(F.struct(F.min("raw_score").alias("lo"), F.max("raw_score").alias("hi"))).scalar()
     span = F.col("_b.hi") - F.col("_b.lo")
     return scored.withColumn("_b", b).select(
         "txid",
         snap((F.col("raw_score") - F.col("_b.lo")) / F.when(span > 1e-6, span).otherwise(F.lit(1.0)), 4).alias("ml_anomaly_score"),
-        F.when(F.col("raw_score") > cut, F.lit(-1)).otherwise(F.lit(1)).alias("ml_anomaly_label"),
+        F.when(F.col("raw_score") > bar, F.lit(-1)).otherwise(F.lit(1)).alias("ml_anomaly_label"),
     )
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import snap
 from ..config import STORED_PROFILE, ProfileRules
+from ..session import cut
 from .spread import SPLIT_OVER, gap_range, quantiles
 
 DAY_S = 86_400.0
@@ -140,8 +141,6 @@ def flow_profile(events: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def _samples(cells: DataFrame, kind: str, n: int, name: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("address").orderBy("v")
     few = cells.filter(F.col("kind") == kind).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
     return few.groupBy("address").agg(F.array_sort(F.collect_list("v")).alias(name))
@@ -154,9 +153,9 @@ def network_cells(events: DataFrame, obs: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("ip").alias("kind"), F.col("src_ip").alias("v")),
-                F.struct(F.lit("port"), F.col("src_port").cast("string")),
-                F.struct(F.lit("asn"), F.col("asn")),
-                F.struct(F.lit("country"), F.col("country")),
+                F.struct(F.lit("port").alias("kind"), F.col("src_port").cast("string").alias("v")),
+                F.struct(F.lit("asn").alias("kind"), F.col("asn").alias("v")),
+                F.struct(F.lit("country").alias("kind"), F.col("country").alias("v")),
             )
         ).alias("cell"),
     ).select("txid", "cell.kind", "cell.v")
@@ -210,8 +209,8 @@ def profiles(
 
 
 def stored_profiles(tx: DataFrame, legs: DataFrame, obs: DataFrame, cfg: ProfileRules = STORED_PROFILE) -> DataFrame:
-    """Profiles learned without each wallet's latest event."""
-    return profiles(without_latest(wallet_events(tx, legs), cfg.min_history), legs, obs, cfg)
+    """Profiles learned without each wallet's latest event; the events feed five parts, so they are written once."""
+    return profiles(cut(without_latest(wallet_events(tx, legs), cfg.min_history)), legs, obs, cfg)
 
 
 def on_demand_baseline(tx: DataFrame, legs: DataFrame, min_history: int = 3, high_from: int = 6) -> DataFrame:
@@ -231,7 +230,7 @@ def on_demand_baseline(tx: DataFrame, legs: DataFrame, min_history: int = 3, hig
         .agg(F.max(F.struct("ts", "txid")).alias("_l"), F.count("*").alias("total_recorded_transactions"))
     )
     cutting = last.filter(F.col("total_recorded_transactions") > min_history).select("address", F.col("_l.txid").alias("txid"))
-    rows = per_tx.join(cutting, ["address", "txid"], "left_anti")
+    rows = cut(per_tx.join(cutting, ["address", "txid"], "left_anti"))
     both = rows.select(
         "address",
         F.inline(F.array(F.struct(F.lit("S").alias("side"), F.col("sent").alias("amount")), F.struct(F.lit("R").alias("side"), F.col("received").alias("amount")))),

@@ -68,7 +68,8 @@ def star_ledger(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def star_features(spark, sf) -> DataFrame:
-    return features.wallet_features(star.tx_times(spark, sf), star.legs(spark, sf), star.observations(spark, sf))
+    """Written once: most users read the features several times."""
+    return cut(features.wallet_features(star.tx_times(spark, sf), star.legs(spark, sf), star.observations(spark, sf)))
 
 
 def planted_score(df: DataFrame) -> DataFrame:
@@ -743,17 +744,17 @@ def ml3_standard_scaling(spark, sf):
 
 
 def _matrix(spark, sf) -> DataFrame:
-    return outliers.robust_scale(star_features(spark, sf), WALLET_FEATURES)
+    return cut(outliers.robust_scale(star_features(spark, sf), WALLET_FEATURES))
 
 
 @query
 def ml4_forest_fit(spark, sf):
-    return outliers.fit_forest(cut(_matrix(spark, sf)), WALLET_FEATURES, "address")
+    return outliers.fit_forest(_matrix(spark, sf), WALLET_FEATURES, "address")
 
 
 @query
 def ml5_forest_scores(spark, sf):
-    m = cut(_matrix(spark, sf))
+    m = _matrix(spark, sf)
     return outliers.score_forest(m, outliers.fit_forest(m, WALLET_FEATURES, "address"), WALLET_FEATURES).select("address", "raw_score")
 
 
@@ -1036,7 +1037,8 @@ def _stored(spark, sf) -> DataFrame:
 
 def _resolved(spark, sf) -> DataFrame:
     stored = profiles.baseline_of_profile(_stored(spark, sf)).filter("address not like 'SW%'")
-    computed = profiles.on_demand_baseline(star.tx_times(spark, sf), star.legs(spark, sf))
+    stored = cut(stored)
+    computed = cut(profiles.on_demand_baseline(star.tx_times(spark, sf), star.legs(spark, sf)))
     wallets = star.legs(spark, sf).select("address").distinct()
     return profiles.resolve_baseline(wallets, _overrides(spark, sf), stored, computed)
 
@@ -1094,8 +1096,9 @@ def bp18_verdicts(spark, sf):
 # --- graph -----------------------------------------------------------------------------------------
 
 
-def _graph(spark, sf, scores: DataFrame | None = None, recent: int | None = None) -> graph.Graph:
-    return graph.build_graph(star.tx_times(spark, sf), star.legs(spark, sf), star.observations(spark, sf), scores, recent)
+def _graph(spark, sf, scores: DataFrame | None = None, recent: int | None = None, walked: bool = False) -> graph.Graph:
+    g = graph.build_graph(star.tx_times(spark, sf), star.legs(spark, sf), star.observations(spark, sf), scores, recent)
+    return graph.Graph(g.vertices, cut(g.edges)) if walked else g
 
 
 def _center(spark, sf, g: graph.Graph) -> str:
@@ -1138,14 +1141,14 @@ def gr6_degree(spark, sf):
 
 @query
 def gr7_ego_network(spark, sf):
-    g = _graph(spark, sf)
+    g = _graph(spark, sf, walked=True)
     e = graph.ego(g, _center(spark, sf, g), 2, 150)
     return e.vertices.select("id", "type", "distance", "is_focal")
 
 
 @query
 def gr8_shortest_path(spark, sf):
-    g = _graph(spark, sf)
+    g = _graph(spark, sf, walked=True)
     ends = g.vertices.filter("type = 'WALLET'").select("id")
     a = ends.filter("id like 'CW%'").agg(F.min("id")).first()[0]
     b = ends.filter("id like 'SW%'").agg(F.max("id")).first()[0]
@@ -1155,7 +1158,7 @@ def gr8_shortest_path(spark, sf):
 @query
 def gr9_overview(spark, sf):
     s = scored_wallets(spark, sf).select("address", F.col("priority_score").alias("risk_score"), "anomaly_score")
-    return graph.overview(_graph(spark, sf, s), 100).vertices.select("id", "type")
+    return graph.overview(_graph(spark, sf, s, walked=True), 100).vertices.select("id", "type")
 
 
 @query
@@ -1172,7 +1175,7 @@ def gr11_correlation_ego(spark, sf):
 
 @query
 def gr12_fund_flows(spark, sf):
-    g = _graph(spark, sf)
+    g = _graph(spark, sf, walked=True)
     seeds = prioritize.triage(prioritize.alert_candidates(scored_wallets(spark, sf))).select(F.col("address").alias("seed"))
     nodes = graph.ego_nodes(g.edges, seeds, 2, 150)
     return graph.fund_flows(g.edges, nodes).select("seed", "pos", "src", "dst", "type", r("amount", 4).alias("amount"))
@@ -1266,7 +1269,7 @@ def qs7_replay(spark, sf):
     )
     a = prioritize.triage(prioritize.alert_candidates(scored_wallets(spark, sf))).select(F.col("address").alias("entity_id"), F.sha2("address", 256).alias("alert_id"), "anomaly_score", "priority_score", "severity")
     alerts = cut(a.join(v, "entity_id").withColumnRenamed("conf", "confidence"))
-    g = _graph(spark, sf)
+    g = _graph(spark, sf, walked=True)
     rows = investigate.replay(alerts, investigate.replay_graph(alerts, g.edges))
     fig = lambda k: F.col("figures")[k]
     return rows.select("entity_id", "stage_order", "stage_id", fig("score_adjustment").alias("score_adjustment"), fig("nodes").alias("nodes"), fig("edges").alias("edges"), fig("fund_flow_edges").alias("flows"))

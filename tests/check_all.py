@@ -31,7 +31,7 @@ def main() -> int:
             ok, message, took = compare(spark, con, name, query, sqls.get(name), folder)
         except Exception as error:
             ok, took = False, 0.0
-            message = str(error).strip().split("JVM stacktrace")[0][:700] + "\n" + "".join(traceback.format_tb(error.__traceback__)[-2:])[-500:]
+            message = str(error).strip().split("JVM stacktrace")[0][:300] + "\n" + "".join(traceback.format_tb(error.__traceback__)[-1:])[-200:]
         print("ok  " if ok else "FAIL", name, f"{took:.1f}s", message[:1500], flush=True)
         if not ok:
             bad.append(name)
