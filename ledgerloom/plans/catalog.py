@@ -1211,7 +1211,7 @@ def _dossiers(spark, sf) -> investigate.Dossiers:
 def qs2_wallet_dossiers(spark, sf):
     h = _dossiers(spark, sf).header
     return h.select(
-        "entity_id", "risk_score", "severity", us("first_seen").alias("first_us"), r("total_volume_btc", 3).alias("total_volume_btc"), "transaction_count", "distinct_transactions",
+        "entity_id", "risk_score", "severity", us("first_seen").alias("first_us"), r("total_volume_btc", 4).alias("total_volume_btc"), "transaction_count", "distinct_transactions",
         "unique_counterparties", "observed_ip_count", "observed_country_count", "observed_asn_count", "cluster_label", F.col("alert_id").isNotNull().alias("has_alert"),
     )
 
@@ -1225,7 +1225,7 @@ def qs2_dossier_transactions(spark, sf):
 @query
 def qs3_tx_dossiers(spark, sf):
     d = investigate.tx_dossiers(*star_ledger(spark, sf))
-    return d.select("entity_id", us("first_seen").alias("first_us"), r("total_volume_btc", 3).alias("total_volume_btc"), "input_count", "output_count", "unique_counterparties", "observation_count", "country_count", "asn_count")
+    return d.select("entity_id", us("first_seen").alias("first_us"), r("total_volume_btc", 4).alias("total_volume_btc"), "input_count", "output_count", "unique_counterparties", "observation_count", "country_count", "asn_count")
 
 
 @query
@@ -1289,7 +1289,7 @@ def qs9_briefs(spark, sf):
 
 @query
 def qs10_hourly_volume(spark, sf):
-    tx = star.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("input_total"), (F.col("value") / 2).cast("decimal(18,2)").cast("double").alias("output_total")).filter("hour(ts) <> 5")
+    tx = star.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("input_total"), (F.col("value") * 2).alias("output_total")).filter("hour(ts) <> 5")
     alerts = star.table(spark, sf, "events").filter("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("created_at"))
     return investigate.hourly_volume(tx, alerts)
 

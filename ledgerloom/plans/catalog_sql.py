@@ -918,7 +918,7 @@ ask("qs1_search", " UNION ALL ".join(_search(q, i) for i, q in enumerate(["w99",
 DOSSIER = f"{RISK},\n{ROLLUP.strip()}"
 ask(
     "qs2_wallet_dossiers",
-    """SELECT r.address AS entity_id, k.priority_score AS risk_score, k.severity, first_us, RND(total_received + total_sent, 3) AS total_volume_btc, tx_count AS transaction_count, b.txs AS distinct_transactions,
+    """SELECT r.address AS entity_id, k.priority_score AS risk_score, k.severity, first_us, RND(total_received + total_sent, 4) AS total_volume_btc, tx_count AS transaction_count, b.txs AS distinct_transactions,
     CAST(k.unique_counterparties AS BIGINT) AS unique_counterparties, CAST(unique_observed_ips AS BIGINT) AS observed_ip_count, CAST(unique_countries AS BIGINT) AS observed_country_count,
     CAST(unique_asns AS BIGINT) AS observed_asn_count, CAST(floor(k.unique_counterparties / 40) - 1 AS INT) AS cluster_label, k.priority_score >= 35 OR k.anomaly_score > 0.65 AS has_alert
     FROM rollup r JOIN ranked k USING (address) JOIN base b USING (address)""",
@@ -931,7 +931,7 @@ ask(
 )
 ask(
     "qs3_tx_dossiers",
-    """SELECT t.txid AS entity_id, t.ts_us AS first_us, RND(input_total + output_total, 3) AS total_volume_btc, i AS input_count, o AS output_count, i + o AS unique_counterparties, coalesce(n, 0) AS observation_count,
+    """SELECT t.txid AS entity_id, t.ts_us AS first_us, RND(input_total + output_total, 4) AS total_volume_btc, i AS input_count, o AS output_count, i + o AS unique_counterparties, coalesce(n, 0) AS observation_count,
     coalesce(c, 0) AS country_count, coalesce(a, 0) AS asn_count FROM tx t JOIN (SELECT txid, count(*) FILTER (direction = 'IN') AS i, count(*) FILTER (direction = 'OUT') AS o FROM legs GROUP BY txid) USING (txid)
     LEFT JOIN (SELECT txid, count(*) AS n, count(DISTINCT country) AS c, count(DISTINCT asn) AS a FROM obs GROUP BY txid) USING (txid)""",
     TX, LEGS, OBS,
@@ -980,7 +980,7 @@ ask(
 )
 ask(
     "qs10_hourly_volume",
-    """, h AS (SELECT hour(ts) AS hr, count(*) AS c, CAST(sum(CAST(value + CAST(CAST(value / 2 AS DECIMAL(18,2)) AS DOUBLE) AS DECIMAL(24,6))) AS DOUBLE) AS v FROM events WHERE hour(ts) <> 5 GROUP BY 1),
+    """, h AS (SELECT hour(ts) AS hr, count(*) AS c, CAST(sum(CAST(value + value * 2 AS DECIMAL(24,6))) AS DOUBLE) AS v FROM events WHERE hour(ts) <> 5 GROUP BY 1),
     al AS (SELECT hour(ts) AS hr, count(*) AS a FROM events WHERE event_type = 'error' GROUP BY 1)
     SELECT printf('%02d:00', i) AS time, i AS hour, coalesce(c, 0) AS tx_count, RND(coalesce(v, 0.0), 4) AS volume, coalesce(a, 0) AS alerts, CAST(sum(coalesce(c, 0)) OVER () AS BIGINT) AS total_transactions,
     CAST(sum(coalesce(a, 0)) OVER () AS BIGINT) AS total_alerts FROM hours LEFT JOIN h ON h.hr = i LEFT JOIN al ON al.hr = i""",
