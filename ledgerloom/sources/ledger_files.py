@@ -129,7 +129,7 @@ def read_ledger_json(spark: SparkSession, path) -> DataFrame:
         rows = spark.read.text(path).select(parsed.alias("r")).filter(F.col("r._bad").isNull()).select("r.*").drop("_bad")
         return _map_records(_with_position(rows), split_list)
     # a broken document fails its job instead of turning into nulls
-    strict, document = {"mode": "FAILFAST"}, spark.read.option("wholetext", True).text(path)
+    strict, document = {"mode": "FAILFAST"}, spark.read.text(path, wholetext=True)
     if layout == "array":
         rows = document.select(F.inline(F.from_json("value", T.ArrayType(record), strict)))
     else:

@@ -81,14 +81,14 @@ def test_ledger_files_and_quality(spark, tmp_path):
     p = tmp_path / "l.csv"
     p.write_text(
         "txid,timestamp,input_addresses,output_addresses,input_amounts,output_amounts\n"
-        "TX_A,2024-01-01T00:00:00Z,w1,w2;w3,5.0,2.5;2.499\nTX_B,2024-01-01T01:00:00Z,w2,w4,1,1\n"
-        "TX_A,2024-01-01T02:00:00Z,w1,w2,5,5\nTX_C,2024-01-01T03:00:00Z,w3,w1,2,2\n"
+        "TX_A,2024-01-01T00:00:00Z,w_1,w_2;w_3,5.0,2.5;2.499\nTX_B,2024-01-01T01:00:00Z,w_2,w_4,1,1\n"
+        "TX_A,2024-01-01T02:00:00Z,w_1,w_2,5,5\nTX_C,2024-01-01T03:00:00Z,w_3,w_1,2,2\n"
     )
     led = ingest.ingest(lf.read_ledger_csv(spark, str(p)))
     q = quality.quality_report(led).first()
     assert (q.total_records, q.valid_records, q.duplicate_records, q.unique_wallets) == (4, 3, 1, 4)
     peers = {r.address: r.unique_counterparties for r in features.counterparties(led.legs).collect()}
-    assert peers["w1"] == 3
+    assert peers["w_1"] == 2
     rec = '{"txid":"TX_J","input_addresses":["a1x"],"outputs":"b1x;b2x"}'
     for name, body, n in (("a", f"[{rec},\n{rec}]", 2), ("w", f'{{"data": [{rec}]}}', 1), ("n", f"{rec}\nnot json\n{rec}\n", 2)):
         f = tmp_path / f"{name}.json"
