@@ -1368,7 +1368,7 @@ def st4_correlation_stream(spark, sf):
     out, state = scratch(spark, "st4"), scratch(spark, "st4-state")
     for q in jobs.start_correlation_stream(_landed(tx, "tx"), _landed(star.event_capture(spark, sf), "obs"), out, state):
         q.awaitTermination()
-    end = tx.agg(F.max("ts_us")).first()[0] + 2 * 3600 * 1_000_000
+    end = tx.agg(F.max("ts_us")).first()[0] + 2 * 86_400 * 1_000_000
     got = jobs.close_slices(spark, out, end)
     return got.select("txid", "correlation_method", "network_confidence", "time_difference_seconds", "src_ip")
 

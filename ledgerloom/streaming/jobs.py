@@ -117,7 +117,7 @@ def latest_version(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def start_correlation_stream(
-    tx: DataFrame, obs: DataFrame, folder: str, checkpoint: str, rules: LeadRules = LeadRules(), slice_s: int = 3600
+    tx: DataFrame, obs: DataFrame, folder: str, checkpoint: str, rules: LeadRules = LeadRules(), slice_s: int = 86_400
 ) -> tuple[StreamingQuery, StreamingQuery]:
     """Land both feeds in tables partitioned by time slice; correlate closed slices with `close_slices`.
 
@@ -144,7 +144,7 @@ def start_correlation_stream(
 
 
 def close_slices(
-    spark: SparkSession, folder: str, up_to_us: int, rules: LeadRules = LeadRules(), slice_s: int = 3600
+    spark: SparkSession, folder: str, up_to_us: int, rules: LeadRules = LeadRules(), slice_s: int = 86_400
 ) -> DataFrame:
     """Correlate every landed slice that ends a window before `up_to_us` and is not yet written.
 
