@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import byte_bpe, decontaminate, exact_dedup, simhash
+from ledgerloom.llm import byte_bpe, decontaminate, exact_dedup, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op5_toxicity": toxicity.op5_toxicity,
 }
 
 ORACLES: dict[str, str] = {
