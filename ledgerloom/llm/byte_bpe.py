@@ -21,17 +21,21 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import read, stored
 
 #: Characters of a chunk beyond its overlap with the next one, and of the overlap.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
+#: Rows whose ids a Python worker holds at once.
+ROWS = 256
 
 
 def rank_file() -> str:
@@ -56,14 +60,30 @@ def boundaries(chunk: str, lo: int, hi: int) -> list[int]:
     return [p for p in starts[1:] if lo <= p < hi and not chunk[p - 1].isspace()]
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs and `ids`, the token ids of each whole text."""
-    path = path or rank_file()
+def _encoded(docs: DataFrame, text: str, ids: str, path: str, decoded: str | None = None) -> DataFrame:
+    """docs, the ids of each text as one piece, and, if asked for, the bytes that these ids decode to."""
 
-    @pandas_udf("array<int>")
-    def encode_piece(texts: pd.Series) -> pd.Series:
+    def run(batches):
         enc = encoding(path)
-        return texts.map(lambda t: np.array(enc.encode_ordinary(t or ""), np.int32))
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                coded = [np.array(enc.encode_ordinary(t or ""), np.int32) for t in part.column(text).to_pylist()]
+                ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
+                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded)))]
+                if decoded:
+                    columns.append(pa.array([enc.decode_bytes(x.tolist()) for x in coded], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids, *[decoded] * bool(decoded)])
+
+    more = [StructField(ids, ArrayType(IntegerType()))] + ([StructField(decoded, BinaryType())] if decoded else [])
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
+
+
+def encode(
+    docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: str | None = None
+) -> DataFrame:
+    """docs and `ids`, the token ids of each whole text. decoded: name of a further column, as decode() would add it, made in the same pass."""
+    path = path or rank_file()
 
     @pandas_udf("struct<head:array<int>,tail:array<int>>")
     def seams(parts: pd.Series) -> pd.DataFrame:
@@ -72,7 +92,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
 
     names = docs.columns
     short = F.length(F.coalesce(F.col(text), F.lit(""))) <= chunk + overlap
-    quick = docs.filter(short).withColumn(ids, encode_piece(F.col(text)))
+    quick = _encoded(docs.filter(short), text, ids, path, decoded)
     long = docs.filter(~short).select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     long = stored(long, "bpe-long")
     # chunk i covers [i * chunk, (i + 1) * chunk + overlap)
@@ -91,28 +111,31 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
     piece = F.expr(f"CASE WHEN last THEN substring(part, begin + 1) ELSE substring(part, begin + 1, {chunk} + end - begin) END")
     pieces = chunks.join(stitched.filter("NOT whole"), ["row", "i"]).select("row", "i", piece.alias("piece"))
     whole = long.join(stitched.filter("whole").select("row").distinct(), "row").select("row", F.lit(0).alias("i"), F.col("text").alias("piece"))
-    coded = pieces.union(whole).withColumn("ids", encode_piece("piece"))
+    coded = _encoded(pieces.union(whole), "piece", "ids", path)
     # all pieces of one text meet again: as many as the text's own cell has
     joined = coded.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("__ids"))
     slow = long.join(joined, "row").select("doc.*", F.col("__ids").alias(ids))
-    return quick.unionByName(slow)
+    return quick.unionByName(decode(slow, ids, decoded, path) if decoded else slow)
 
 
 def decode(coded: DataFrame, ids: str = "ids", name: str = "decoded", path: str | None = None) -> DataFrame:
     """coded and `name`, the concatenated raw bytes of its ids; null ids count as none."""
     path = path or rank_file()
 
-    @pandas_udf("binary")
-    def to_bytes(rows: pd.Series) -> pd.Series:
+    def run(batches):
         enc = encoding(path)
-        return rows.map(lambda x: b"" if x is None else enc.decode_bytes(x.tolist()))
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                made = [enc.decode_bytes(x or []) for x in part.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*part.schema.names, name])
 
-    return coded.withColumn(name, to_bytes(F.col(ids)))
+    return coded.mapInArrow(run, StructType([*coded.schema.fields, StructField(name, BinaryType())]))
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
-    coded = decode(encode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))).drop("text")
+    coded = encode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), decoded="decoded").drop("text")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
