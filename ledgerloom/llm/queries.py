@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import byte_bpe, decontaminate, exact_dedup, secret_scan, simhash, toxicity, url_filters
+from ledgerloom.llm import byte_bpe, decontaminate, exact_dedup, secret_scan, simhash, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -16,10 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op1_url_filter": url_filters.op1_url_filter,
+    "op4_warc": warc.op4_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op6_secret_scan": secret_scan.OP6_SQL,
     "op1_url_filter": url_filters.OP1_SQL,
+    "op4_warc": warc.OP4_SQL,
 }
