@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import byte_bpe, decontaminate, exact_dedup, secret_scan, simhash, toxicity, url_filters, warc
+from ledgerloom.llm import byte_bpe, decontaminate, exact_dedup, language_id, secret_scan, simhash, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op1_url_filter": url_filters.op1_url_filter,
     "op4_warc": warc.op4_warc,
+    "op3_language_id": language_id.op3_language_id,
 }
 
 ORACLES: dict[str, str] = {
