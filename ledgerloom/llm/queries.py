@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import byte_bpe, decontaminate, exact_dedup, language_id, secret_scan, simhash, toxicity, url_filters, warc
+from ledgerloom.llm import byte_bpe, decontaminate, exact_dedup, language_id, secret_scan, simhash, suffix_dedup, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filters.op1_url_filter,
     "op4_warc": warc.op4_warc,
     "op3_language_id": language_id.op3_language_id,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
