@@ -3,7 +3,7 @@
 A text is its sequence of words. The CGK embedding walks over a window with a pointer: step j writes the word under the
 pointer, then moves on by a random bit that depends on j and that word. Two windows at small edit distance fall back into
 step after an edit, so most written symbols agree: edit distance becomes Hamming distance. Each of TABLES repetitions has
-its own random bits, starts at its own place in the item (window of the item's size, place o of it), and samples four
+its own random bits, starts near its own place in the item (at the longest of NEAR words there), and samples four
 of the first STEPS symbols as its key, the first one always. Every word of every document starts a window; windows that
 share a key with an item become candidates, and the edit distance in words decides: an item is found where it aligns
 with some stretch of the document within (1 - similarity) of its own words.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ledgerloom.llm.common import read
 
-TABLES, STEPS, SAMPLES, SHORT = 16, 12, 4, 12
+TABLES, STEPS, SAMPLES, SHORT, NEAR = 16, 12, 4, 12, 5
 BLOCK_CHARS = 8 << 20
 #: Words of documents that are walked over at once.
 AT_ONCE = 1 << 19
@@ -62,6 +63,25 @@ def fitting_distance(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(begin[end]), end
 
 
+def _levels(keys: np.ndarray, owners: list[tuple[int, int]], size: int):
+    """Sorted keys, one lookup for each symbol: (rank by first symbol, codes of rank and next symbol, first owner by rank, owners, their offsets)."""
+    if not len(keys):
+        return None
+    head = np.full(size, -1, np.int64)
+    firsts = np.unique(keys[:, 0])
+    head[firsts] = np.arange(len(firsts))
+    rank, codes = head[keys[:, 0]], []
+    for i in range(1, keys.shape[1]):
+        code = rank * size + keys[:, i]
+        known = np.unique(code)
+        codes.append(known)
+        rank = np.searchsorted(known, code)
+    order = np.argsort(rank, kind="stable")
+    first = np.searchsorted(rank[order], np.arange(rank.max() + 2))
+    owner, offset = (np.array([owners[i][n] for i in order], np.int64) for n in (0, 1))
+    return head, codes, first, owner, offset
+
+
 class Index:
     """The keys of a block of items."""
 
@@ -80,59 +100,69 @@ class Index:
     def tables(self) -> list[dict]:
         rng = np.random.default_rng(self.seed)
         size = len(self.vocabulary) + 1
+        length = np.array([0, *map(len, self.vocabulary)])
         out = []
         for t in range(TABLES):
             moves = rng.integers(0, 2, (STEPS, size), dtype=np.int32)
             steps = [0, *sorted(rng.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False).tolist())]
-            at = {"moves": moves, "steps": steps, "long": {}, "short": {}}
+            keys, owners, short = [], [], []
             for k, item in enumerate(self.items):
                 n = len(item)
                 if 0 < n < SHORT:
-                    at["short"].setdefault(int(item[t % n]), []).append((k, t % n))
+                    short.append((int(item[t % n]), k, t % n))
                 elif n:
-                    start = round((n - STEPS) * t / (TABLES - 1))
+                    start = round(max(0, n - STEPS - NEAR + 1) * t / (TABLES - 1))
+                    near = item[start : min(start + NEAR, n - STEPS + 1)]
+                    start += int(length[near].argmax())  # long words are rare: few windows begin with one
                     key, place = [], start
                     for j in range(steps[-1] + 1):
                         if j in steps:
                             key.append(int(item[place]))
                         place += int(moves[j, item[place]])
-                    at["long"].setdefault(tuple(key), []).append((k, start))
-            heads = np.zeros(size, bool)
-            heads[[k[0] for k in at["long"]]] = True
-            codes = {sum(s * size**i for i, s in enumerate(key[:2])): 1 for key in at["long"]}
-            at["heads"], at["pairs"] = heads, np.array(sorted(codes), np.int64)
-            shorts = np.zeros(size, bool)
-            shorts[list(at["short"])] = True
-            at["shorts"] = shorts
-            out.append(at)
+                    keys.append(key)
+                    owners.append((k, start))
+            out.append({"moves": moves, "steps": steps, "levels": _levels(np.array(keys, np.int64).reshape(-1, SAMPLES), owners, size), "short": _levels(np.array([[s[0]] for s in short], np.int64).reshape(-1, 1), [s[1:] for s in short], size)})
         return out
 
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(place in ids, item, place in the item) of windows that share a key. ids ends with STEPS zeros; 0 is no word of an item."""
+    def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the item would begin in ids, item) of windows that share a key. ids ends with STEPS zeros; 0 is no word of an item."""
         size = len(self.vocabulary) + 1
         last = len(ids) - STEPS
+        begins, items = [], []
         for at in self.tables:
-            start = np.flatnonzero(at["heads"][ids[:last]])
-            where, seen = start.copy(), [ids[start]]
-            for j in range(at["steps"][-1]):
-                where = where + at["moves"][j][ids[where]]
-                if j + 1 not in at["steps"]:
+            for levels, steps in ((at["levels"], at["steps"]), (at["short"], [0])):
+                if levels is None:
                     continue
-                symbol = ids[where]
-                keep = symbol > 0
-                if len(seen) == 1 and len(at["pairs"]):
-                    code = seen[0] + symbol * size
-                    spot = np.minimum(np.searchsorted(at["pairs"], code), len(at["pairs"]) - 1)
-                    keep &= at["pairs"][spot] == code
-                seen.append(symbol)
-                start, where, seen = start[keep], where[keep], [s[keep] for s in seen]
-            for p, key in zip(start.tolist(), zip(*(s.tolist() for s in seen))):
-                for item, offset in at["long"].get(key, ()):
-                    yield p, item, offset
-            if at["short"]:
-                for p in np.flatnonzero(at["shorts"][ids[:last]]).tolist():
-                    for item, offset in at["short"][int(ids[p])]:
-                        yield p, item, offset
+                head, codes, first, owner, offset = levels
+                start = np.flatnonzero(head[ids[:last]] >= 0)
+                where, rank = start, head[ids[start]]
+                for j in range(steps[-1]):
+                    where = where + at["moves"][j][ids[where]]
+                    if j + 1 in steps:
+                        known = codes[steps.index(j + 1) - 1]
+                        code = rank * size + ids[where]
+                        rank = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                        keep = known[rank] == code
+                        start, where, rank = start[keep], where[keep], rank[keep]
+                many = first[rank + 1] - first[rank]
+                each = np.repeat(np.arange(len(start)), many)
+                own = first[rank[each]] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+                begins.append(start[each] - offset[own])
+                items.append(owner[own])
+        if not begins:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        both = np.unique(np.stack([np.concatenate(begins), np.concatenate(items)], axis=1), axis=0)
+        return both[:, 0], both[:, 1]
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        return np.array([len(x) for x in self.items], np.int64)
+
+    @cached_property
+    def members(self) -> np.ndarray:
+        """Sorted codes of (item, word)."""
+        size = len(self.vocabulary) + 1
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *(k * size + x for k, x in enumerate(self.items))]))
 
     def search(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text, the items it holds with their nearest place."""
@@ -142,26 +172,33 @@ class Index:
         begins = np.concatenate(([0], np.cumsum(lengths + STEPS)))
         ids = np.zeros(int(begins[-1]) + STEPS, np.int64)
         for b, words in zip(begins.tolist(), split):
-            ids[b : b + len(words)] = [lookup(w, 0) for w in words]
+            ids[b : b + len(words)] = np.fromiter(map(lookup, words, repeat(0)), np.int64, len(words))
+        begin, item = self.candidates(ids)
+        doc = np.searchsorted(begins, begin + self.lengths[item] // 2, "right") - 1
+        doc = np.clip(doc, 0, len(texts) - 1)
+        allowed = ((1 - self.similarity) * self.lengths + 1e-9).astype(np.int64)[item]
+        lo = np.maximum(begins[doc], begin - allowed)
+        hi = np.minimum(begins[doc] + lengths[doc], begin + self.lengths[item] + allowed)
+        need = self.lengths[item] - allowed
+        # an item within the distance leaves that many of its words in the stretch: first any item's words, then its own
+        seen = np.concatenate(([0], np.cumsum(ids > 0)))
+        stay = np.flatnonzero((hi > lo) & (seen[np.maximum(hi, lo)] - seen[lo] >= need))
         best: dict[tuple[int, int], tuple] = {}
-        tried = set()
-        for p, k, offset in self.candidates(ids):
-            doc = int(np.searchsorted(begins, p, "right")) - 1
-            item = self.items[k]
-            n = len(item)
-            allowed = int((1 - self.similarity) * n + 1e-9)
-            begin = p - offset
-            if (doc, k, begin) in tried:
-                continue
-            tried.add((doc, k, begin))
-            lo, hi = max(int(begins[doc]), begin - allowed), min(int(begins[doc] + lengths[doc]), begin + n + allowed)
-            window = ids[lo:hi]
-            if np.isin(item, window).sum() < n - allowed:
-                continue
-            distance, s, e = fitting_distance(item, window)
-            if distance <= allowed:
-                found = (distance, lo + s - int(begins[doc]), lo + e - int(begins[doc]))
-                best[doc, k] = min(best.get((doc, k), found), found)
+        size = len(self.vocabulary) + 1
+        for i in range(0, len(stay), 4096):
+            c = stay[i : i + 4096]
+            width = hi[c] - lo[c]
+            row = np.repeat(np.arange(len(c)), width)
+            at = lo[c][row] + np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)
+            code = item[c][row] * size + ids[at]
+            own = self.members[np.minimum(np.searchsorted(self.members, code), len(self.members) - 1)] == code
+            for k in c[np.bincount(row[own], minlength=len(c)) >= need[c]].tolist():
+                start, key = int(lo[k]), (int(doc[k]), int(item[k]))
+                distance, s, e = fitting_distance(self.items[key[1]], ids[start : int(hi[k])])
+                if distance <= allowed[k]:
+                    base = start - int(begins[key[0]])
+                    found = (distance, base + s, base + e)
+                    best[key] = min(best.get(key, found), found)
         out: list[list[dict]] = [[] for _ in texts]
         spans: dict[int, list] = {}
         for (doc, k), (distance, s, e) in sorted(best.items()):
