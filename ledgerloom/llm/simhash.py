@@ -8,6 +8,7 @@
    query updates 64 distances at once with carry-save counters. A block is abandoned as soon as all of its lanes exceed
    the radius. A row that is already linked into a component of its band is not searched for again, so a dense band
    costs about its size, and at most size - 1 links leave it.
+   Bands of at most 64 emit all of their links.
 5. Bands above TILE rows are dealt to pairs of tiles, so that no task holds a whole hot band; all pairs are still compared.
 6. Connected components over the links.
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -76,42 +78,43 @@ def _bands() -> list[int]:
 
 
 def bit_planes(fps: np.ndarray, blocks: np.ndarray, lanes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """planes[bit, block]: one word with that bit of 64 fingerprints; used[block]: which lanes hold one."""
-    planes, used = np.zeros((64, n_blocks), np.uint64), np.zeros(n_blocks, np.uint64)
+    """planes[bit, block]: one word with that bit of 64 fingerprints (rows of words); used[block]: which lanes hold one."""
+    planes, used = np.zeros((64 * fps.shape[1], n_blocks), np.uint64), np.zeros(n_blocks, np.uint64)
     lane = np.uint64(1) << lanes.astype(np.uint64)
     np.bitwise_or.at(used, blocks, lane)
-    for bit in range(64):
-        on = (fps >> np.uint64(bit)) & np.uint64(1) == 1
+    for bit in range(len(planes)):
+        on = (fps[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1) == 1
         np.bitwise_or.at(planes[bit], blocks[on], lane[on])
     return planes, used
 
 
 def near_lanes(queries: np.ndarray, block: np.ndarray, planes: np.ndarray, used: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """For query i against block[i]: (indices with a near lane, words of their near lanes). radius is at most 6.
+    """For query i against block[i]: (indices with a near lane, words of their near lanes).
 
-    Counters one, two, four hold each lane's distance so far, in carry-save form; a lane whose distance passes the
+    The counters hold one bit of each lane's distance so far, in carry-save form; a lane whose distance passes the
     radius leaves `alive`, and queries without a lane alive leave the work.
     """
     at = np.arange(len(queries))
     alive = used[block].copy()
-    one, two, four = (np.zeros(len(queries), np.uint64) for _ in range(3))
-    for bit in range(64):
-        want = np.where((queries >> np.uint64(bit)) & np.uint64(1) == 1, _ALL, np.uint64(0))
+    counters = [np.zeros(len(queries), np.uint64) for _ in range((radius + 1).bit_length())]
+    every = 4 if radius < 16 else 16
+    for bit in range(len(planes)):
+        want = np.where((queries[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1) == 1, _ALL, np.uint64(0))
         carry = planes[bit][block] ^ want
-        one, carry = one ^ carry, one & carry
-        two, carry = two ^ carry, two & carry
-        four, carry = four ^ carry, four & carry
-        dead, same = carry, _ALL  # same: lanes whose higher counter bits equal those of the radius
-        for place, count in ((4, four), (2, two), (1, one)):
-            if radius & place:
-                same = same & count
-            else:
-                dead, same = dead | (same & count), same & ~count
+        for i, count in enumerate(counters):
+            counters[i], carry = count ^ carry, count & carry
+        if bit < radius:
+            continue
+        # the first distance above the radius has a pattern of its own, and a lane that shows it is dead from then on
+        dead = _ALL
+        for i, count in enumerate(counters):
+            dead = dead & (count if (radius + 1) >> i & 1 else ~count)
         alive &= ~dead
-        if bit % 4 == 3 and bit >= 7:
+        if bit % every == every - 1:
             stay = alive != 0
             if not stay.all():
-                at, alive, one, two, four, queries, block = (x[stay] for x in (at, alive, one, two, four, queries, block))
+                at, alive, queries, block = (x[stay] for x in (at, alive, queries, block))
+                counters = [c[stay] for c in counters]
             if not len(at):
                 break
     return at, alive
@@ -123,44 +126,35 @@ def _lanes_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(bits)
 
 
-def _small_groups(fps: np.ndarray, group: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within groups of at most 64 rows: one block each, every row a query."""
+def _small_groups(fps: np.ndarray, group: np.ndarray, rank: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links within groups of at most 64 rows: one block each, every row a query."""
     planes, used = bit_planes(fps, group, rank, int(group.max()) + 1)
     first = np.zeros(int(group.max()) + 1, np.int64)
     first[group[::-1]] = np.arange(len(group))[::-1]
     for i in range(0, len(fps), 1 << 18):
-        at, words = near_lanes(fps[i : i + (1 << 18)], group[i : i + (1 << 18)], planes, used)
+        at, words = near_lanes(fps[i : i + (1 << 18)], group[i : i + (1 << 18)], planes, used, radius)
         row, lane = _lanes_of(words)
         a, b = at[row] + i, first[group[at[row] + i]] + lane
         yield a[a < b], b[a < b]
 
 
-def _large_group(fps: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join the same rows as all links of one group would: each row is a query once, against the rows not reached yet.
-
-    side: with two tiles, 0 or 1 for each row. Links within a tile may come from here too.
-    """
-    n = len(fps)
-    index = np.arange(n)
-    blocks, lanes = index // 64, index % 64
-    planes, used = bit_planes(fps, blocks, lanes, int(blocks[-1]) + 1)
+def _large_group(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join the same rows as all links of one group would: each row is a query once, against the rows not reached yet."""
+    index = np.arange(len(fps))
+    planes, used = bit_planes(fps, index // 64, index % 64, (len(fps) + 63) // 64)
     waiting: list[int] = []
-    start = 0
     while True:
+        open_ = np.flatnonzero(used)
+        if not len(open_):
+            return
         if not waiting:
-            open_ = np.flatnonzero(used)
-            if not len(open_):
-                return
             block = int(open_[0])
             lane = (int(used[block]) & -int(used[block])).bit_length() - 1
-            start = block * 64 + lane
             used[block] &= ~(np.uint64(1) << np.uint64(lane))
-            waiting = [start]
+            waiting = [block * 64 + lane]
+            open_ = np.flatnonzero(used)
         q = waiting.pop()
-        open_ = np.flatnonzero(used)
-        if not len(open_):
-            return
-        at, words = near_lanes(np.full(len(open_), fps[q]), open_, planes, used)
+        at, words = near_lanes(np.repeat(fps[q : q + 1], len(open_), axis=0), open_, planes, used, radius)
         if len(at):
             row, lane = _lanes_of(words)
             hit = open_[at[row]] * 64 + lane
@@ -169,64 +163,75 @@ def _large_group(fps: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.
             yield np.full(len(hit), q), hit
 
 
-def _links_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by band, key and tile pair. Whole groups are compared as soon as the next group begins."""
-    held_g: list[np.ndarray] = []
-    held_f: list[np.ndarray] = []
-
-    def out(a, b, fps):
-        return pa.RecordBatch.from_arrays([pa.array(fps[a].view(np.int64)), pa.array(fps[b].view(np.int64))], names=["u", "v"])
+def _links_of_partition(radius: int):
+    """Rows (band, key, pair, node, words) come sorted by band, key and tile pair. Whole groups are compared as soon as the next group begins."""
 
-    def compare(g, fps):
+    def compare(g, nodes, fps):
         new = np.concatenate(([True], (g[1:] != g[:-1]).any(axis=1)))
         group = np.cumsum(new) - 1
-        sizes = np.bincount(group)
-        starts = np.flatnonzero(new)
+        sizes, starts = np.bincount(group), np.flatnonzero(new)
         rank = np.arange(len(g)) - starts[group]
-        small = sizes[group] <= 64
-        if small.any():
-            part = np.flatnonzero(small)
+        part = np.flatnonzero((sizes[group] <= 64) & (sizes[group] > 1))
+        if len(part):
             dense = np.unique(group[part], return_inverse=True)[1]
-            for a, b in _small_groups(fps[part], dense, rank[part]):
-                yield out(part[a], part[b], fps)
+            for a, b in _small_groups(fps[part], dense, rank[part], radius):
+                yield nodes[part[a]], nodes[part[b]]
         for s, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-            for a, b in _large_group(fps[s : s + m], None):
-                yield out(a + s, b + s, fps)
-
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held_g.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1))
-        held_f.append(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))
-        rows += batch.num_rows
-        if rows < 1 << 16:
-            continue
-        g, f = np.concatenate(held_g), np.concatenate(held_f)
-        last = np.flatnonzero((g != g[-1]).any(axis=1))
-        end = int(last[-1]) + 1 if len(last) else 0
-        if end:
-            yield from compare(g[:end], f[:end])
-        held_g, held_f, rows = [g[end:]], [f[end:]], len(g) - end
-    if rows:
-        yield from compare(np.concatenate(held_g), np.concatenate(held_f))
-
-
-def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
-    """(u, v): links among distinct fingerprints (column fp) within the radius, enough to join all that are linked."""
-    masks = F.array(*[F.lit(m) for m in _bands()])
-    rows = fps.select("fp", F.posexplode(masks).alias("band", "mask")).select("fp", "band", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+            for a, b in _large_group(fps[s : s + m], radius):
+                yield nodes[a + s], nodes[b + s]
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+
+        def out(pairs):
+            for u, v in pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        def joined():
+            return (np.concatenate([h[i] for h in held]) for i in range(3))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column(4)
+            width = len(words.flatten()) // batch.num_rows
+            fps = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
+            held.append((np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1), batch.column(3).to_numpy(zero_copy_only=False), fps))
+            rows += batch.num_rows
+            if rows < 1 << 16:
+                continue
+            g, nodes, fps = joined()
+            last = np.flatnonzero((g != g[-1]).any(axis=1))
+            end = int(last[-1]) + 1 if len(last) else 0
+            if end:
+                yield from out(compare(g[:end], nodes[:end], fps[:end]))
+            held, rows = [(g[end:], nodes[end:], fps[end:])], len(g) - end
+        if rows:
+            yield from out(compare(*joined()))
+
+    return links
+
+
+def _compared(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(u, v): links among rows (band, key, node, words) that share a band's key, enough to join all that are within the radius there."""
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = rows.join(sizes, ["band", "key"])
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pair = F.least("own", "other") * F.lit(1 << 15) + F.greatest("own", "other")
     rows = (
-        rows.withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(F.col("band").cast("long"), "key", pair.cast("long").alias("pair"), "fp")
-        .repartition("band", "key", "pair").sortWithinPartitions("band", "key", "pair", "fp")
+        rows.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select(F.col("band").cast("long"), "key", pair.cast("long").alias("pair"), "node", "words")
+        .repartition("band", "key", "pair").sortWithinPartitions("band", "key", "pair", "node")
     )
-    return rows.mapInArrow(_links_of_partition, "u long, v long")
+    return rows.mapInArrow(_links_of_partition(radius), "u long, v long")
+
+
+def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
+    """(u, v): links among distinct fingerprints (column fp) within RADIUS bits."""
+    masks = F.array(*[F.lit(m) for m in _bands()])
+    rows = fps.select("fp", F.posexplode(masks).alias("band", "mask"))
+    return _compared(rows.select("band", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), F.col("fp").alias("node"), F.array("fp").alias("words")), RADIUS, tile)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
@@ -240,11 +245,66 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """One row of each component, columns unchanged: the one with the smallest id; a null id is the largest, and rows with one id are ordered as stored."""
+#: Wide fingerprints: words of 64 bits, bands of minimal hashes and hashes in a band.
+WORDS, MINIMA, ROWS = 8, 14, 5
+_SALTS = np.random.default_rng(64).integers(0, 1 << 63, WORDS + MINIMA * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits that pairs of this Jaccard similarity stay within with a probability of about 0.96 (two deviations less a little)."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WORDS
+    return int(n * p + 1.8 * np.sqrt(n * p * (1 - p)))
+
+
+def signature(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of WORDS words, keys of the MINIMA bands). Blank texts have one signature of their own."""
+    parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    k = min(words, len(parts))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(b" ".join(parts[i : i + k]), 42) for i in range(len(parts) - k + 1)] if parts else [0], np.uint64)
+    votes, low = np.zeros(64 * WORDS, np.int64), np.full(MINIMA * ROWS, _ALL)
+    for i in range(0, len(hashes), 2048):
+        mixed = (hashes[i : i + 2048] ^ _SALTS) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(np.ascontiguousarray(mixed[:WORDS].T).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.int32)
+        low = np.minimum(low, mixed[WORDS:].min(axis=1))
+    bands = low.reshape(MINIMA, ROWS)
+    keys = bands[:, 0].copy()
+    for r in range(1, ROWS):
+        keys = (keys * np.uint64(0x100000001B3)) ^ bands[:, r]
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8"), keys.view(np.int64)
+
+
+def similar_groups(rows: DataFrame, place: str, text: str, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """(place, first): groups of texts whose estimated Jaccard similarity on word shingles links them; first is the smallest place of the group.
+
+    Four bits of 64 only hold pairs of about 0.95. Here the fingerprint has 512 bits, whose distance estimates the
+    similarity to about 0.03. Candidates share one of 14 bands of five minimal shingle hashes (0.996 of pairs at 0.8);
+    they are compared bit-sliced, as above, within wide_radius().
+    """
+
+    @pandas_udf("struct<words:array<long>,keys:array<long>>")
+    def of(texts):
+        return pd.DataFrame([{"words": w, "keys": k} for w, k in (signature(t, words) for t in texts)], columns=["words", "keys"])
+
+    marked = rows.select(F.col(place).alias("place"), of(F.col(text)).alias("s")).select("place", "s.words", "s.keys")
+    marked = stored(marked, "wide-simhash")
+    nodes = cut(marked.groupBy("words").agg(F.min("place").alias("lowest"), F.first("keys").alias("keys"), F.min("place.row").alias("node")))
+    banded = nodes.select("node", "words", F.posexplode("keys").alias("band", "key"))
+    member = connected_components(_compared(banded.select("band", "key", "node", "words"), wide_radius(similarity), tile))
+    named = nodes.select("words", "lowest", "node").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    low = named.groupBy("component").agg(F.min("lowest").alias("first"))
+    return marked.select("place", "words").join(named.join(low, "component").select("words", "first"), "words").select("place", "first")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of similar texts, columns unchanged: the one with the smallest id; a null id is the largest, and rows with one id are ordered as stored."""
     order = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"))
     rows = stored(docs.select(order.alias("place"), F.col(text).alias("text"), F.struct("*").alias("doc")), "simhash-rows")
-    gone = cut(near_duplicates(rows, "place", words=words).filter("doc_id != component_id").select(F.col("doc_id.row").alias("row")))
+    gone = cut(similar_groups(rows, "place", "text", words, similarity).filter("place != first").select(F.col("place.row").alias("row")))
     gone = shared_if_small(gone, gone.count(), 16)
     return rows.join(gone, rows["place.row"] == gone["row"], "left_anti").select("doc.*")
 

@@ -87,12 +87,52 @@ def test_near_lanes_equal_popcount_for_every_radius():
     near = base ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
     fps = np.concatenate([base, near, near ^ np.uint64(0xF0)])
     i = np.arange(len(fps))
-    planes, used = simhash.bit_planes(fps, i // 64, i % 64, len(fps) // 64 + 1)
-    for radius in (0, 1, 3, 4, 6):
-        for q in (0, 250, 599):
-            at, words = simhash.near_lanes(np.full(len(used), fps[q]), np.arange(len(used)), planes, used, radius)
-            row, lane = simhash._lanes_of(words)
-            assert sorted((at[row] * 64 + lane).tolist()) == [k for k in range(len(fps)) if int(fps[k] ^ fps[q]).bit_count() <= radius]
+    for fps in (fps[:, None], np.stack([fps, np.roll(base, 1).repeat(3)], axis=1)):
+        planes, used = simhash.bit_planes(fps, i // 64, i % 64, len(fps) // 64 + 1)
+        distance = lambda a, b: sum(int(x ^ y).bit_count() for x, y in zip(fps[a], fps[b]))  # noqa: B023, E731
+        for radius in (0, 1, 3, 4, 6, 30, 62):
+            for q in (0, 250, 599):
+                at, words = simhash.near_lanes(np.repeat(fps[q : q + 1], len(used), axis=0), np.arange(len(used)), planes, used, radius)
+                row, lane = simhash._lanes_of(words)
+                assert sorted((at[row] * 64 + lane).tolist()) == [k for k in range(len(fps)) if distance(k, q) <= radius]
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*[t.lower().split()[i:] for i in range(5)])) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_are_found_and_others_stay(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(3000)}"
+    rows, truth = [], []
+    for i in range(150):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        rows.append((1000 + i, " ".join(base)))
+        other = list(base)
+        for _ in range(max(1, len(base) // rng.choice([45, 60, 100, 200]))):
+            other[rng.randrange(len(other))] = word()
+        rows.append((i, " ".join(other)))
+        truth.append(jaccard(rows[-1][1], rows[-2][1]))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(150)) <= kept
+    near = [i for i in range(150) if truth[i] >= 0.8]
+    assert len(near) > 50 and sum(1000 + i not in kept for i in near) >= 0.95 * len(near)
+    assert all(1000 + i in kept for i in range(150) if truth[i] < 0.6)
+
+
+def test_hot_groups_of_similar_texts_keep_one_row(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for i in range(200):
+        other = list(base)
+        other[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(other)))
+    order = F.struct(F.lit(False).alias("no_id"), F.col("doc_id").alias("id"), F.col("doc_id").alias("row"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(order.alias("place"), "text")
+    for tile in (1 << 15, 30):
+        assert {r.first.id for r in simhash.similar_groups(df, "place", "text", tile=tile).collect()} == {0}
 
 
 def test_keep_one_keeps_one_row_of_each_group_and_all_columns(spark):
