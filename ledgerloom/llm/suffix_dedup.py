@@ -8,7 +8,7 @@ move WINDOW bytes for each byte of text, so suffixes are sorted at anchors, whic
 2. Every window with its anchor at a holds the REACH bytes from a on. Anchors whose REACH bytes occur once can't matter;
    Spark counts hashes of them, and only anchors with a repeated hash go on (a false hash match does no harm).
 3. Each task sorts the suffixes at its anchors (with the reversed bytes before the anchor as the tail of the key),
-   folds equal ones, and front-codes the sorted run: shared prefix length and the rest.
+   folds equal ones, and front-codes its sorted run: shared prefix length and the rest.
 4. Runs are cut at sampled splitters and exchanged; each range merges its runs with a loser tree that holds, for every
    run's head, its common prefix with the last key that left. Heads are ordered by those lengths; only equal lengths are
    compared, from there on, so a known prefix is never read again.
@@ -40,7 +40,7 @@ from ledgerloom.llm.common import read, stored
 WINDOW, SPAN, GRAM = 200, 128, 8
 REACH = WINDOW - SPAN + 1
 #: Window starts that are hashed at once, suffixes in a run, suffixes in a range, samples for each range.
-AT_ONCE, RUN, RANGE, SAMPLES = 1 << 20, 1 << 17, 150_000, 20
+AT_ONCE, RUN, RANGE, SAMPLES = 1 << 20, 1 << 15, 150_000, 20
 _POS = np.uint64((1 << 22) - 1)
 _TAIL = struct.Struct("<HHBBI")  # shared prefix, rest, least d, repeated, number in the run
 
@@ -127,7 +127,7 @@ def shared_prefix(a: bytes, b: bytes, known: int) -> int:
     return n
 
 
-def front_code(entries: list) -> bytes:
+def front_code(entries) -> bytes:
     """Sorted (number, (key, least d, repeated)) as a run: each with its shared prefix with the one before, rest and number."""
     out, before = [], b""
     for number, (key, d, many) in entries:
@@ -198,51 +198,59 @@ def merged(runs: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes, int, int
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of the suffixes at candidate anchors, and where each suffix lies. Rows: (run, blob) or (run, number, id, h, place)."""
+    """One sorted run of the suffixes at candidate anchors, and where each suffix lies. Rows: (run, blob) or (run, number, id, h, place).
+
+    Short runs of RUN suffixes are sorted in memory and merged at the end of the task; only front-coded bytes wait.
+    A number is that of the short run and the place in it.
+    """
     from pyspark import TaskContext
 
     unpack = zstandard.ZstdDecompressor().decompress
-    part, runs = TaskContext.get().partitionId(), 0
+    name = TaskContext.get().partitionId()
+    names = ["run", "number", "id", "h", "place", "blob"]
     held: list[tuple[bytes, int]] = []
-    owners: list[pa.Array] = []
+    owners: list[tuple[pa.Array, np.ndarray]] = []
     where: list[np.ndarray] = []
+    blobs: list[tuple[int, bytes]] = []
+    id_type = None
 
     def flush():
-        nonlocal runs
-        name = part * (1 << 20) + runs
-        runs += 1
-        order = sorted(range(len(held)), key=held.__getitem__)
+        base = len(blobs) * RUN
         number_of, entries = np.zeros(len(held), np.int64), []
-        for i in order:
+        for i in sorted(range(len(held)), key=held.__getitem__):
             key, d = held[i]
             if entries and entries[-1][1][0] == key and entries[-1][1][1] == d:
                 entries[-1][1][2] = 1
             else:
-                entries.append((len(entries), [key, d, 0]))
-            number_of[i] = len(entries) - 1
-        blob = front_code(entries)
-        ids, hs, places = pa.concat_arrays([x[0] for x in owners]), np.concatenate([x[1] for x in owners]), np.concatenate(where)
+                entries.append((base + len(entries), [key, d, 0]))
+            number_of[i] = entries[-1][0]
+        blobs.append((len(blobs), front_code(entries)))
         n = len(held)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, name)), pa.array(number_of), ids, pa.array(hs), pa.array(places), pa.nulls(n, pa.binary())], names=["run", "number", "id", "h", "place", "blob"]
-        )
-        none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([name]), none, pa.nulls(1, ids.type), none, none, pa.array([blob], pa.binary())], names=["run", "number", "id", "h", "place", "blob"])
+        ids, hs = pa.concat_arrays([x[0] for x in owners]), np.concatenate([x[1] for x in owners])
+        rows = pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(number_of), ids, pa.array(hs), pa.array(np.concatenate(where)), pa.nulls(n, pa.binary())], names=names)
         held.clear(), owners.clear(), where.clear()
+        return rows
 
     for batch in batches:
+        id_type = batch.column("id").type
         for i in range(batch.num_rows):
             data = unpack(batch.column("z")[i].as_py())
-            packed = np.sort(batch.column("anchors")[i].values.to_numpy())
-            place, before, least = packed >> 16, (packed >> 8) & 255, packed & 255
-            for p, most, d in zip(place.tolist(), before.tolist(), least.tolist()):
-                held.append((data[p : p + WINDOW - d] + data[p - most : p][::-1], d))
-            owners.append((batch.column("id").take(pa.array(np.full(len(packed), i))), np.full(len(packed), batch.column("h")[i].as_py())))
-            where.append(place)
-            if len(held) >= RUN:
-                yield from flush()
+            found = np.sort(batch.column("anchors")[i].values.to_numpy())
+            for s in range(0, len(found), RUN // 2):
+                packed = found[s : s + RUN // 2]
+                if len(held) + len(packed) > RUN:
+                    yield flush()
+                place, before, least = packed >> 16, (packed >> 8) & 255, packed & 255
+                for p, most, d in zip(place.tolist(), before.tolist(), least.tolist()):
+                    held.append((data[p : p + WINDOW - d] + data[p - most : p][::-1], d))
+                owners.append((batch.column("id").take(pa.array(np.full(len(packed), i))), np.full(len(packed), batch.column("h")[i].as_py())))
+                where.append(place)
     if held:
-        yield from flush()
+        yield flush()
+    if blobs:
+        blob = blobs[0][1] if len(blobs) == 1 else front_code((number, (key, d, many)) for _, key, d, many, _, number in merged(blobs))
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([name]), none, pa.nulls(1, id_type), none, none, pa.array([blob], pa.binary())], names=names)
 
 
 def _samples(share: float):

@@ -46,6 +46,29 @@ def texts(seed=3):
     return out
 
 
+def test_short_runs_are_merged_in_the_task(monkeypatch):
+    import pyarrow as pa
+    import zstandard
+
+    monkeypatch.setattr(sd, "RUN", 64)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    datas = [(t or "").encode() for t in texts()]
+    found = [sd.pack(*sd.anchors(d)[:3]) for d in datas]
+    rows = [(i, d, a) for i, (d, a) in enumerate(zip(datas, found)) if len(a)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int64()), pa.array([zstandard.compress(r[1]) for r in rows]), pa.array([r[2].tolist() for r in rows], pa.list_(pa.int64()))],
+        names=["id", "h", "z", "anchors"],
+    )
+    out = [r for b in sd._run_rows([batch]) for r in b.to_pylist()]
+    places = {r["number"]: (r["id"], r["place"]) for r in out if r["blob"] is None}
+    run = list(sd.decoded(out[-1]["blob"]))
+    assert len(out) - 1 == sum(map(len, found)) > 300 and [x[1] for x in run] == sorted(x[1] for x in run)
+    for _, key, d, _, number in run:
+        i, p = places[number]
+        assert datas[i][p : p + W - d] == key[: W - d]
+    assert {x[4] for x in run} == set(places)
+
+
 @pytest.mark.parametrize("range_size", [sd.RANGE, 60])
 def test_removed_bytes_equal_brute_force(spark, range_size):
     all_ = texts()
