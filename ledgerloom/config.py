@@ -62,16 +62,14 @@ ON_DEMAND_PROFILE = ProfileRules(high_from=6, min_span_hours=1.0)
 
 @dataclass(frozen=True)
 class ModelRules:
+    model: str = "forest"
     contamination: float = 0.05
     trees: int = 100
     rows_per_tree: int = 256
     seed: int = 42
     lof_neighbours: int = 20
-    lof_max_rows: int = 5000
     dbscan_eps: float = 0.7
     dbscan_min_samples: int = 3
-    dbscan_max_rows: int = 15000
-    train_max_rows: int = 50000
     min_entities: int = 3
     alert_score: int = 35
     alert_anomaly: float = 0.65

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +9,10 @@ from ..functions.numbers import snap
 from ..config import ModelRules
 from ..functions.tables import WALLET_FEATURES
 from ..session import cut
+from .metric_cells import density_clusters, folded, nearest_of
 from .outliers import clean_matrix, seeded_sample, standard_scale
 
 NOISE = -1
-BLOCK = 64
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -47,121 +45,41 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return current.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(roots)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-
-
-def dbscan(df: DataFrame, cols: list[str], key: str, eps: float, min_samples: int = 3, max_rows: int = 15_000) -> DataFrame:
-    """(key, cluster_label) on already scaled rows; -1 is noise.
-
-    For tables of at most `max_rows` rows (checked; larger ones go through cluster_entities).  The
-    points reach every task, which sends back flags and one joining edge per block and group of
-    core neighbours, never the pairs themselves.  A border point takes the smallest label among its
-    core neighbours.
-    """
-    cols = list(cols)
-    held = df.select(key, *cols).limit(max_rows + 1).toPandas()
-    if len(held) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: sample first")
-    held = held.sort_values(key).reset_index(drop=True)
-    sc, spark = df.sparkSession.sparkContext, df.sparkSession
-    points = sc.broadcast((held[key].to_numpy(), held[cols].to_numpy(float)))
-    parts = max(1, min(len(held) // BLOCK + 1, spark.sparkContext.defaultParallelism * 4))
-    rows = spark.range(0, len(held), 1, parts).withColumnRenamed("id", "row")
-
-    def blocks(batches):
-        x = points.value[1]
-        for pdf in batches:
-            at = pdf["row"].to_numpy()
-            for i in range(0, len(at), BLOCK):
-                mine = at[i : i + BLOCK]
-                yield mine, _distances(x[mine], x) <= eps
-
-    def count(batches):
-        for mine, near in blocks(batches):
-            yield pd.DataFrame({"row": mine, "core": near.sum(axis=1) >= min_samples})
-
-    flags = rows.mapInPandas(count, "row long, core boolean").toPandas().sort_values("row")
-    core = sc.broadcast(flags["core"].to_numpy(bool))
-
-    def join(batches):
-        is_core = core.value
-        for mine, near in blocks(batches):
-            near = near & is_core[None, :]
-            own = is_core[mine]
-            if not own.any():
-                continue
-            # link every reached core point to the first row of the block that reaches it, and
-            # every other row that reaches it to that first row
-            reach, src = near[own], mine[own]
-            hit = np.flatnonzero(reach.any(axis=0))
-            first = reach[:, hit].argmax(axis=0)
-            r, c = np.nonzero(reach[:, hit])
-            meets = pd.DataFrame({"src": src[r], "dst": src[first[c]]}).drop_duplicates()
-            out = [pd.DataFrame({"src": src[first], "dst": hit}), meets]
-            yield pd.concat(out)
-
-    links = rows.mapInPandas(join, "src long, dst long").filter("src <> dst")
-    comp = connected_components(links)
-    local = comp.toPandas()  # at most max_rows rows
-    root = np.arange(len(held))
-    root[local["id"].to_numpy(int)] = local["component"].to_numpy(int)
-    is_core = flags["core"].to_numpy(bool)
-    label_of = np.full(len(held), NOISE)
-    label_of[is_core] = np.unique(root[is_core], return_inverse=True)[1]
-    final = sc.broadcast(label_of)
-
-    def assign(batches):
-        ids = points.value[0]
-        for mine, near in blocks(batches):
-            reach = near & core.value[None, :]
-            lowest = np.where(reach, final.value[None, :], len(ids)).min(axis=1)
-            label = np.where(reach.any(axis=1), lowest, NOISE)
-            yield pd.DataFrame({key: ids[mine], "cluster_label": label})
-
-    kind = df.schema[key].dataType.simpleString()
-    return rows.mapInPandas(assign, f"{key} {kind}, cluster_label int")
+def dbscan(df: DataFrame, cols: list[str], key: str, eps: float, min_samples: int = 3) -> DataFrame:
+    """(key, cluster_label) on already scaled rows, exact at every size; -1 is noise."""
+    points = cut(folded(df, list(cols), key))
+    if points.isEmpty():
+        return df.select(key, F.lit(NOISE).alias("cluster_label"))
+    found = density_clusters(points, eps, min_samples, connected_components)
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    named = points.join(found, "pid").select("x", "cluster_label")
+    return df.select(key, x.alias("x")).join(named, "x").select(key, "cluster_label")
 
 
 def assign_nearest(df: DataFrame, labelled: DataFrame, cols: list[str], key: str, reach: float) -> DataFrame:
-    """Rows to the nearest cluster centre within `reach`, else noise.
-
-    Centres number at most a third of the clustered sample, so they fit every task.
-    """
+    """Rows to the nearest cluster centre within `reach`, else noise; ties go to the smaller label. Exact, through pivot cells."""
     cols = list(cols)
-    centres = (
-        labelled.filter(F.col("cluster_label") != NOISE).groupBy("cluster_label").agg(*[F.avg(c).alias(c) for c in cols])
-    ).toPandas().sort_values("cluster_label")
-    labels, x = centres["cluster_label"].to_numpy(), centres[cols].to_numpy(float)
-    shared = df.sparkSession.sparkContext.broadcast((labels, x))
-
-    def nearest(batches):
-        names, c = shared.value
-        for pdf in batches:
-            q = pdf[cols].to_numpy(float)
-            label = np.full(len(q), NOISE)
-            for i in range(0, len(q), BLOCK):
-                if len(c):
-                    d = _distances(q[i : i + BLOCK], c)
-                    best = d.argmin(axis=1)
-                    label[i : i + BLOCK] = np.where(d.min(axis=1) <= reach, names[best], NOISE)
-            yield pd.DataFrame({key: pdf[key], "cluster_label": label})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *cols).mapInPandas(nearest, f"{key} {kind}, cluster_label int")
+    centres = labelled.filter(F.col("cluster_label") != NOISE).groupBy("cluster_label").agg(*[F.avg(c).alias(c) for c in cols])
+    centres = cut(centres.select(F.col("cluster_label").cast("long").alias("pid"), F.array(*cols).alias("x"), F.lit(1).cast("long").alias("w")))
+    if centres.isEmpty():
+        return df.select(key, F.lit(NOISE).alias("cluster_label"))
+    near = nearest_of(df.select(F.col(key).alias("pid"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), centres, reach)
+    return df.select(F.col(key).alias("pid")).join(near, "pid", "left").select(F.col("pid").alias(key), F.coalesce(F.col("other").cast("int"), F.lit(NOISE)).alias("cluster_label"))
 
 
 def cluster_entities(df: DataFrame, cols: list[str], key: str = "address", cfg: ModelRules = ModelRules()) -> DataFrame:
-    """(key, cluster_label): all rows when few, else a seeded sample and nearest centres for the rest."""
-    cols = list(cols)
-    scaled = cut(standard_scale(clean_matrix(df.select(key, *cols), cols), cols))
-    few = scaled.limit(cfg.dbscan_max_rows + 1).count() <= cfg.dbscan_max_rows
-    if few:
-        return dbscan(scaled, cols, key, cfg.dbscan_eps, cfg.dbscan_min_samples, cfg.dbscan_max_rows)
-    sample = cut(seeded_sample(scaled, key, cfg.dbscan_max_rows, cfg.seed))
-    labels = cut(dbscan(sample, cols, key, cfg.dbscan_eps, cfg.dbscan_min_samples, cfg.dbscan_max_rows))
+    """(key, cluster_label) of all rows by DBSCAN on standardised features."""
+    scaled = cut(standard_scale(clean_matrix(df.select(key, *cols), list(cols)), list(cols)))
+    return dbscan(scaled, cols, key, cfg.dbscan_eps, cfg.dbscan_min_samples)
+
+
+def sample_then_assign(df: DataFrame, cols: list[str], rows: int, key: str = "address", cfg: ModelRules = ModelRules()) -> DataFrame:
+    """The sampling variant, only on request: DBSCAN on `rows` sampled rows, the rest to the nearest centre."""
+    scaled = cut(standard_scale(clean_matrix(df.select(key, *cols), list(cols)), list(cols)))
+    sample = cut(seeded_sample(scaled, key, rows, cfg.seed))
+    labels = cut(dbscan(sample, cols, key, cfg.dbscan_eps, cfg.dbscan_min_samples))
     rest = scaled.join(sample.select(key), key, "left_anti")
-    return labels.unionByName(assign_nearest(rest, sample.join(labels, key), cols, key, 3 * cfg.dbscan_eps))
+    return labels.unionByName(assign_nearest(rest, sample.join(labels, key), list(cols), key, 3 * cfg.dbscan_eps))
 
 
 def cluster_profile(df: DataFrame, labels: DataFrame, cols=WALLET_FEATURES, key: str = "address") -> DataFrame:

@@ -11,8 +11,6 @@ from ..functions.numbers import snap
 from ..config import LeadRules
 from .spread import around
 
-LIST_LIMIT = 10_000
-
 # Notes per match kind.
 NOTES = {
     "exact_txid": "network observation exactly matched by transaction identifier (TXID)",
@@ -50,18 +48,15 @@ def wallet_counts(links: DataFrame) -> DataFrame:
     )
 
 
-def wallet_lists(links: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """Sorted wallet lists per transaction of up to `limit` wallets.
+def wallet_lists(links: DataFrame) -> DataFrame:
+    """Sorted wallet lists per transaction, whole: the record's cell holds what one transaction names.
 
-    A transaction with more keeps null lists and `lists_in_links`; its wallets are all in `links`,
-    so no single task ever gathers them.
+    `links` is the same as rows, for readers who want no long cells.
     """
-    sizes = wallet_counts(links)
-    small = links.join(sizes.filter(F.col("wallet_count") <= limit), "txid", "left_semi")
     side = lambda s: F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("address"))))
-    lists = small.groupBy("txid").agg(side("IN").alias("input_wallets"), side("OUT").alias("output_wallets"))
+    lists = links.groupBy("txid").agg(side("IN").alias("input_wallets"), side("OUT").alias("output_wallets"))
     lists = lists.withColumn("related_wallets", F.array_sort(F.array_union("input_wallets", "output_wallets")))
-    return sizes.join(lists, "txid", "left").withColumn("lists_in_links", F.col("wallet_count") > limit)
+    return lists.withColumn("wallet_count", F.size("related_wallets"))
 
 
 def wallet_class_pairs(links: DataFrame, wallet_classes: DataFrame) -> DataFrame:
@@ -72,25 +67,23 @@ def wallet_class_pairs(links: DataFrame, wallet_classes: DataFrame) -> DataFrame
     ).select("txid", "address", "class")
 
 
-def wallet_class_map(links: DataFrame, wallet_classes: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """address -> class per transaction, for transactions of up to `limit` wallets."""
-    sizes = wallet_counts(links).filter(F.col("wallet_count") <= limit)
-    pairs = wallet_class_pairs(links, wallet_classes).join(sizes, "txid", "left_semi")
+def wallet_class_map(links: DataFrame, wallet_classes: DataFrame) -> DataFrame:
+    """address -> class per transaction; `wallet_class_pairs` is the same as rows."""
+    pairs = wallet_class_pairs(links, wallet_classes)
     entries = F.array_sort(F.collect_list(F.struct("address", "class")))
     return pairs.groupBy("txid").agg(F.map_from_entries(entries).alias("wallet_classes"))
 
 
 def join_wallets(
-    tx: DataFrame, edges: DataFrame, tx_classes: DataFrame, wallet_classes: DataFrame, limit: int = LIST_LIMIT
+    tx: DataFrame, edges: DataFrame, tx_classes: DataFrame, wallet_classes: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Transactions with class, wallet lists, class map and count; and the link table."""
     links = wallet_links(tx, edges)
     out = (
         tx_class(tx, tx_classes)
-        .join(wallet_lists(links, limit), "txid", "left")
-        .join(wallet_class_map(links, wallet_classes, limit), "txid", "left")
+        .join(wallet_lists(links), "txid", "left")
+        .join(wallet_class_map(links, wallet_classes), "txid", "left")
         .withColumn("wallet_count", F.coalesce("wallet_count", F.lit(0)))
-        .withColumn("lists_in_links", F.coalesce("lists_in_links", F.lit(False)))
     )
     return out, links
 

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .checks import class_seed, normalize, with_reject_reason
 
-LEGS_KEPT = 50
-
 
 @dataclass
 class Ledger:
@@ -47,7 +45,7 @@ def legs_of(tx: DataFrame) -> DataFrame:
     return tx.select("txid", F.inline(F.concat(ins, outs)))
 
 
-def top_legs(legs: DataFrame, keep: int = LEGS_KEPT) -> DataFrame:
+def top_legs(legs: DataFrame, keep: int = 50) -> DataFrame:
     """The `keep` largest legs per transaction and direction.
 
     Rank-limited window: each map task keeps at most `keep` rows per group before the shuffle.
@@ -56,7 +54,7 @@ def top_legs(legs: DataFrame, keep: int = LEGS_KEPT) -> DataFrame:
     return legs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).drop("_r")
 
 
-def top_pairs(pairs: str, keep: int = LEGS_KEPT) -> Column:
+def top_pairs(pairs: str, keep: int = 50) -> Column:
     """The same cut on a list held in one record, by its place when amounts tie."""
     placed = F.transform(pairs, lambda p, i: F.struct((-p["amount"]).alias("o"), i.alias("i"), p["address"].alias("address"), p["amount"].alias("amount")))
     cut = F.slice(F.array_sort(placed), 1, keep)
@@ -75,15 +73,19 @@ def ingest(
     run_time: Column | None = None,
     subnets: DataFrame | None = None,
     order: tuple[str, ...] = ("src_file", "src_pos"),
+    keep_legs: int | None = None,
 ) -> Ledger:
-    """Validate, normalise, drop repeats, explode.  Class rows go to label and seed tables."""
+    """Validate, normalise, drop repeats, explode.  Class rows go to label and seed tables.
+
+    All legs are kept unless the caller asks for the `keep_legs` largest of each side.
+    """
     checked = with_reject_reason(raw)
     valid = checked.filter(F.col("reason").isNull())
     rejects = checked.filter(F.col("reason").isNotNull()).select("record_type", "txid", "reason", *order)
     tx_rows = valid.filter(F.col("record_type") == "TRANSACTION")
     kept, extra = first_by_txid(tx_rows.withColumn("txid", F.trim("txid")), list(order))
     tx = normalize(kept, run_time, subnets)
-    cut = tx.withColumn("inputs", top_pairs("inputs")).withColumn("outputs", top_pairs("outputs"))
+    listed = tx if keep_legs is None else tx.withColumns({c: top_pairs(c, keep_legs) for c in ("inputs", "outputs")})
     score, anomaly = class_seed("class")
     seeds = (
         valid.filter(F.col("record_type") == "WALLET")
@@ -98,7 +100,7 @@ def ingest(
     )
     return Ledger(
         transactions=tx.select("txid", "ts", "fee", "script_type", "input_total", "output_total", "time_assumed"),
-        legs=legs_of(cut),
+        legs=legs_of(listed),
         observations=observations_of(tx),
         rejects=rejects,
         wallet_seeds=seeds,
@@ -166,7 +168,7 @@ def purge(ledger: dict[str, DataFrame], dataset_id: str) -> dict[str, DataFrame]
     The dataset filter is on the partition column, so the files of other data sets are all that is read.
     """
     left = {
-        name: df.filter(F.col("dataset_id") != dataset_id)
+        name: df.filter(~F.col("dataset_id").eqNullSafe(dataset_id))
         for name, df in ledger.items()
         if "dataset_id" in df.columns
     }

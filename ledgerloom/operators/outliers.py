@@ -14,6 +14,7 @@ from ..functions.numbers import snap
 from ..config import ModelRules
 from ..functions.tables import MODEL_FEATURES
 from ..session import cut
+from .metric_cells import density_factor, folded
 from .spread import SPLIT_OVER, quantiles
 
 FOREST = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
@@ -87,8 +88,18 @@ def heuristic_score(df: DataFrame) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows in seeded hash order: the same rows however the data is partitioned."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+    """n rows in seeded hash order: the same rows however the data is partitioned.
+
+    Rows whose hash lies above a bound that leaves n with room to spare don't leave the scan, so the
+    final sort sees about n rows and not n of every partition.
+    """
+    drawn = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    total = df.count()
+    room = n + 8 * math.sqrt(n) + 64
+    if room < total:
+        low = drawn.filter(F.col("_h") <= f"{int(room / total * 16**8):08x}")
+        drawn = low if low.count() >= n else drawn
+    return drawn.orderBy("_h", key).limit(n).drop("_h")
 
 
 def tree_samples(df: DataFrame, key: str, total: int, trees: int, psi: int, seed: int) -> DataFrame:
@@ -225,25 +236,25 @@ def contamination_cut(
 
 
 def detect(df: DataFrame, cols: list[str], key: str, cfg: ModelRules = ModelRules()) -> DataFrame:
-    """raw_score, anomaly_score in [0, 1] and prediction from an isolation forest on scaled features."""
+    """raw_score, anomaly_score in [0, 1] and prediction on scaled features, from an isolation forest or, on request, the outlier factor."""
+    if cfg.model == "lof":
+        return lof_baseline(df, cols, key, cfg)
     scaled = cut(robust_scale(clean_matrix(df.select(key, *cols), list(cols)), list(cols)))
     forest = fit_forest(scaled, cols, key, cfg.trees, cfg.rows_per_tree, cfg.seed)
     scored = cut(score_forest(scaled, forest, cols).select(key, "raw_score"))
     return contamination_cut(min_max(scored), cfg.contamination)
 
 
-def model_scores(matrix: DataFrame, cfg: ModelRules = ModelRules(), train_max: int = 10_000) -> DataFrame:
-    """Transaction model: train on a seeded sample, score all; label -1 for outliers.
+def model_scores(matrix: DataFrame, cfg: ModelRules = ModelRules()) -> DataFrame:
+    """Transaction model: scales and draws the samples of its trees from all rows; label -1 for outliers.
 
     Score is 1 - minmax(decision), which is the min-max of the outlier score itself.
     """
     cols = MODEL_FEATURES
-    train = cut(seeded_sample(matrix, "txid", min(train_max, cfg.train_max_rows), cfg.seed))
-    params = cut(robust_parameters(train, cols))
-    forest = fit_forest(_apply(train, cols, params), cols, "txid", cfg.trees, cfg.rows_per_tree, cfg.seed)
-    on_train = score_forest(_apply(train, cols, params), forest, cols)
-    bar = quantiles(on_train, [], "raw_score", {"cut": 1.0 - cfg.contamination}).select("cut").scalar()
-    scored = cut(score_forest(_apply(matrix, cols, params), forest, cols).select("txid", "raw_score"))
+    scaled = cut(_apply(matrix, cols, cut(robust_parameters(matrix, cols))))
+    forest = fit_forest(scaled, cols, "txid", cfg.trees, cfg.rows_per_tree, cfg.seed)
+    scored = cut(score_forest(scaled, forest, cols).select("txid", "raw_score"))
+    bar = quantiles(scored, [], "raw_score", {"cut": 1.0 - cfg.contamination}).select("cut").scalar()
     b = scored.agg(F.struct(F.min("raw_score").alias("lo"), F.max("raw_score").alias("hi"))).scalar()
     span = F.col("_b.hi") - F.col("_b.lo")
     return scored.withColumn("_b", b).select(
@@ -256,64 +267,22 @@ def model_scores(matrix: DataFrame, cfg: ModelRules = ModelRules(), train_max: i
 # --- local outlier factor ---------------------------------------------------------------------
 
 
-def nearest_neighbours(df: DataFrame, cols: list[str], key: str, k: int, max_rows: int = 5000) -> DataFrame:
-    """(key, neighbour, distance, rank) of the k nearest other rows.
-
-    Only for tables of at most `max_rows` rows (checked): that table goes to every task, which emits
-    k rows per input row and no pairs.
-    """
-    cols = list(cols)
-    held = df.select(key, *cols).limit(max_rows + 1).toPandas()
-    if len(held) > max_rows:
-        raise ValueError(f"more than {max_rows} rows; pairwise neighbours are not offered")
-    held = held.sort_values(key)
-    shared = df.sparkSession.sparkContext.broadcast((held[key].to_numpy(), held[cols].to_numpy(float)))
-
-    def search(batches):
-        ids, x = shared.value
-        for pdf in batches:
-            mine, q = pdf[key].to_numpy(), pdf[cols].to_numpy(float)
-            for at in range(0, len(q), 64):
-                part, names = q[at : at + 64], mine[at : at + 64]
-                dist = np.sqrt(((part[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-                dist[names[:, None] == ids[None, :]] = np.inf
-                order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                for i, name in enumerate(names):
-                    yield pd.DataFrame(
-                        {key: name, "neighbour": ids[order[i]], "distance": dist[i, order[i]], "rank": np.arange(1, len(order[i]) + 1)}
-                    )
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *cols).mapInPandas(search, f"{key} {kind}, neighbour {kind}, distance double, rank int")
-
-
-def lof(df: DataFrame, cols: list[str], key: str, k: int = 20, max_rows: int = 5000) -> DataFrame:
-    """Local outlier factor per row: mean neighbour density over own density."""
-    n = df.count()
-    k = min(k, max(2, n - 1))
-    near = cut(nearest_neighbours(df, cols, key, min(k, n - 1), max_rows))
-    reach = near.groupBy(F.col(key).alias("neighbour")).agg(F.max("distance").alias("k_distance"))
-    density = (
-        near.join(reach, "neighbour")
-        .groupBy(key)
-        .agg((1.0 / (F.avg(F.greatest("distance", "k_distance")) + 1e-10)).alias("density"))
-    )
-    theirs = density.select(F.col(key).alias("neighbour"), F.col("density").alias("d2"))
-    return (
-        near.join(theirs, "neighbour")
-        .groupBy(key)
-        .agg(F.avg("d2").alias("_m"))
-        .join(density, key)
-        .select(key, (F.col("_m") / F.col("density")).alias("raw_score"))
-    )
+def lof(df: DataFrame, cols: list[str], key: str, k: int = 20) -> DataFrame:
+    """Local outlier factor per row, exact at every size: mean neighbour density over own density."""
+    points = cut(folded(df, list(cols), key))
+    n = points.agg(F.sum("w")).first()[0] or 0
+    if n < 2:
+        return df.select(key, F.lit(1.0).alias("raw_score"))
+    scores = density_factor(points, min(k, n - 1))
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    named = points.join(scores, "pid").select("x", "raw_score")
+    return df.select(key, x.alias("x")).join(named, "x").select(key, "raw_score")
 
 
-def lof_baseline(df: DataFrame, cols: list[str], key: str, cfg: ModelRules = ModelRules()) -> DataFrame | None:
-    """Comparison scores, or None above the size the comparison is made for."""
-    if df.limit(cfg.lof_max_rows + 1).count() > cfg.lof_max_rows:
-        return None
+def lof_baseline(df: DataFrame, cols: list[str], key: str, cfg: ModelRules = ModelRules()) -> DataFrame:
+    """Comparison scores."""
     scaled = cut(robust_scale(clean_matrix(df.select(key, *cols), list(cols)), list(cols)))
-    return contamination_cut(min_max(lof(scaled, cols, key, cfg.lof_neighbours, cfg.lof_max_rows)), cfg.contamination)
+    return contamination_cut(min_max(cut(lof(scaled, cols, key, cfg.lof_neighbours))), cfg.contamination)
 
 
 def enough_entities(df: DataFrame, cfg: ModelRules = ModelRules()) -> Column:

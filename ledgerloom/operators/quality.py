@@ -76,14 +76,14 @@ def quality_report(ledger: Ledger) -> DataFrame:
     known = lambda c: F.when(~F.col(c).isin("", "UNKNOWN"), F.col(c))
     base = tx.agg(
         F.count("*").alias("valid_transactions"),
+        F.count("txid").alias("unique_txids"),  # one kept row for each id
         F.min("ts").alias("time_min"),
         F.max("ts").alias("time_max"),
         snap(F.coalesce(F.sum(F.greatest("input_total", "output_total")), F.lit(0.0)), 4).alias("total_btc_volume"),
         F.coalesce(F.sum("fee"), F.lit(0.0)).alias("_fees"),
     )
     distinct = tx.agg(
-        F.count_distinct("txid").alias("unique_txids"),
-        F.count_distinct("src_ip").alias("unique_src_ips"),
+                F.count_distinct("src_ip").alias("unique_src_ips"),
         F.count_distinct(known("country")).alias("unique_countries"),
         F.count_distinct(known("asn")).alias("unique_asns"),
     )

@@ -776,32 +776,28 @@ def _sized(spark, sf) -> DataFrame:
 
 @query
 def ml8_local_outlier_factor(spark, sf):
-    """Comparison model over all rows; beyond its row ceiling the comparison is left out."""
-    m = cut(outliers.standard_scale(_sized(spark, sf), SCALED))
-    if m.limit(ModelRules().lof_max_rows + 1).count() > ModelRules().lof_max_rows:
-        return m.select("address", F.lit(None).cast("double").alias("raw_score"))
-    return rounded(outliers.lof(m, SCALED, "address"))
+    """Comparison model over all rows and features."""
+    m = cut(outliers.standard_scale(star_features(spark, sf), WALLET_FEATURES))
+    return outliers.lof(m, WALLET_FEATURES, "address").select("address", r("raw_score", 4).alias("raw_score"))
 
 
 @query
 def ml9_comparison_guard(spark, sf):
+    """The comparison covers every entity, whatever their number."""
     m = cut(_sized(spark, sf))
     out = outliers.lof_baseline(m, SCALED, "address")
     entities = m.agg(F.count("*").alias("entities"))
-    scored = spark.range(1).select(F.lit(0).cast("long").alias("scored")) if out is None else out.agg(F.count("*").alias("scored"))
-    return entities.join(scored, F.lit(True))
+    return entities.join(out.agg(F.count("*").alias("scored")), F.lit(True))
 
 
 @query
 def ml10_dbscan(spark, sf):
-    return clusters.cluster_entities(_sized(spark, sf), SCALED)
+    return clusters.cluster_entities(star_features(spark, sf), WALLET_FEATURES)
 
 
 @query
 def ml11_sample_then_assign(spark, sf):
-    m = _sized(spark, sf)
-    few = ModelRules(dbscan_max_rows=200)
-    return clusters.cluster_entities(m, SCALED, cfg=few)
+    return clusters.sample_then_assign(_sized(spark, sf), SCALED, 200)
 
 
 def _rule_labels(f: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def run_correlation(
     spark: SparkSession, folder: str, out: str | None = None, rules: LeadRules = LeadRules(), max_rows: int | None = None
 ) -> Correlated:
     base = folder.rstrip("/")
-    tx = cf.tx_features(cf.read_text_table(spark, f"{base}/txs_features.csv"), max_rows)
+    table = cf.read_text_table(spark, f"{base}/txs_features.csv")
+    tx = cf.tx_features(table) if max_rows is None else cf.tx_features(cf.with_position(table), max_rows, "file_pos").drop("file_pos")
     result = correlate(
         tx,
         cf.read_edges(spark, f"{base}/AddrTx_edgelist.csv", f"{base}/TxAddr_edgelist.csv", tx),

@@ -39,6 +39,12 @@ def read_text_table(spark: SparkSession, path) -> DataFrame:
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
+def with_position(table: DataFrame, name: str = "file_pos") -> DataFrame:
+    """Adds the place of a row of a text table: file, block in it, row in the block."""
+    at = table.metadataColumn("_metadata")
+    return table.withColumn(name, F.struct(at["file_path"].alias("file"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
 def _positive_count(df: DataFrame, name: str) -> Column | None:
     return to_double(F.col(f"`{name}`").cast("string")).cast("int") if name in df.columns else None
 

@@ -61,7 +61,7 @@ def preflight(spark: SparkSession, folder: str, sample_rows: int = 5000) -> Data
                     status = "WARNING_MISSING_TXID_COLUMN"
             rows.append((name, True, size, cols, checked, no_id, bad_time, status))
         except Exception as error:  # a broken file is a finding, not a failure of the check
-            rows.append((name, True, size, None, None, None, None, f"ERROR: {str(error)[:200]}"))
+            rows.append((name, True, size, None, None, None, None, f"ERROR: {error}"))
     return spark.createDataFrame(rows, REPORT)
 
 
@@ -79,5 +79,5 @@ def ingest_many(spark: SparkSession, paths: list[str], ingest_one) -> tuple[list
             done.append(ingest_one(raw, path))
             status.append((path, "COMPLETED", None))
         except Exception as error:
-            status.append((path, "FAILED", str(error)[:500]))
+            status.append((path, "FAILED", str(error)))
     return done, spark.createDataFrame(status, "path string, status string, error string")

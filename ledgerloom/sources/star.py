@@ -147,7 +147,7 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.when(hit(71), F.concat(F.lit("C#"), "o_custkey")).otherwise(F.concat(F.lit("CW"), "o_custkey"))).alias("input_addresses"),
         F.coalesce(F.transform("items", lambda x: x["address"]), F.array().cast("array<string>")).alias("output_addresses"),
         F.array(F.when(hit(61), F.lit("-1.5")).otherwise(amount("o_totalprice"))).alias("input_amounts"),
-        F.when(hit(59) & (F.size(outs) > 0), F.concat(F.array(F.lit("n/a")), F.slice(outs, 2, 1000))).otherwise(outs).alias("output_amounts"),
+        F.when(hit(59) & (F.size(outs) > 0), F.concat(F.array(F.lit("n/a")), F.slice(outs, F.lit(2), F.greatest(F.lit(0), F.size(outs) - 1)))).otherwise(outs).alias("output_amounts"),
         "src_ip",
         F.when(F.col("src_ip").isNotNull(), F.lit("10.0.0.1")).alias("dst_ip"),
         F.when(hit(13) & F.col("src_ip").isNotNull(), F.lit("http")).otherwise(F.col("src_port")).alias("src_port"),

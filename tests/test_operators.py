@@ -73,8 +73,7 @@ def test_wallet_union(spark):
     out, links = correlate.join_wallets(tx, edges, labels, labels)
     r = out.first()
     assert (r.wallet_count, r.tx_class) == (5, "illicit")
-    over, _ = correlate.join_wallets(tx, edges, labels, labels, limit=3)
-    assert over.first().input_wallets is None and over.first().lists_in_links and links.count() == 5
+    assert out.first().wallet_count == links.select("address").distinct().count() and links.count() == 5
 
 
 def test_ledger_files_and_quality(spark, tmp_path):
@@ -173,3 +172,63 @@ def test_shortest_path(spark):
     path = {r.id: r.path_pos for r in shortest_path(Graph(v, e), "a", "c").vertices.collect()}
     assert {k: p for k, p in path.items() if p is not None} == {"a": 0, "b": 1, "c": 2}
     assert shortest_path(Graph(v, e), "a", "z").vertices.count() == 0
+
+
+def test_path_of_twenty_hops_and_a_bound(spark):
+    e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)], "src string, dst string").withColumn("type", F.lit("x"))
+    v = spark.createDataFrame([(f"n{i:02d}", "WALLET") for i in range(21)], "id string, type string")
+    path = {r.id: r.path_pos for r in shortest_path(Graph(v, e), "n00", "n20").vertices.collect()}
+    assert path == {f"n{i:02d}": i for i in range(21)}
+    with pytest.raises(RuntimeError, match="within 3 rounds"):
+        shortest_path(Graph(v, e), "n00", "n20", max_rounds=3)
+
+
+def _points(seed, n, dims):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 0.3, (n // 2, dims)), rng.normal(3, 0.2, (n // 4, dims)), rng.uniform(-6, 6, (n // 4, dims))]).round(1)
+    return np.concatenate([x, x[:20], x[:20]])
+
+
+def test_outlier_factor_equals_brute_force_with_repeated_points(spark):
+    x = _points(1, 160, 2)
+    names = [f"k{i:03d}" for i in range(len(x))]
+    df = spark.createDataFrame([(n, *map(float, p)) for n, p in zip(names, x)], "address string, a double, b double")
+    got = {r.address: r.raw_score for r in outliers.lof(df, ["a", "b"], "address", 7).collect()}
+    distinct, first, weight = np.unique(x, axis=0, return_index=True, return_counts=True)
+    pid = [names[i] for i in first]
+    d = np.sqrt(((distinct[:, None] - distinct[None]) ** 2).sum(axis=2)).round(9)
+    near = []
+    for i in range(len(distinct)):
+        row, left = [], 7
+        for j in sorted(range(len(distinct)), key=lambda j: (d[i, j], pid[j])):
+            take = min(left, int(weight[j]) - (i == j))
+            if take > 0:
+                row.append((j, take))
+                left -= take
+        near.append(row)
+    kd = [max(d[i, j] for j, _ in row) for i, row in enumerate(near)]
+    dens = [1 / (sum(max(d[i, j], kd[j]) * t for j, t in row) / sum(t for _, t in row) + 1e-10) for i, row in enumerate(near)]
+    want = [sum(dens[j] * t for j, t in row) / sum(t for _, t in row) / dens[i] for i, row in enumerate(near)]
+    by_point = {tuple(p): w for p, w in zip(distinct, want)}
+    assert len(got) == len(x)
+    for n, p in zip(names, x):
+        assert abs(got[n] - by_point[tuple(p)]) <= 1e-6 * max(1, abs(by_point[tuple(p)]))
+
+
+def test_dbscan_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("ledgerloom.operators.metric_cells.MEMBERS_PER_GROUP", 30)
+    x = _points(2, 240, 2)
+    names = [f"k{i:03d}" for i in range(len(x))]
+    df = spark.createDataFrame([(n, *map(float, p)) for n, p in zip(names, x)], "address string, a double, b double")
+    got = {r.address: r.cluster_label for r in clusters.dbscan(df, ["a", "b"], "address", 0.3, 4).collect()}
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)).round(9) <= 0.3
+    core = near.sum(axis=1) >= 4
+    comp = np.where(core, np.arange(len(x)), len(x))
+    for _ in range(len(x)):
+        comp = np.where(core, np.where(near & core[None], comp[None], len(x)).min(axis=1), len(x))
+    roots = {c: i for i, c in enumerate(sorted(set(comp[core]), key=lambda c: names[c]))}
+    want = {}
+    for i, n in enumerate(names):
+        labels = [roots[comp[j]] for j in np.flatnonzero(near[i] & core)]
+        want[n] = roots[comp[i]] if core[i] else min(labels, default=-1)
+    assert got == want and len(roots) >= 2 and -1 in want.values()
