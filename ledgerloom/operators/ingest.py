@@ -74,16 +74,23 @@ def ingest(
     subnets: DataFrame | None = None,
     order: tuple[str, ...] = ("src_file", "src_pos"),
     keep_legs: int | None = None,
+    seen: DataFrame | None = None,
 ) -> Ledger:
     """Validate, normalise, drop repeats, explode.  Class rows go to label and seed tables.
 
-    All legs are kept unless the caller asks for the `keep_legs` largest of each side.
+    All legs are kept unless the caller asks for the `keep_legs` largest of each side.  `seen`: (txid)
+    kept by earlier runs; valid transactions with one of those ids count as repeats, and nothing else changes.
     """
     checked = with_reject_reason(raw)
     valid = checked.filter(F.col("reason").isNull())
     rejects = checked.filter(F.col("reason").isNotNull()).select("record_type", "txid", "reason", *order)
     tx_rows = valid.filter(F.col("record_type") == "TRANSACTION")
     kept, extra = first_by_txid(tx_rows.withColumn("txid", F.trim("txid")), list(order))
+    if seen is not None:
+        known = seen.select("txid").distinct()
+        late = kept.select("txid").join(known, "txid", "left_semi").select("txid", F.lit(1).cast("long").alias("copies"))
+        extra = extra.unionByName(late).groupBy("txid").agg(F.sum("copies").alias("copies"))
+        kept = kept.join(known, "txid", "left_anti")
     tx = normalize(kept, run_time, subnets)
     listed = tx if keep_legs is None else tx.withColumns({c: top_pairs(c, keep_legs) for c in ("inputs", "outputs")})
     score, anomaly = class_seed("class")

@@ -1317,6 +1317,32 @@ def _landed(df: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(folder)
 
 
+def _landed_in_parts(df: DataFrame, name: str, part, parts: int = 3, closing: DataFrame | None = None) -> DataFrame:
+    """Land a table as `parts` files one after the other, by the column `part` (0 to parts - 1), and stream one file for each micro-batch."""
+    spark = df.sparkSession
+    folder = scratch(spark, f"land-{name}")
+    rows = cut(df.withColumn("_part", part))
+    for p in range(parts):
+        rows.filter(F.col("_part") == p).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    if closing is not None:
+        closing.select(*df.columns).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _thirds(df: DataFrame, c: str):
+    """0, 1 or 2 by the thirds of an ordered column."""
+    a, b = df.select(F.col(c).cast("double").alias("v")).approxQuantile("v", [1 / 3, 2 / 3], 0.01)
+    v = F.col(c).cast("double")
+    return F.when(v <= a, 0).when(v <= b, 1).otherwise(2)
+
+
+def _by_time(timed: DataFrame):
+    """Thirds of column ts; `timed` also has it as microseconds s."""
+    a, b = timed.approxQuantile("s", [1 / 3, 2 / 3], 0.01)
+    s = F.unix_micros("ts")
+    return F.when(s <= a, 0).when(s <= b, 1).otherwise(2)
+
+
 def _drain(df: DataFrame, name: str, mode: str) -> DataFrame:
     """Run a streaming result to the end of its input and read what it wrote."""
     spark = df.sparkSession
@@ -1334,7 +1360,8 @@ def _drain(df: DataFrame, name: str, mode: str) -> DataFrame:
 
 @query
 def st1_ingest_stream(spark, sf):
-    stream = _landed(star.raw_records(spark, sf), "raw")
+    raw = star.raw_records(spark, sf)
+    stream = _landed_in_parts(raw, "raw", _thirds(raw, "src_pos"))
     out = scratch(spark, "st1")
     jobs.start_ingest_stream(stream, out, scratch(spark, "st1-state")).awaitTermination()
     parts = None
@@ -1347,14 +1374,16 @@ def st1_ingest_stream(spark, sf):
 @query
 def st2_stream_dedupe(spark, sf):
     raw = star.raw_records(spark, sf).filter("txid <> ''").select("txid", F.to_timestamp("timestamp").alias("ts"))
-    return _drain(jobs.dedupe_stream(_landed(raw, "dd"), "3650 days"), "dd", "append").select("txid")
+    by_time = _by_time(raw.withColumn("s", F.unix_micros("ts")))
+    return _drain(jobs.dedupe_stream(_landed_in_parts(raw, "dd", by_time), "1 day"), "dd", "append").select("txid")
 
 
 @query
 def st3_wallet_merge_stream(spark, sf):
     legs = star.legs(spark, sf).join(star.tx_times(spark, sf), "txid").select("txid", "direction", "address", "amount", "leg_no", "ts")
     out = scratch(spark, "st3")
-    jobs.start_wallet_merge(_landed(legs, "legs"), out, scratch(spark, "st3-state")).awaitTermination()
+    parts = F.pmod(F.xxhash64("txid", "leg_no"), F.lit(3))
+    jobs.start_wallet_merge(_landed_in_parts(legs, "legs", parts), out, scratch(spark, "st3-state")).awaitTermination()
     return _rollup_view(jobs.latest_version(spark, out))
 
 
@@ -1362,10 +1391,12 @@ def st3_wallet_merge_stream(spark, sf):
 def st4_correlation_stream(spark, sf):
     tx = star.event_transactions(spark, sf).select("txid", "ts_us")
     out, state = scratch(spark, "st4"), scratch(spark, "st4-state")
-    for q in jobs.start_correlation_stream(_landed(tx, "tx"), _landed(star.event_capture(spark, sf), "obs"), out, state):
+    parts = F.pmod(F.xxhash64("txid"), F.lit(3))
+    for q in jobs.start_correlation_stream(_landed_in_parts(tx, "tx", parts), _landed(star.event_capture(spark, sf), "obs"), out, state):
         q.awaitTermination()
-    end = tx.agg(F.max("ts_us")).first()[0] + 2 * 86_400 * 1_000_000
-    got = jobs.close_slices(spark, out, end)
+    low, high = tx.agg(F.min("ts_us"), F.max("ts_us")).first()
+    jobs.close_slices(spark, out, (low + high) // 2)
+    got = jobs.close_slices(spark, out, high + 2 * 86_400 * 1_000_000)
     return got.select("txid", "correlation_method", "network_confidence", "time_difference_seconds", "src_ip")
 
 
@@ -1384,5 +1415,7 @@ def st5_live_counters(spark, sf):
 @query
 def st6_hourly_stream(spark, sf):
     tx = star.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(18,2)").alias("input_total"), F.lit(0).cast("decimal(18,2)").alias("output_total"))
-    got = _drain(jobs.hourly_stream(_landed(tx, "hr")), "hr", "complete")
-    return got.groupBy(us("hour_start").alias("hour_us")).agg(F.max("tx_count").alias("tx_count"), r(F.max("volume").cast("double"), 2).alias("volume"))
+    # a last row two hours later moves the watermark past every window of the table; its own window stays open
+    last = tx.agg((F.max("ts") + F.expr("INTERVAL 2 HOURS")).alias("ts"), F.lit(0).cast("decimal(18,2)").alias("input_total"), F.lit(0).cast("decimal(18,2)").alias("output_total"))
+    got = _drain(jobs.hourly_stream(_landed_in_parts(tx, "hr", _by_time(tx.withColumn("s", F.unix_micros("ts"))), closing=last)), "hr", "append")
+    return got.select(us("hour_start").alias("hour_us"), "tx_count", r(F.col("volume").cast("double"), 2).alias("volume"))

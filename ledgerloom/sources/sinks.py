@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLES = ("transactions", "legs", "observations", "rejects", "wallet_seeds")
+TABLES = ("transactions", "legs", "observations", "rejects", "wallet_seeds", "tx_classes", "duplicates")
 
 
 def write_ledger(ledger, folder: str, dataset_id: str) -> None:

@@ -16,6 +16,10 @@ from ..operators.ingest import Ledger, ingest, merge_wallets, wallet_rollup
 from ..sources.sinks import TABLES
 
 
+#: Slice of rows without a readable time.
+NO_TIME = -(1 << 40)
+
+
 def dedupe_stream(tx: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """First copy of a txid; repeats within the lateness bound are dropped."""
     return tx.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["txid"])
@@ -42,8 +46,9 @@ def write_batch(ledger: Ledger, folder: str, batch_id: int) -> None:
 def start_ingest_stream(raw: DataFrame, folder: str, checkpoint: str, order=("src_file", "src_pos")) -> StreamingQuery:
     """Raw record stream to ledger tables, one ingest per micro-batch.
 
-    A txid already written by an earlier micro-batch counts as a repeat: the new batch is
-    anti-joined with the written ids, so state is the table itself and survives restarts.
+    Every record is validated first.  A valid transaction whose id an earlier micro-batch has written
+    counts as a repeat; rejects, class rows and repeat counts stay whole, so all batches together equal
+    one batch ingest.  State is the written ids themselves and survives restarts.
     """
     spark = raw.sparkSession
 
@@ -51,11 +56,7 @@ def start_ingest_stream(raw: DataFrame, folder: str, checkpoint: str, order=("sr
         batch = batch.persist()
         try:
             earlier = written_before(spark, f"{folder}/transactions", batch_id)
-            fresh = batch if earlier is None else batch.join(
-                earlier.select(F.col("txid").alias("_seen")), F.trim(batch["txid"]) == F.col("_seen"), "left_anti"
-            )
-            ledger = ingest(fresh, order=order)
-            write_batch(ledger, folder, batch_id)
+            write_batch(ingest(batch, order=order, seen=earlier), folder, batch_id)
         finally:
             batch.unpersist()
 
@@ -72,6 +73,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
     if not _exists(spark, folder):
         return None
@@ -96,14 +102,21 @@ def running_wallets(legs: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def start_wallet_merge(legs: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Fold each micro-batch into a versioned wallet table: version b = version b-1 merged with batch b."""
+    """Fold each micro-batch into a versioned wallet table: version b = version b-1 merged with batch b.
+
+    A missing version is an error: going on would lose all earlier totals.  The last two versions stay,
+    one for readers and one for a replay.
+    """
     spark = legs.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         delta = wallet_rollup(batch.drop("ts"), batch.select("txid", "ts").distinct())
         before = f"{folder}/version={batch_id - 1}"
-        merged = merge_wallets(spark.read.parquet(before), delta) if batch_id and _exists(spark, before) else delta
+        if batch_id and not _exists(spark, before):
+            raise RuntimeError(f"{before} is missing: earlier totals would be lost")
+        merged = merge_wallets(spark.read.parquet(before), delta) if batch_id else delta
         merged.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        _drop(spark, f"{folder}/version={batch_id - 2}")
 
     return (
         legs.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -111,9 +124,11 @@ def start_wallet_merge(legs: DataFrame, folder: str, checkpoint: str) -> Streami
 
 
 def latest_version(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.option("basePath", folder).parquet(folder)
-    newest = rows.agg(F.max("version")).scalar()
-    return rows.filter(F.col("version") == newest).drop("version")
+    """The newest version, found by folder names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    newest = max(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    return spark.read.parquet(f"{folder}/version={newest}")
 
 
 def start_correlation_stream(
@@ -126,7 +141,7 @@ def start_correlation_stream(
     """
 
     def land(df: DataFrame, time: str, name: str) -> StreamingQuery:
-        sliced = df.withColumn("time_slice", F.floor(F.col(time) / (slice_s * 1_000_000)))
+        sliced = df.withColumn("time_slice", F.coalesce(F.floor(F.col(time) / (slice_s * 1_000_000)), F.lit(NO_TIME)))
 
         def handle(batch: DataFrame, batch_id: int) -> None:
             batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
@@ -146,9 +161,11 @@ def start_correlation_stream(
 def close_slices(
     spark: SparkSession, folder: str, up_to_us: int, rules: LeadRules = LeadRules(), slice_s: int = 86_400
 ) -> DataFrame:
-    """Correlate every landed slice that ends a window before `up_to_us` and is not yet written.
+    """Correlate every landed slice that ends a window before `up_to_us`, as far as it isn't written yet.
 
-    Rows later than that bound are late and wait for a rerun of their slice.
+    What is closed is a slice of one landed batch: rows that arrive for a slice after it was closed come
+    in a later batch and are correlated by the next call.  Rows without a time have a slice of their own
+    that is always due; they can still match by id.
     """
     width = slice_s * 1_000_000
     last = (up_to_us - int(rules.window_s * 1e6)) // width  # slices below this are complete
@@ -156,12 +173,12 @@ def close_slices(
     obs = spark.read.parquet(f"{folder}/obs")
     out = f"{folder}/matched"
     if _exists(spark, out):
-        tx = tx.join(spark.read.parquet(out).select("time_slice").distinct(), "time_slice", "left_anti")
-    matched = join_network(tx.drop("batch_id"), obs.drop("batch_id", "time_slice"), rules.window_s)
+        tx = tx.join(spark.read.parquet(out).select("time_slice", "batch_id").distinct(), ["time_slice", "batch_id"], "left_anti")
+    matched = join_network(tx, obs.drop("batch_id", "time_slice"), rules.window_s)
     (
         matched.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("time_slice")
+        .partitionBy("time_slice", "batch_id")
         .parquet(out)
     )
     return spark.read.parquet(out)
