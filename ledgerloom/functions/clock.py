@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import col
 
+# Length of a time step, and the bounds that tell steps, seconds and milliseconds apart.
 STEP_SECONDS = 10800
 STEPS_BELOW = 1_000_000
 MILLIS_ABOVE = 1e11

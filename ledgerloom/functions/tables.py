@@ -150,12 +150,14 @@ CORRELATION_ALIASES = {
     "dst_ip": ["dst_ip", "destination_ip", "target_ip", "dst", "server_ip"],
     "dst_port": ["dst_port", "destination_port", "dport", "server_port"],
 }
+# Tables of the correlation input and their fields.
 CORRELATION_TABLES = {
     "transaction": ["txid", "timestamp", "fee", "script_type", "input_addresses", "output_addresses", "input_amounts"],
     "network": ["timestamp", "src_ip", "src_port", "dst_ip", "dst_port", "txid"],
     "wallet": ["wallet_address", "wallet_class"],
     "tx_class": ["txid", "tx_class"],
 }
+# Files of a correlation folder, the required one first.
 EXPECTED_FILES = [
     "txs_features.csv",
     "txs_classes.csv",

@@ -32,6 +32,7 @@ def reject_reason(strict_ips: bool = False) -> Column:
     """Null for a valid row, else the reason of the first rule that fails, in a fixed order."""
     shown = lambda c: F.coalesce(F.col(c), F.lit("None"))
     fee = to_double("fee")
+    # Texts of the reasons.
     transaction = [
         F.when(~valid_txid("txid"), F.concat(F.lit("Missing or invalid TXID format: "), shown("txid"))),
         F.when(F.coalesce(F.size("input_addresses"), F.lit(0)) < 1, "At least one input address is required"),

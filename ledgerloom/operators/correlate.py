@@ -260,6 +260,7 @@ def lead_terms(cfg: LeadRules) -> list[tuple[Column, int, Column]]:
     ]
 
 
+# Fixed value: evidence when no rule fires.
 DEFAULT_EVIDENCE = "Standard transaction profile within normal baseline operating bounds"
 
 

@@ -136,6 +136,7 @@ def explain(df: DataFrame, baseline: DataFrame, cols=WALLET_FEATURES, n: int = 4
     dev = deviations(df, baseline, cols)
     top = top_reasons(dev, n).select("address", F.struct("rank", reason_text().alias("text")).alias("r"))
     listed = top.groupBy("address").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["text"]).alias("_reasons"))
+    # Fixed value: the reason without deviations.
     default = F.array(
         F.concat(
             F.lit("Multivariate Isolation Forest anomaly score: "), _num("anomaly_score", 2),
@@ -150,6 +151,7 @@ def explain(df: DataFrame, baseline: DataFrame, cols=WALLET_FEATURES, n: int = 4
 def simple_reasons() -> Column:
     """Reasons when no population baseline exists."""
     vel, peers, ips = F.col("tx_velocity_per_hour"), F.col("unique_counterparties").cast("long"), F.col("unique_observed_ips").cast("long")
+    # Texts of the simple reasons.
     fired = F.array_compact(
         F.array(
             F.when(vel > 4, F.concat(F.lit("High transaction frequency ("), _num(vel, 1), F.lit(" tx/hr)"))),

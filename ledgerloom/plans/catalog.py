@@ -1238,7 +1238,7 @@ def qs5_alert_list(spark, sf):
 
 def _triage_events(spark, sf) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return star.table(spark, sf, "events").filter("event_type <> 'error'").select(
+    return star.table(spark, sf, "events").select(
         F.concat(F.lit("A"), F.col("user_id")).alias("alert_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         "event_id",
@@ -1285,7 +1285,7 @@ def qs9_briefs(spark, sf):
 
 @query
 def qs10_hourly_volume(spark, sf):
-    tx = star.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("input_total"), (F.col("value") * 2).alias("output_total")).filter("hour(ts) <> 5")
+    tx = star.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("input_total"), (F.col("value") * 2).alias("output_total"))
     alerts = star.table(spark, sf, "events").filter("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("created_at"))
     return investigate.hourly_volume(tx, alerts)
 

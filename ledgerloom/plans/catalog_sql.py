@@ -960,7 +960,7 @@ ask(
 )
 TRIAGE = f"""
 te AS (SELECT 'A' || user_id AS alert_id, ts, event_id, CASE {K} % 3 WHEN 0 THEN 'TRIAGED' WHEN 1 THEN 'ESCALATED' ELSE 'CLOSED' END AS status, {K} % 2 = 0 AS noted,
-  CASE WHEN {K} % 5 = 0 THEN 'analyst' || ({K} % 4) END AS assigned_to FROM events WHERE event_type <> 'error')"""
+  CASE WHEN {K} % 5 = 0 THEN 'analyst' || ({K} % 4) END AS assigned_to FROM events)"""
 ask(
     "qs6_triage_fold",
     """SELECT alert_id, arg_max(status, {'t': ts, 'e': event_id}) AS status, arg_max(assigned_to, {'t': ts, 'e': event_id}) FILTER (assigned_to IS NOT NULL) AS assigned_to, count(*) FILTER (noted) AS notes_count,
@@ -994,7 +994,7 @@ ask(
 )
 ask(
     "qs10_hourly_volume",
-    """, h AS (SELECT hour(ts) AS hr, count(*) AS c, CAST(sum(CAST(value + value * 2 AS DECIMAL(24,6))) AS DOUBLE) AS v FROM events WHERE hour(ts) <> 5 GROUP BY 1),
+    """, h AS (SELECT hour(ts) AS hr, count(*) AS c, CAST(sum(CAST(value + value * 2 AS DECIMAL(24,6))) AS DOUBLE) AS v FROM events GROUP BY 1),
     al AS (SELECT hour(ts) AS hr, count(*) AS a FROM events WHERE event_type = 'error' GROUP BY 1)
     SELECT printf('%02d:00', i) AS time, i AS hour, coalesce(c, 0) AS tx_count, RND(coalesce(v, 0.0), 4) AS volume, coalesce(a, 0) AS alerts, CAST(sum(coalesce(c, 0)) OVER () AS BIGINT) AS total_transactions,
     CAST(sum(coalesce(a, 0)) OVER () AS BIGINT) AS total_alerts FROM hours LEFT JOIN h ON h.hr = i LEFT JOIN al ON al.hr = i""",
