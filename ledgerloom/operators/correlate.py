@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import snap
 from ..config import LeadRules
+from ..session import cut
 from .spread import around
 
 # Notes per match kind.
@@ -78,7 +79,7 @@ def join_wallets(
     tx: DataFrame, edges: DataFrame, tx_classes: DataFrame, wallet_classes: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Transactions with class, wallet lists, class map and count; and the link table."""
-    links = wallet_links(tx, edges)
+    links = cut(wallet_links(tx, edges))
     out = (
         tx_class(tx, tx_classes)
         .join(wallet_lists(links), "txid", "left")
@@ -440,7 +441,7 @@ def correlate(
 ) -> Correlated:
     """The correlation run.  `with_model` may add model score columns to the scored rows."""
     walleted, links = join_wallets(tx, edges, tx_classes, wallet_classes)
-    scored = score_leads(tx_vector(join_network(walleted, obs, cfg.window_s)), cfg)
+    scored = cut(score_leads(tx_vector(join_network(cut(walleted), obs, cfg.window_s)), cfg))  # records, leads, edges, metrics and models read this
     if with_model is not None:
         scored = with_model(scored)
     return Correlated(

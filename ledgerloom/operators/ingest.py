@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .checks import class_seed, normalize, with_reject_reason
 
 
@@ -81,7 +82,7 @@ def ingest(
     All legs are kept unless the caller asks for the `keep_legs` largest of each side.  `seen`: (txid)
     kept by earlier runs; valid transactions with one of those ids count as repeats, and nothing else changes.
     """
-    checked = with_reject_reason(raw)
+    checked = cut(with_reject_reason(raw))  # the raw records are read and validated once; all tables come from here
     valid = checked.filter(F.col("reason").isNull())
     rejects = checked.filter(F.col("reason").isNotNull()).select("record_type", "txid", "reason", *order)
     tx_rows = valid.filter(F.col("record_type") == "TRANSACTION")
@@ -91,7 +92,7 @@ def ingest(
         late = kept.select("txid").join(known, "txid", "left_semi").select("txid", F.lit(1).cast("long").alias("copies"))
         extra = extra.unionByName(late).groupBy("txid").agg(F.sum("copies").alias("copies"))
         kept = kept.join(known, "txid", "left_anti")
-    tx = normalize(kept, run_time, subnets)
+    tx = cut(normalize(kept, run_time, subnets))
     listed = tx if keep_legs is None else tx.withColumns({c: top_pairs(c, keep_legs) for c in ("inputs", "outputs")})
     score, anomaly = class_seed("class")
     seeds = (

@@ -39,6 +39,7 @@ def without_latest(events: DataFrame, min_history: int = 3) -> DataFrame:
     The latest event is a max with map-side combine, not a sorted window, so a busy wallet is not
     gathered.  Transactions and leg numbers identify it, and the anti join is on those.
     """
+    events = cut(events)
     last = (
         events.groupBy("address")
         .agg(F.max(event_order()).alias("_last"), F.count("*").alias("_n"))

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SLICES = 256
 SPLIT_OVER = 500_000
 
@@ -81,14 +83,18 @@ def quantiles(
     else:
         keys_in = keys
     n = F.sum(weight) if weight else F.count("*")
-    counted = data.groupBy(*keys_in, F.col(value).alias("_v")).agg(n.cast("long").alias("_n"))
-    large = (
+    # counted once: both ways below read this small table, and without large groups there is only one way
+    counted = cut(data.groupBy(*keys_in, F.col(value).alias("_v")).agg(n.cast("long").alias("_n")))
+    large = cut(
         counted.groupBy(*keys_in).agg(F.count("*").alias("_d")).filter(F.col("_d") > split_over).select(*keys_in)
     )
-    small_rows = counted.join(large, keys_in, "left_anti")
+    all_small = large.isEmpty()
+    small_rows = counted if all_small else counted.join(large, keys_in, "left_anti")
     small = small_rows.groupBy(*keys_in).agg(
         *[F.percentile("_v", F.lit(p), F.col("_n")).alias(name) for name, p in wanted.items()]
     )
+    if all_small:
+        return small if keys else small.drop("_all")
     ranked = running_before(counted.join(large, keys_in, "left_semi"), keys_in, "_v", ["_n"])
     totals = counted.join(large, keys_in, "left_semi").groupBy(*keys_in).agg(F.sum("_n").alias("_total"))
     placed = ranked.join(totals, keys_in)
