@@ -30,7 +30,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import read, stored
+from ledgerloom.llm.common import read, small_batches, stored
 
 #: Characters of a chunk beyond its overlap with the next one, and of the overlap.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -84,6 +84,7 @@ def encode(
 ) -> DataFrame:
     """docs and `ids`, the token ids of each whole text. decoded: name of a further column, as decode() would add it, made in the same pass."""
     path = path or rank_file()
+    small_batches(docs.sparkSession)
 
     @pandas_udf("struct<head:array<int>,tail:array<int>>")
     def seams(parts: pd.Series) -> pd.DataFrame:

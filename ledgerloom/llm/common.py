@@ -18,11 +18,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts: a thousand rows of some kilobytes each instead of ten thousand, so that buffers stay small on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared scratch folder and go on from the files: later readers don't repeat the work, and lost executors lose nothing."""
     spark = df.sparkSession
     folder = scratch(spark, name)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression="zstd")
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ledgerloom.llm.common import read
+from ledgerloom.llm.common import read, small_batches
 
 TABLES, STEPS, SAMPLES, SHORT, NEAR = 16, 12, 4, 12, 5
 BLOCK_CHARS = 8 << 20
@@ -223,6 +223,7 @@ def _groups(texts: pd.Series) -> Iterator[list]:
 def with_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, name: str = "items") -> DataFrame:
     """docs and `name`: structs (item_id, distance, words, start, end) of the items that each row holds, start and end in characters of the lower-cased text."""
     chosen = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
+    small_batches(docs.sparkSession)
     total = chosen.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     blocks = 1 + total // BLOCK_CHARS
     parts = []

@@ -24,7 +24,7 @@ from ledgerloom.session import scratch
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every state partition reserves megabytes of disk
 }
 #: Copies of one text that are compared with one copy of the row that stays, in one task.
@@ -114,8 +114,8 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The rows of any frame that stay, columns unchanged."""
     spark = docs.sparkSession
     folder = scratch(spark, "dedup-rows")
-    docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.struct("*").alias("doc")).write.parquet(folder)
-    rows = decide(spark, folder, "id", "text")
+    docs.select(F.struct("*").alias("doc")).write.parquet(folder, compression="zstd")
+    rows = decide(spark, folder, f"doc.`{doc_id}`", f"doc.`{text}`")
     return rows.filter(F.col("__keep").isNull() | (F.col("__keep") == F.col("__place"))).select("doc.*")
 
 

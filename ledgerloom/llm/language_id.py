@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ledgerloom.llm.common import held_out, read
+from ledgerloom.llm.common import held_out, read, small_batches
 
 DIM, GRAM, SEED = 2048, 3, 11
 #: Characters that are turned into n-grams at once, and n-grams whose dot products a worker keeps.
@@ -100,6 +100,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
         for name in names:
             yield pd.DataFrame({"lang": pd.Series([name] * dim, dtype=object), "at": np.arange(dim), "value": sums[name]})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     parts = rows.mapInPandas(bundle, "lang string, at int, value double")
     # whole numbers below 2^53: the sum doesn't depend on the order of tasks
@@ -160,6 +161,7 @@ class Scorer:
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", name: str = "language", dim: int = DIM, gram: int = GRAM, seed: int = SEED) -> DataFrame:
     """docs and `name`, a struct (lang, score)."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(profiles)
     made = {}
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ledgerloom.llm.common import read, shared_if_small, stored
+from ledgerloom.llm.common import read, shared_if_small, small_batches, stored
 from ledgerloom.llm.components import connected_components
 from ledgerloom.session import cut
 
@@ -60,6 +60,8 @@ def fingerprint(text: str | None, words: int) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 5, name: str = "fingerprint") -> DataFrame:
     """docs and a long column with the 64 bits (signed)."""
 
+    small_batches(docs.sparkSession)
+
     @pandas_udf("long")
     def of(texts):
         return texts.map(lambda t: fingerprint(t, words)).astype("int64")
@@ -199,7 +201,7 @@ def _links_of_partition(radius: int):
             fps = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
             held.append((np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1), batch.column(3).to_numpy(zero_copy_only=False), fps))
             rows += batch.num_rows
-            if rows < 1 << 16:
+            if rows * width < 1 << 16:
                 continue
             g, nodes, fps = joined()
             last = np.flatnonzero((g != g[-1]).any(axis=1))
@@ -286,6 +288,8 @@ def similar_groups(rows: DataFrame, place: str, text: str, words: int = 5, simil
     they are compared bit-sliced, as above, within wide_radius().
     """
 
+    small_batches(rows.sparkSession)
+
     @pandas_udf("struct<words:array<long>,keys:array<long>>")
     def of(texts):
         return pd.DataFrame([{"words": w, "keys": k} for w, k in (signature(t, words) for t in texts)], columns=["words", "keys"])
@@ -303,8 +307,8 @@ def similar_groups(rows: DataFrame, place: str, text: str, words: int = 5, simil
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of similar texts, columns unchanged: the one with the smallest id; a null id is the largest, and rows with one id are ordered as stored."""
     order = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"))
-    rows = stored(docs.select(order.alias("place"), F.col(text).alias("text"), F.struct("*").alias("doc")), "simhash-rows")
-    gone = cut(similar_groups(rows, "place", "text", words, similarity).filter("place != first").select(F.col("place.row").alias("row")))
+    rows = stored(docs.select(order.alias("place"), F.struct("*").alias("doc")), "simhash-rows")
+    gone = cut(similar_groups(rows, "place", f"doc.`{text}`", words, similarity).filter("place != first").select(F.col("place.row").alias("row")))
     gone = shared_if_small(gone, gone.count(), 16)
     return rows.join(gone, rows["place.row"] == gone["row"], "left_anti").select("doc.*")
 

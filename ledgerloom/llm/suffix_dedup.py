@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from ledgerloom.llm.common import read, stored
+from ledgerloom.llm.common import read, small_batches, stored
 
 WINDOW, SPAN, GRAM = 200, 128, 8
 REACH = WINDOW - SPAN + 1
@@ -446,6 +446,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_size: int = RANGE) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row: spans are the maximal runs of removed bytes, kept the bytes left."""
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
     starts = repeated_windows(rows, range_size)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ledgerloom.llm.common import held_out, read
+from ledgerloom.llm.common import held_out, read, small_batches
 
 FIT_ROWS = 20_000
 #: Entries that lean to toxic and to clean, and the labelled rows that an entry must occur in.
@@ -166,6 +166,7 @@ def _chosen(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """labels holds only rows that may be learned from."""
+    small_batches(docs.sparkSession)
     rows = _chosen(docs, labels, doc_id, text, label, fit_rows)
 
     def count(batches):
@@ -217,6 +218,7 @@ def seeded() -> Model:
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.toxic, model.weights, model.bias))
     made = {}
 
