@@ -10,7 +10,7 @@ Decoding concatenates the raw bytes of the ids.
 The rank file is read once per Python worker; it is a parameter and never part of this library.
 
 Defined results: null counts as empty and gives no ids; special-token strings are ordinary text; rows are told apart by
-where they are stored, so ids may repeat or be null; other columns stay.
+where they are stored, so ids may repeat or be null; other columns stay, but for those whose names the results take.
 """
 
 from __future__ import annotations
@@ -85,6 +85,7 @@ def encode(
     """docs and `ids`, the token ids of each whole text. decoded: name of a further column, as decode() would add it, made in the same pass."""
     path = path or rank_file()
     small_batches(docs.sparkSession)
+    docs = docs.drop(*[c for c in (ids, decoded) if c])
 
     @pandas_udf("struct<head:array<int>,tail:array<int>>")
     def seams(parts: pd.Series) -> pd.DataFrame:
@@ -122,6 +123,7 @@ def encode(
 def decode(coded: DataFrame, ids: str = "ids", name: str = "decoded", path: str | None = None) -> DataFrame:
     """coded and `name`, the concatenated raw bytes of its ids; null ids count as none."""
     path = path or rank_file()
+    coded = coded.drop(name)
 
     def run(batches):
         enc = encoding(path)

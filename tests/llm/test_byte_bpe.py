@@ -37,6 +37,12 @@ def test_production_chunks_over_a_very_long_text(spark):
     check(spark, [(1, long, 0, "a"), (2, "x" * 80_000, 1, None), (2, "short", 2, None)])
 
 
+def test_columns_with_the_names_of_results_are_replaced(spark):
+    df = spark.createDataFrame([(1, "abc", "x", "y")], "doc_id long, text string, ids string, decoded string")
+    out = byte_bpe.decode(byte_bpe.encode(df)).first()
+    assert list(out.ids) == byte_bpe.encoding(byte_bpe.rank_file()).encode_ordinary("abc") and bytes(out.decoded) == b"abc"
+
+
 def test_digests_and_empty_table(spark):
     df = spark.createDataFrame([(3, "héllo wörld"), (4, None)], "doc_id long, text string")
     enc = byte_bpe.encoding(byte_bpe.rank_file())
