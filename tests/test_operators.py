@@ -110,7 +110,8 @@ def test_top_legs_in_record(spark):
         "record_type string, txid string, timestamp string, fee string, script_type string, input_addresses array<string>, output_addresses array<string>, input_amounts array<string>, output_amounts array<string>, "
         "src_ip string, dst_ip string, src_port string, dst_port string, geo_country string, asn string, address string, class string, src_file string, src_pos long",
     )
-    led = ingest.ingest(raw)
+    assert ingest.ingest(raw).legs.filter("direction = 'OUT'").count() == n  # no cut unless asked for
+    led = ingest.ingest(raw, keep_legs=50)
     outs = led.legs.filter("direction = 'OUT'")
     assert outs.count() == 50 and outs.agg(F.min("amount")).first()[0] == 10.0
     assert led.transactions.first().output_total == sum(range(n))
