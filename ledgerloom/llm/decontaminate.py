@@ -168,7 +168,7 @@ class Index:
         """For each text, the items it holds with their nearest place."""
         lookup = self.vocabulary.get
         split = [words_of(t) for t in texts]
-        lengths = np.array([len(w) for w in split])
+        lengths = np.array([len(w) for w in split], np.int64)
         begins = np.concatenate(([0], np.cumsum(lengths + STEPS)))
         ids = np.zeros(int(begins[-1]) + STEPS, np.int64)
         for b, words in zip(begins.tolist(), split):
@@ -217,7 +217,8 @@ def _groups(texts: pd.Series) -> Iterator[list]:
         if size >= AT_ONCE:
             yield group
             group, size = [], 0
-    yield group
+    if group:
+        yield group
 
 
 def with_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, name: str = "items") -> DataFrame:

@@ -86,3 +86,12 @@ def test_empty_tables_and_long_texts(spark):
     assert [(x.item_id, x.distance, x.start, x.end) for x in r] == [(1, 0, 7 * 200_000, len(long))]
     assert dc.with_items(df.limit(0), b).count() == 0
     assert dc.drop_contaminated(df, b.limit(0)).count() == 1
+
+
+def test_groups_of_texts_are_whole_and_none_is_empty(monkeypatch):
+    monkeypatch.setattr(dc, "AT_ONCE", 5)
+    texts = ["a" * 30, None, "b c", "d" * 60]
+    groups = list(dc._groups(texts))
+    assert [t for g in groups for t in g] == texts and all(groups)
+    index = dc.Index(["one two three", None], 0.8)
+    assert index.search([]) == [] and index.search([None, "x"]) == [[], []] and dc.Index([], 0.8).search(["x"]) == [[]]
