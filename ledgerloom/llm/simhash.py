@@ -259,12 +259,17 @@ def wide_radius(similarity: float) -> int:
     return int(n * p + 1.8 * np.sqrt(n * p * (1 - p)))
 
 
-def signature(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of WORDS words, keys of the MINIMA bands). Blank texts have one signature of their own."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles. Blank texts have one shingle of their own."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     k = min(words, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b" ".join(parts[i : i + k]), 42) for i in range(len(parts) - k + 1)] if parts else [0], np.uint64)
+    return np.unique(np.array([digest(b" ".join(parts[i : i + k]), 42) for i in range(len(parts) - k + 1)] if parts else [0], np.uint64))
+
+
+def signature(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(fingerprint of WORDS words, keys of the MINIMA bands, digest of the shingle set). Each distinct shingle votes once."""
+    hashes = shingles(text, words)
     votes, low = np.zeros(64 * WORDS, np.int64), np.full(MINIMA * ROWS, _ALL)
     for i in range(0, len(hashes), 2048):
         mixed = (hashes[i : i + 2048] ^ _SALTS) * np.uint64(0x9E3779B97F4A7C15)
@@ -277,7 +282,7 @@ def signature(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
     keys = bands[:, 0].copy()
     for r in range(1, ROWS):
         keys = (keys * np.uint64(0x100000001B3)) ^ bands[:, r]
-    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8"), keys.view(np.int64)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8"), keys.view(np.int64), xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
 
 
 def similar_groups(rows: DataFrame, place: str, text: str, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
@@ -285,23 +290,24 @@ def similar_groups(rows: DataFrame, place: str, text: str, words: int = 5, simil
 
     Four bits of 64 only hold pairs of about 0.95. Here the fingerprint has 512 bits, whose distance estimates the
     similarity to about 0.03. Candidates share one of 14 bands of five minimal shingle hashes (0.996 of pairs at 0.8);
-    they are compared bit-sliced, as above, within wide_radius().
+    they are compared bit-sliced, as above, within wide_radius(). Only texts with the same set of shingles fold before.
     """
 
     small_batches(rows.sparkSession)
 
-    @pandas_udf("struct<words:array<long>,keys:array<long>>")
+    @pandas_udf("struct<words:array<long>,keys:array<long>,same:binary>")
     def of(texts):
-        return pd.DataFrame([{"words": w, "keys": k} for w, k in (signature(t, words) for t in texts)], columns=["words", "keys"])
+        return pd.DataFrame([{"words": w, "keys": k, "same": d} for w, k, d in (signature(t, words) for t in texts)], columns=["words", "keys", "same"])
 
-    marked = rows.select(F.col(place).alias("place"), of(F.col(text)).alias("s")).select("place", "s.words", "s.keys")
+    marked = rows.select(F.col(place).alias("place"), of(F.col(text)).alias("s")).select("place", "s.*")
     marked = stored(marked, "wide-simhash")
-    nodes = cut(marked.groupBy("words").agg(F.min("place").alias("lowest"), F.first("keys").alias("keys"), F.min("place.row").alias("node")))
+    # equal digests have equal words and keys
+    nodes = cut(marked.groupBy("same").agg(F.min("place").alias("lowest"), F.first("words").alias("words"), F.first("keys").alias("keys"), F.min("place.row").alias("node")))
     banded = nodes.select("node", "words", F.posexplode("keys").alias("band", "key"))
     member = connected_components(_compared(banded.select("band", "key", "node", "words"), wide_radius(similarity), tile))
-    named = nodes.select("words", "lowest", "node").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("same", "lowest", "node").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("lowest").alias("first"))
-    return marked.select("place", "words").join(named.join(low, "component").select("words", "first"), "words").select("place", "first")
+    return marked.select("place", "same").join(named.join(low, "component").select("same", "first"), "same").select("place", "first")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

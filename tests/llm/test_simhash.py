@@ -121,6 +121,18 @@ def test_similar_texts_are_found_and_others_stay(spark):
     assert all(1000 + i in kept for i in range(150) if truth[i] < 0.6)
 
 
+def test_filler_does_not_fold_texts_and_repeated_passages_do_not_part_them(spark):
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    rows = [(i, "0 " * 200 + say(60)) for i in range(6)]  # one shingle is more than half of the text, the rest differs
+    passage, rest = say(60), say(40)
+    rows += [(10, f"{passage} {rest} {passage}"), (11, " ".join([passage, rest, *[passage] * 10]))]
+    # besides the seam of two passages both have the same shingles
+    assert jaccard(rows[0][1], rows[1][1]) < 0.1 and jaccard(rows[6][1], rows[7][1]) > 0.95
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, 1, 2, 3, 4, 5, 10}
+
+
 def test_hot_groups_of_similar_texts_keep_one_row(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(3000)}" for _ in range(300)]
