@@ -165,20 +165,20 @@ def _large_group(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.
             yield np.full(len(hit), q), hit
 
 
-def _links_of_partition(radius: int):
-    """Rows (band, key, pair, node, words) come sorted by band, key and tile pair. Whole groups are compared as soon as the next group begins."""
+def _links_of_partition(radius: int, full: int = 64):
+    """Groups of at most `full` rows give all of their links, larger ones a spanning forest. Rows (band, key, pair, node, words) come sorted by band, key and tile pair. Whole groups are compared as soon as the next group begins."""
 
     def compare(g, nodes, fps):
         new = np.concatenate(([True], (g[1:] != g[:-1]).any(axis=1)))
         group = np.cumsum(new) - 1
         sizes, starts = np.bincount(group), np.flatnonzero(new)
         rank = np.arange(len(g)) - starts[group]
-        part = np.flatnonzero((sizes[group] <= 64) & (sizes[group] > 1))
+        part = np.flatnonzero((sizes[group] <= full) & (sizes[group] > 1))
         if len(part):
             dense = np.unique(group[part], return_inverse=True)[1]
             for a, b in _small_groups(fps[part], dense, rank[part], radius):
                 yield nodes[part[a]], nodes[part[b]]
-        for s, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
+        for s, m in zip(starts[sizes > full].tolist(), sizes[sizes > full].tolist()):
             for a, b in _large_group(fps[s : s + m], radius):
                 yield nodes[a + s], nodes[b + s]
 
@@ -215,18 +215,21 @@ def _links_of_partition(radius: int):
     return links
 
 
-def _compared(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+def _compared(rows: DataFrame, radius: int, tile: int, full: int = 64) -> DataFrame:
     """(u, v): links among rows (band, key, node, words) that share a band's key, enough to join all that are within the radius there."""
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(sizes, ["band", "key"])
+    return _tiled(rows.join(sizes, ["band", "key"]), tile).mapInArrow(_links_of_partition(radius, full), "u long, v long")
+
+
+def _tiled(rows: DataFrame, tile: int, *more: str) -> DataFrame:
+    """Rows (band, key, n, node, words, more columns) dealt to pairs of tiles of their band's key, sorted."""
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pair = F.least("own", "other") * F.lit(1 << 15) + F.greatest("own", "other")
-    rows = (
+    return (
         rows.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(F.col("band").cast("long"), "key", pair.cast("long").alias("pair"), "node", "words")
+        .select(F.col("band").cast("long"), "key", pair.cast("long").alias("pair"), "node", "words", *more)
         .repartition("band", "key", "pair").sortWithinPartitions("band", "key", "pair", "node")
     )
-    return rows.mapInArrow(_links_of_partition(radius), "u long, v long")
 
 
 def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
@@ -252,11 +255,106 @@ WORDS, MINIMA, ROWS = 8, 14, 5
 _SALTS = np.random.default_rng(64).integers(0, 1 << 63, WORDS + MINIMA * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
 
 
+#: Band groups up to FULL rows give all their candidates; larger ones a spanning forest first. Rows in a tile of the exact search.
+FULL, EXACT_TILE = 8, 1 << 11
+
+
 def wide_radius(similarity: float) -> int:
-    """Differing bits that pairs of this Jaccard similarity stay within with a probability of about 0.96 (two deviations less a little)."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    """Differing bits that pairs of this Jaccard similarity stay within but for about 1 in 30,000 (four deviations).
+
+    Ties of the vote part small sets more: 5 against 4 shingles (0.8) differ in 3 of 16 bits, the most for any sizes at 0.8.
+    """
+    p = max(np.arccos(2 * similarity / (1 + similarity)) / np.pi, 3 / 16)
     n = 64 * WORDS
-    return int(n * p + 1.8 * np.sqrt(n * p * (1 - p)))
+    return int(n * p + 4 * np.sqrt(n * p * (1 - p)))
+
+
+def _same_share(both, one, other, similarity: float):
+    return both >= similarity * (one + other - both) - 1e-9
+
+
+def _exact_links(radius: int, similarity: float):
+    """Rows (band, key, pair, node, words, component, set) come sorted by group: links of each group that join its components further, all verified."""
+
+    def joined(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        parent: dict[int, int] = {r[2]: r[2] for r in rows}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        if len(parent) < 2:
+            return
+        left = len(parent)
+        fps = np.stack([r[1] for r in rows]).view(np.uint64)
+        index = np.arange(len(rows))
+        planes, used = bit_planes(fps, index // 64, index % 64, (len(rows) + 63) // 64)
+        blocks = np.arange(len(used))
+        for q in range(len(rows)):
+            at, words = near_lanes(np.repeat(fps[q : q + 1], len(blocks), axis=0), blocks, planes, used, radius)
+            row, lane = _lanes_of(words)
+            for h in (at[row] * 64 + lane).tolist():
+                if h <= q or (a := root(rows[q][2])) == (b := root(rows[h][2])):
+                    continue
+                one, other = rows[q][3], rows[h][3]
+                if _same_share(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other), similarity):
+                    parent[a] = b
+                    left -= 1
+                    yield rows[q][0], rows[h][0]
+            if left == 1:
+                return
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        group = None
+
+        def out(rows):
+            found = list(joined(rows))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            nodes, components = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            for i, key in enumerate(keys):
+                if key != group:
+                    yield from out(held)
+                    held, group = [], key
+                fp, members = (np.array(batch.column(c)[i].values.to_numpy()) for c in (4, 6))
+                held.append((nodes[i], fp, components[i], members))
+        yield from out(held)
+
+    return links
+
+
+def _verified(banded: DataFrame, sets_of, similarity: float, tile: int) -> DataFrame:
+    """(u, v): pairs that share a band's key with an exact Jaccard similarity of at least `similarity`, enough to join all such pairs.
+
+    sets_of(nodes) gives (node, set) of a table of nodes. The bit-sliced comparison only proposes. A large group first
+    proposes a spanning forest; where its verified links leave several components, these are searched again with
+    the sets at hand, and a pair is skipped only if its texts are joined already.
+    """
+    radius = wide_radius(similarity)
+    pairs = _compared(banded, radius, tile, FULL).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = cut(pairs)
+    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    one, other = (sets.select(F.col("node").alias(n), F.col("set").alias(f"{n}_set")) for n in ("u", "v"))
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    links = cut(pairs.join(one, "u").join(other, "v").filter(_same_share(both, F.size("u_set"), F.size("v_set"), similarity)).select("u", "v"))
+    sizes = cut(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FULL))
+    if sizes.isEmpty():
+        return links
+    member = connected_components(links)
+    rows = banded.join(sizes, ["band", "key"]).join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = cut(rows)
+    open_ = rows.groupBy("band", "key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("band", "key")
+    rows = cut(rows.join(open_, ["band", "key"]))
+    if rows.isEmpty():
+        return links
+    sets = sets_of(rows.select("node").distinct())
+    more = _tiled(rows.join(sets, "node"), EXACT_TILE, "component", "set").mapInArrow(_exact_links(radius, similarity), "u long, v long")
+    return links.union(more)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -286,11 +384,11 @@ def signature(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray, byt
 
 
 def similar_groups(rows: DataFrame, place: str, text: str, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """(place, first): groups of texts whose estimated Jaccard similarity on word shingles links them; first is the smallest place of the group.
+    """(place, first): groups of texts linked by a Jaccard similarity of their word shingles of at least `similarity`; first is the smallest place of the group.
 
-    Four bits of 64 only hold pairs of about 0.95. Here the fingerprint has 512 bits, whose distance estimates the
-    similarity to about 0.03. Candidates share one of 14 bands of five minimal shingle hashes (0.996 of pairs at 0.8);
-    they are compared bit-sliced, as above, within wide_radius(). Only texts with the same set of shingles fold before.
+    Four bits of 64 only hold pairs of about 0.95. Here the fingerprint has 512 bits. Candidates share one of 14 bands of
+    five minimal shingle hashes (0.996 of pairs at 0.8) and are compared bit-sliced, as above, within wide_radius();
+    the shingle sets decide. Only texts with the same set of shingles fold before.
     """
 
     small_batches(rows.sparkSession)
@@ -304,7 +402,16 @@ def similar_groups(rows: DataFrame, place: str, text: str, words: int = 5, simil
     # equal digests have equal words and keys
     nodes = cut(marked.groupBy("same").agg(F.min("place").alias("lowest"), F.first("words").alias("words"), F.first("keys").alias("keys"), F.min("place.row").alias("node")))
     banded = nodes.select("node", "words", F.posexplode("keys").alias("band", "key"))
-    member = connected_components(_compared(banded.select("band", "key", "node", "words"), wide_radius(similarity), tile))
+
+    @pandas_udf("array<long>")
+    def set_of(texts):
+        return texts.map(lambda t: shingles(t, words).view(np.int64))
+
+    def sets_of(wanted):
+        held = rows.select(F.col(f"{place}.row").alias("node"), F.col(text).alias("text")).join(wanted, "node", "left_semi")
+        return stored(held.select("node", set_of("text").alias("set")), "shingle-sets")
+
+    member = connected_components(_verified(banded.select("band", "key", "node", "words"), sets_of, similarity, tile))
     named = nodes.select("same", "lowest", "node").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("lowest").alias("first"))
     return marked.select("place", "same").join(named.join(low, "component").select("same", "first"), "same").select("place", "first")

@@ -133,6 +133,48 @@ def test_filler_does_not_fold_texts_and_repeated_passages_do_not_part_them(spark
     assert kept == {0, 1, 2, 3, 4, 5, 10}
 
 
+def test_links_follow_exact_similarity_around_the_threshold(spark):
+    rng = random.Random(13)
+    rows, truth = [], []
+    for i in range(200):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(80, 200))]
+        cut = int(len(base) * rng.uniform(0.68, 0.9))  # the first words: similarities on both sides of 0.8
+        rows += [(i, " ".join(base[:cut])), (1000 + i, " ".join(base))]
+        truth.append(jaccard(rows[-1][1], rows[-2][1]))
+    for i in range(200, 260):  # 5 against 4 shingles
+        base = [f"s{i}x{k}" for k in range(9)]
+        rows += [(i, " ".join(base[:8])), (1000 + i, " ".join(base))]
+        truth.append(0.8)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(1000 + i in kept for i, t in enumerate(truth) if t < 0.8)
+    near = [i for i, t in enumerate(truth) if t >= 0.8]
+    assert sum(0.65 < t < 0.8 for t in truth) > 60 and sum(1000 + i not in kept for i in near) >= 0.98 * len(near)
+
+
+def test_large_groups_link_all_exact_pairs_and_no_others(spark, monkeypatch):
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(240)]
+    texts = []
+    for _ in range(70):  # one template, tails of different lengths: pairs on both sides of 0.8
+        n = rng.choice([10, 25, 45, 60, 75])
+        texts.append(" ".join(base + [f"x{rng.randrange(10**6)}" for _ in range(n)]))
+    sets = [{t for t in zip(*[x.split()[k:] for k in range(5)])} for x in texts]
+    near = [[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets]
+    want = list(range(70))
+    for i in range(70):
+        for j in range(i):
+            if near[i][j] and want[i] != want[j]:
+                a, b = sorted((want[i], want[j]))
+                want = [a if w == b else w for w in want]
+    assert 5 < len(set(want)) < 60
+    order = F.struct(F.lit(False).alias("no_id"), F.col("doc_id").alias("id"), F.col("doc_id").alias("row"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(order.alias("place"), "text")
+    for size in (1 << 11, 20):
+        monkeypatch.setattr(simhash, "EXACT_TILE", size)
+        got = {r.place.id: r.first.id for r in simhash.similar_groups(df, "place", "text").collect()}
+        assert [got[i] for i in range(70)] == want
+
+
 def test_hot_groups_of_similar_texts_keep_one_row(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(3000)}" for _ in range(300)]
