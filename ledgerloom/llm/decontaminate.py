@@ -1,15 +1,10 @@
 """Benchmark decontamination: which documents hold a benchmark item, whole or edited.
 
-A text is its sequence of words. The CGK embedding walks over a window with a pointer: step j writes the word under the
-pointer, then moves on by a random bit that depends on j and that word. Two windows at small edit distance fall back into
-step after an edit, so most written symbols agree: edit distance becomes Hamming distance. Each of TABLES repetitions has
-its own random bits, starts near its own place in the item (at the longest of NEAR words there), and samples four
-of the first STEPS symbols as its key, the first one always. Every word of every document starts a window; windows that
-share a key with an item become candidates, and the edit distance in words decides: an item is found where it aligns
-with some stretch of the document within (1 - similarity) of its own words.
-
-Recall: an unedited item always shares its keys. For items with a fifth of their words edited at random the test measures it
-(target 0.95). Items below SHORT words are looked up by each of their words, which finds all.
+A text is its sequence of words, and an item is found where it aligns with some stretch of the document within
+(1 - similarity) of its own words. An edit touches one piece at most, so of one more disjoint pieces than edits allowed,
+one at least stands in the document unchanged: each item is cut into that many pieces of about equal length (two words
+or more at 0.8), each place where a piece stands whole is a candidate, and the edit distance in words decides. Nothing
+within the distance is lost, whatever the length of the item and wherever the edits are.
 
 The benchmark is a query set: its items go to the tasks in blocks of at most BLOCK_CHARS characters, one pass over the
 documents for each block. Documents are never shuffled.
@@ -33,7 +28,8 @@ from pyspark.sql.functions import pandas_udf
 
 from ledgerloom.llm.common import read, small_batches
 
-TABLES, STEPS, SAMPLES, SHORT, NEAR = 16, 12, 4, 12, 5
+#: Wordless places between two documents in a row of ids.
+GAP = 12
 BLOCK_CHARS = 8 << 20
 #: Words of documents that are walked over at once.
 AT_ONCE = 1 << 19
@@ -85,8 +81,8 @@ def _levels(keys: np.ndarray, owners: list[tuple[int, int]], size: int):
 class Index:
     """The keys of a block of items."""
 
-    def __init__(self, items: list[str | None], similarity: float, seed: int = 7):
-        self.texts, self.similarity, self.seed = items, similarity, seed
+    def __init__(self, items: list[str | None], similarity: float):
+        self.texts, self.similarity = items, similarity
 
     @cached_property
     def vocabulary(self) -> dict[str, int]:
@@ -96,59 +92,43 @@ class Index:
     def items(self) -> list[np.ndarray]:
         return [np.array([self.vocabulary[w] for w in words_of(t)], np.int64) for t in self.texts]
 
+    def allowed(self, n):
+        """Edits within which an item of n words is held."""
+        return ((1 - self.similarity) * n + 1e-9).astype(np.int64)
+
     @cached_property
-    def tables(self) -> list[dict]:
-        rng = np.random.default_rng(self.seed)
-        size = len(self.vocabulary) + 1
-        length = np.array([0, *map(len, self.vocabulary)])
-        out = []
-        for t in range(TABLES):
-            moves = rng.integers(0, 2, (STEPS, size), dtype=np.int32)
-            steps = [0, *sorted(rng.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False).tolist())]
-            keys, owners, short = [], [], []
-            for k, item in enumerate(self.items):
-                n = len(item)
-                if 0 < n < SHORT:
-                    short.append((int(item[t % n]), k, t % n))
-                elif n:
-                    start = round(max(0, n - STEPS - NEAR + 1) * t / (TABLES - 1))
-                    near = item[start : min(start + NEAR, n - STEPS + 1)]
-                    start += int(length[near].argmax())  # long words are rare: few windows begin with one
-                    key, place = [], start
-                    for j in range(steps[-1] + 1):
-                        if j in steps:
-                            key.append(int(item[place]))
-                        place += int(moves[j, item[place]])
-                    keys.append(key)
-                    owners.append((k, start))
-            out.append({"moves": moves, "steps": steps, "levels": _levels(np.array(keys, np.int64).reshape(-1, SAMPLES), owners, size), "short": _levels(np.array([[s[0]] for s in short], np.int64).reshape(-1, 1), [s[1:] for s in short], size)})
-        return out
+    def tables(self) -> list[tuple]:
+        """(words of a piece, levels of the pieces of that many words)."""
+        keys: dict[int, list] = {}
+        owners: dict[int, list] = {}
+        for k, item in enumerate(self.items):
+            if not len(item):
+                continue
+            pieces = min(int(self.allowed(self.lengths[k])) + 1, len(item))
+            edges = [len(item) * i // pieces for i in range(pieces + 1)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                keys.setdefault(hi - lo, []).append(item[lo:hi])
+                owners.setdefault(hi - lo, []).append((k, lo))
+        return [(n, _levels(np.array(keys[n], np.int64), owners[n], len(self.vocabulary) + 1)) for n in sorted(keys)]
 
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(where the item would begin in ids, item) of windows that share a key. ids ends with STEPS zeros; 0 is no word of an item."""
+        """(where the item would begin in ids, item) of places that hold a piece. ids ends with zeros; 0 is no word of an item."""
         size = len(self.vocabulary) + 1
-        last = len(ids) - STEPS
         begins, items = [], []
-        for at in self.tables:
-            for levels, steps in ((at["levels"], at["steps"]), (at["short"], [0])):
-                if levels is None:
-                    continue
-                head, codes, first, owner, offset = levels
-                start = np.flatnonzero(head[ids[:last]] >= 0)
-                where, rank = start, head[ids[start]]
-                for j in range(steps[-1]):
-                    where = where + at["moves"][j][ids[where]]
-                    if j + 1 in steps:
-                        known = codes[steps.index(j + 1) - 1]
-                        code = rank * size + ids[where]
-                        rank = np.minimum(np.searchsorted(known, code), len(known) - 1)
-                        keep = known[rank] == code
-                        start, where, rank = start[keep], where[keep], rank[keep]
-                many = first[rank + 1] - first[rank]
-                each = np.repeat(np.arange(len(start)), many)
-                own = first[rank[each]] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-                begins.append(start[each] - offset[own])
-                items.append(owner[own])
+        for words, (head, codes, first, owner, offset) in self.tables:
+            last = max(0, len(ids) - words + 1)
+            start = np.flatnonzero(head[ids[:last]] >= 0)
+            rank = head[ids[start]]
+            for j, known in enumerate(codes, 1):
+                code = rank * size + ids[start + j]
+                rank = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                keep = known[rank] == code
+                start, rank = start[keep], rank[keep]
+            many = first[rank + 1] - first[rank]
+            each = np.repeat(np.arange(len(start)), many)
+            own = first[rank[each]] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+            begins.append(start[each] - offset[own])
+            items.append(owner[own])
         if not begins:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         both = np.unique(np.stack([np.concatenate(begins), np.concatenate(items)], axis=1), axis=0)
@@ -169,14 +149,14 @@ class Index:
         lookup = self.vocabulary.get
         split = [words_of(t) for t in texts]
         lengths = np.array([len(w) for w in split], np.int64)
-        begins = np.concatenate(([0], np.cumsum(lengths + STEPS)))
-        ids = np.zeros(int(begins[-1]) + STEPS, np.int64)
+        begins = np.concatenate(([0], np.cumsum(lengths + GAP)))
+        ids = np.zeros(int(begins[-1]) + GAP, np.int64)
         for b, words in zip(begins.tolist(), split):
             ids[b : b + len(words)] = np.fromiter(map(lookup, words, repeat(0)), np.int64, len(words))
         begin, item = self.candidates(ids)
         doc = np.searchsorted(begins, begin + self.lengths[item] // 2, "right") - 1
         doc = np.clip(doc, 0, len(texts) - 1)
-        allowed = ((1 - self.similarity) * self.lengths + 1e-9).astype(np.int64)[item]
+        allowed = self.allowed(self.lengths)[item]
         lo = np.maximum(begins[doc], begin - allowed)
         hi = np.minimum(begins[doc] + lengths[doc], begin + self.lengths[item] + allowed)
         need = self.lengths[item] - allowed

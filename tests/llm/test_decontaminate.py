@@ -95,3 +95,23 @@ def test_groups_of_texts_are_whole_and_none_is_empty(monkeypatch):
     assert [t for g in groups for t in g] == texts and all(groups)
     index = dc.Index(["one two three", None], 0.8)
     assert index.search([]) == [] and index.search([None, "x"]) == [[], []] and dc.Index([], 0.8).search(["x"]) == [[]]
+
+
+def test_edited_copies_of_every_length_are_found():
+    rng = random.Random(21)
+    vocab = [f"v{i}" for i in range(300)]
+    items = [[rng.choice(vocab) for _ in range(n)] for n in range(1, 61)]
+    index = dc.Index([" ".join(w) for w in items], 0.8)
+    texts, want = [], []
+    for k, item in enumerate(items):
+        copies = [[*item[:at], *new, *item[at + 1 :]] for at in range(len(item)) for new in ([], ["other"])]  # each word alone deleted or replaced
+        copies += [edited(item, 0.2, rng, ["other", *vocab]) for _ in range(20)]
+        for copy in copies:
+            body = [rng.choice(["x", "y"]) for _ in range(rng.randint(0, 9))]
+            at = rng.randint(0, len(body))
+            body[at:at] = copy
+            texts.append(" ".join(body))
+            want.append((k, body and slow_fit(item, body) <= int(0.2 * len(item) + 1e-9)))
+    got = index.search(texts)
+    assert all(any(f["item"] == k for f in found) for found, (k, held) in zip(got, want) if held)
+    assert sum(bool(held) for _, held in want) > 4000
