@@ -41,3 +41,27 @@ def shared_if_small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
 def held_out(doc_id: str, of: int, remainder: int):
     """Whether crc32 of the id as text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % of == remainder, F.lit(False))
+
+
+#: A key with more than this share of the rows (one of so many parts) is dealt to several tasks.
+HOT_PARTS, LEAST_PART = 10_000, 1000
+
+
+def join_dealt(rows: DataFrame, stats: DataFrame, keys: list[str], salt: list[str], n: str = "n") -> DataFrame:
+    """Inner join of rows with stats (one row for each value of keys, n its number of rows), nulls equal nulls.
+
+    Keys with more than 1/HOT_PARTS of all rows are dealt to pieces by a hash of the salt columns; they are fewer than
+    HOT_PARTS, so their list goes to every task, and their rows of stats repeat once for each piece.
+    stats should be stored: it is read several times.
+    """
+    total = stats.agg(F.sum(n)).first()[0] or 0
+    part = max(LEAST_PART, total // HOT_PARTS)
+    pieces = F.ceil(F.col(n) / F.lit(part)).cast("int")
+    hot = stats.filter(F.col(n) > part).select(*[F.col(k).alias(f"__hot_{k}") for k in keys], pieces.alias("__pieces"))
+    same = lambda a, b: [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b)]
+    dealt = rows.join(F.broadcast(hot), same(keys, [f"__hot_{k}" for k in keys]), "left")
+    dealt = dealt.withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("__pieces")).cast("int"), F.lit(0)))
+    other = stats.withColumn("__own", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), pieces) - 1)))
+    other = other.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    joined = dealt.join(other, same([*keys, "__piece"], [*[f"__key_{k}" for k in keys], "__own"]))
+    return joined.drop(*[f"__hot_{k}" for k in keys], *[f"__key_{k}" for k in keys], "__pieces", "__piece", "__own")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import byte_bpe, decontaminate, exact_dedup, language_id, secret_scan, simhash, suffix_dedup, toxicity, url_filters, warc
+from ledgerloom.llm import byte_bpe, debruijn, decontaminate, exact_dedup, language_id, secret_scan, simhash, suffix_dedup, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": warc.op4_warc,
     "op3_language_id": language_id.op3_language_id,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op11_debruijn_dedup": debruijn.op11_debruijn_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op6_secret_scan": secret_scan.OP6_SQL,
     "op1_url_filter": url_filters.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op11_debruijn_dedup": debruijn.OP11_SQL,
 }
