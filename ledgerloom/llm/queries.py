@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import byte_bpe, debruijn, decontaminate, exact_dedup, language_id, secret_scan, simhash, suffix_dedup, toxicity, url_filters, warc
+from ledgerloom.llm import byte_bpe, conversations, debruijn, decontaminate, exact_dedup, fill_middle, language_id, secret_scan, simhash, suffix_dedup, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id.op3_language_id,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op11_debruijn_dedup": debruijn.op11_debruijn_dedup,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +30,6 @@ ORACLES: dict[str, str] = {
     "op1_url_filter": url_filters.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
     "op11_debruijn_dedup": debruijn.OP11_SQL,
+    "op12_fill_middle": fill_middle.OP12_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
 }
