@@ -29,13 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import join_dealt, read, shared_if_small, small_batches, stored
+from ledgerloom.llm.common import join_dealt, read, small_batches, stored
 
 #: Words of a window and of a minimizer, windows in a bundle, words of a verified piece.
 K, M, MOST, CELL = 50, 12, 64, 64
@@ -50,9 +51,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | bytes | None) -> np.ndarray:
     """One 64-bit hash for each word."""
-    data = (text or "").encode("utf-8", "surrogatepass")
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
     digest, out, at = xxhash.xxh3_64_intdigest, [], 0
     while at < len(data):
         end = min(len(data), at + _SLICE)
@@ -118,12 +119,22 @@ def _bundle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            z = [squeeze(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(z, pa.binary())], names=["id", "h", "z"])
+
+
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each wanted variant: the hashes of its edges."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        ids, hs, texts, wanted = batch.column("id"), batch.column("h").to_numpy(), batch.column("text"), batch.column("wanted")
+        ids, hs, texts, wanted = batch.column("id"), batch.column("h").to_numpy(), batch.column("z"), batch.column("wanted")
         for k in range(batch.num_rows):
-            walk = Walk(word_hashes(texts[k].as_py()))
+            walk = Walk(word_hashes(unpack(texts[k].as_py())))
             asked = wanted[k].as_py()
             edges = [walk.of(at := np.arange(w["start"], w["start"] + w["windows"]), at + K).view(np.int64) for w in asked]
             ends = np.cumsum([0, *map(len, edges)], dtype=np.int32)
@@ -137,16 +148,16 @@ def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _by_text(rows: DataFrame, lists: DataFrame, size: int, how: str) -> DataFrame:
-    """rows (id, h, text) joined with lists (id, h, ...) of about `size` bytes in all; a small table of lists is sent instead of the texts."""
-    lists = shared_if_small(lists.withColumnsRenamed({"id": "id2", "h": "h2"}), size, 1)
-    return rows.join(lists, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), how).drop("id2", "h2")
+def _by_text(packed: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """packed (id, h, z) joined with lists (id, h, ...)."""
+    lists = lists.withColumnsRenamed({"id": "id2", "h": "h2"})
+    return packed.join(lists, packed["id"].eqNullSafe(F.col("id2")) & (packed["h"] == F.col("h2")), how).drop("id2", "h2")
 
 
-def paths(rows: DataFrame) -> DataFrame:
+def paths(rows: DataFrame, packed: DataFrame) -> DataFrame:
     """(id, h, start, windows, sid, sh, at): every stretch of windows in a document with the least source of its path, by word positions.
 
-    rows: (id, h, text) with ids that are not null.
+    rows: (id, h, text) with ids that are not null; packed: (id, h, z), the texts once more.
     """
     kind = rows.schema["id"].dataType
     long, small = LongType(), IntegerType()
@@ -162,9 +173,8 @@ def paths(rows: DataFrame) -> DataFrame:
     # variants of minimizers with several: their edges, read at the source
     branching = variants.filter("NOT single")
     wanted = branching.select("source.*", "windows", "mini", "content").groupBy("id", "h").agg(F.collect_list(F.struct("start", "windows", "mini", "content")).alias("wanted"))
-    many = branching.count()
     edge_schema = StructType([*schema.fields[:5], StructField("edges", ArrayType(long))])
-    edges = _by_text(rows, wanted, many * 40, "inner").mapInArrow(_edge_rows, edge_schema)
+    edges = _by_text(packed, wanted, "inner").mapInArrow(_edge_rows, edge_schema)
     edges = stored(edges.dropDuplicates(["mini", "content"]), "debruijn-edges")  # repeated rows give theirs each
     single = edges.select("id", "h", "mini", "content", "start", F.posexplode("edges").alias("i", "edge")).withColumn("at", F.col("start") + F.col("i"))
     ends = stored(single.groupBy("mini", "edge").agg(F.min(F.struct("id", "h", "at")).alias("source"), F.count(F.lit(1)).alias("n")), "debruijn-edge-stats")
@@ -201,8 +211,8 @@ class Words:
 
     _BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
-    def __init__(self, text: str | None):
-        self.data = (text or "").encode("utf-8", "surrogatepass")
+    def __init__(self, data: bytes):
+        self.data = data
         blank = self._BLANK[np.frombuffer(self.data, np.uint8)]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
@@ -226,11 +236,14 @@ def _claims(kind: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (kind, pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part, said = batch.slice(i, 256), []
-                for text, mine, asked in zip(part.column("text"), part.column("mine").to_pylist(), part.column("asked").to_pylist()):
-                    words = Words(text.as_py())
+                for z, mine, asked in zip(part.column("z"), part.column("mine").to_pylist(), part.column("asked").to_pylist()):
+                    if not mine and not asked:
+                        continue
+                    words = Words(unpack(z.as_py()))
                     own = [(s["sid"], s["sh"], at, n, s["start"] + at - s["at"]) for s in mine for at, n in cells(s["at"], s["words"])]
                     others = [(s["sid"], s["sh"], s["at"], s["n"], s["at"]) for s in asked]
                     said += [(*x[:4], hashlib.sha256(words.part(x[4], x[4] + x[3])).digest()) for x in own + others]
@@ -241,12 +254,13 @@ def _claims(kind: pa.DataType):
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
             sizes, spans, kept = [], [], []
-            for text, mine in zip(part.column("text"), part.column("mine").to_pylist()):
-                words = Words(text.as_py())
+            for z, mine in zip(part.column("z"), part.column("mine").to_pylist()):
+                words = Words(unpack(z.as_py()))
                 own: list[list[int]] = []
                 for lo, n in sorted((s["start"], s["words"]) for s in mine or ()):
                     if own and lo <= own[-1][1]:
@@ -261,26 +275,25 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], names=["doc_id", "n_words", "spans", "kept"])
 
 
-def lists_of(spans: DataFrame) -> tuple[DataFrame, int]:
-    """(id, h, mine, asked): the spans of each text and the pieces of it that spans elsewhere name as their source; and their size in bytes."""
+def lists_of(spans: DataFrame) -> DataFrame:
+    """(id, h, mine, asked): the spans of each text and the pieces of it that spans elsewhere name as their source."""
     cell = F.explode(F.sequence(F.floor(F.col("at") / CELL), F.floor((F.col("at") + F.col("words") - 1) / CELL))).alias("cell")
     lo, hi = F.greatest("at", F.col("cell") * CELL), F.least(F.col("at") + F.col("words"), (F.col("cell") + 1) * CELL)
     pieces = spans.select("sid", "sh", "at", "words", cell).select("sid", "sh", lo.cast("int").alias("at"), (hi - lo).cast("int").alias("n")).distinct()
     mine = spans.select("id", "h", F.struct("start", "words", "sid", "sh", "at").alias("mine"))
     asked = pieces.select(F.col("sid").alias("id"), F.col("sh").alias("h"), F.struct("sid", "sh", "at", "n").alias("asked"))
     lists = mine.unionByName(asked, allowMissingColumns=True).groupBy("id", "h").agg(F.collect_list("mine").alias("mine"), F.collect_list("asked").alias("asked"))
-    lists = stored(lists, "debruijn-lists")
-    return lists, lists.agg(F.sum(40 * F.size("mine") + 40 * F.size("asked") + 40)).first()[0] or 0
+    return stored(lists, "debruijn-lists")
 
 
-def verify(rows: DataFrame, lists: DataFrame, size: int) -> None:
-    """Stop unless every span has the words of its source."""
-    kind = rows.schema["id"].dataType
+def proof(both: DataFrame) -> DataFrame:
+    """(doc_id), never a row: fails where a span has not the words of its source. both: (id, h, z, mine, asked)."""
+    kind = both.schema["id"].dataType
     claim = StructType([StructField("sid", kind), StructField("sh", LongType()), StructField("at", IntegerType()), StructField("n", IntegerType()), StructField("digest", BinaryType())])
-    claims = _by_text(rows, lists, size, "inner").mapInArrow(_claims(to_arrow_type(kind)), claim)
-    wrong = claims.groupBy("sid", "sh", "at", "n").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").first()
-    if wrong:
-        raise RuntimeError(f"words at {wrong['at']} of document {wrong['sid']} are not those of a document that repeats them")
+    claims = both.mapInArrow(_claims(to_arrow_type(kind)), claim)
+    wrong = claims.groupBy("sid", "sh", "at", "n").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b")
+    text = F.concat_ws(" ", F.lit("a span has not the words of its source, document"), F.col("sid").cast("string"), F.lit("at word"), F.col("at").cast("string"))
+    return wrong.select(F.raise_error(text).cast(kind).alias("doc_id"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,12 +301,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
-    found = paths(rows.filter("id IS NOT NULL")).filter("sid < id").dropDuplicates(["id", "h", "start"])
-    spans = stored(long_spans(found), "debruijn-spans")
-    lists, size = lists_of(spans)
-    verify(rows, lists, size)
-    out = StructType([StructField("doc_id", rows.schema["id"].dataType), StructField("n_words", LongType()), StructField("spans", _SPANS), StructField("kept", StringType())])
-    return _by_text(rows, lists.select("id", "h", "mine"), size, "left").mapInArrow(_cut_out, out)
+    kind = rows.schema["id"].dataType
+    packed = rows.mapInArrow(_packed, StructType([StructField("id", kind), StructField("h", LongType()), StructField("z", BinaryType())]))
+    found = paths(rows.filter("id IS NOT NULL"), packed).filter("sid < id").dropDuplicates(["id", "h", "start"])
+    lists = lists_of(stored(long_spans(found), "debruijn-spans"))
+    both = _by_text(packed, lists, "left")  # its shuffle serves the result and the proof
+    out = StructType([StructField("doc_id", kind), StructField("n_words", LongType()), StructField("spans", _SPANS), StructField("kept", StringType())])
+    return both.mapInArrow(_cut_out, out).unionByName(proof(both), allowMissingColumns=True)
 
 
 _SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))

@@ -99,14 +99,6 @@ def test_equal_windows_have_equal_minimizers(monkeypatch):
         assert seen == list(range(max(0, len(w) - 49)))
 
 
-def test_shuffled_texts(spark, monkeypatch):
-    from ledgerloom.llm import common
-
-    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
-    rows = mixed(4)
-    assert run(spark, rows) == brute(rows)
-
-
 def test_one_passage_in_all(spark):
     passage = " ".join(f"p{i}" for i in range(70))
     rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(3000)]
@@ -127,8 +119,10 @@ def test_false_match_stops_the_job(spark):
 
     df = spark.createDataFrame([(0, " ".join(["ab"] * 90)), (1, " ".join(["ab"] * 60 + ["cd"] * 60))], "id long, text string")
     rows = df.select("id", F.xxhash64("text").alias("h"), "text")
+    packed = rows.mapInArrow(debruijn._packed, "id long, h long, z binary")
     h = {r.id: r.h for r in rows.collect()}
     spans = lambda words: spark.createDataFrame([(1, h[1], 5, words, 0, h[0], 10)], "id long, h long, start int, words int, sid long, sh long, at int")
-    debruijn.verify(rows, *debruijn.lists_of(spans(55)))
-    with pytest.raises(RuntimeError):
-        debruijn.verify(rows, *debruijn.lists_of(spans(56)))
+    proof = lambda words: debruijn.proof(debruijn._by_text(packed, debruijn.lists_of(spans(words)), "left")).collect()
+    assert proof(55) == []
+    with pytest.raises(Exception, match="not the words of its source"):
+        proof(56)
