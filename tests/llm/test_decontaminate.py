@@ -60,6 +60,7 @@ def test_fitting_distance_equals_cell_by_cell():
         d, s, e = dc.fitting_distance(np.array(a), np.array(b, np.int64))
         assert d == slow_fit(a, b)
         assert slow_fit(b[s:e], a) <= d and 0 <= s <= e <= len(b)
+        assert dc.fitting_distances(np.array([a, a]), np.array([[*b, -1], [*b, -1]])).tolist() == [d, d]
 
 
 def test_finds_planted_items_and_nothing_else(spark):
@@ -115,3 +116,37 @@ def test_edited_copies_of_every_length_are_found():
     got = index.search(texts)
     assert all(any(f["item"] == k for f in found) for found, (k, held) in zip(got, want) if held)
     assert sum(bool(held) for _, held in want) > 4000
+
+
+def test_recall_of_edited_copies_by_length():
+    """A fifth of the words edited: recall of the embedding for each length, edited copies only; keys see the whole walk."""
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(300)]
+    for lo in range(5, 65, 10):
+        items = [[rng.choice(vocab) for _ in range(n)] for n in range(lo, lo + 10)]
+        index = dc.Index([" ".join(w) for w in items], 0.8)
+        texts, want = [], []
+        for k, item in enumerate(items):
+            for _ in range(12):
+                copy = edited(item, 0.2, rng, ["other", *vocab])
+                if copy != item and slow_fit(item, copy) <= int(0.2 * len(item) + 1e-9):
+                    texts.append(" ".join([*(rng.choice(vocab) for _ in range(rng.randint(0, 9))), *copy, *(rng.choice(vocab) for _ in range(rng.randint(0, 9)))]))
+                    want.append(k)
+        found = sum(any(f["item"] == k for f in got) for got, k in zip(index.search(texts), want))
+        assert len(want) > 60 and found >= 0.95 * len(want), (lo, found, len(want))
+    starts = {t.start for _, _, _, tables in index.classes for t, _, _ in tables}
+    steps = [s / (2 * t.size) for _, _, _, tables in index.classes for t, _, _ in tables for s in t.steps]
+    assert len(starts) > 20 and min(steps) < 0.05 and max(steps) > 0.95  # own starts; samples over the whole walk
+
+
+def test_many_items_with_one_opening_cost_no_memory(monkeypatch):
+    """Keys that many items and places share: pairs come in blocks."""
+    monkeypatch.setattr(dc, "AT_ONCE", 1000)
+    same = [f"s{i}" for i in range(12)]
+    items = [" ".join([*same, f"a{i}", f"b{i}", f"c{i}"]) for i in range(300)]
+    index = dc.Index(items, 0.8)
+    text = " ".join(" ".join([*same, "x", "y", "z", "x"]) for _ in range(40)) + " " + items[17]
+    ids = np.array([index.vocabulary.get(w, 0) for w in text.split()], np.int64)
+    assert all(len(b) <= 1000 for b, _ in index.candidates(ids))
+    found = index.search([text])[0]
+    assert {f["item"] for f in found if f["distance"] == 0} == {17}
