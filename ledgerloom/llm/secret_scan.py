@@ -14,7 +14,9 @@ Patterns run in Java. Matches are leftmost and don't overlap within a rule; matc
 after matching. Spans are in code points, end exclusive.
 
 Defined results: null counts as empty and has no spans; the key of a document is its id and a hash of its text, so
-repeated ids and null ids are no problem; other columns are ignored.
+repeated ids, repeated rows and null ids are no problem; spans that start together are in the order of the rules; very long texts
+are scanned whole, and no pattern has a repeated group, in which Java would recurse for each repeat; an empty table gives
+no rows; other columns are ignored, so they may have any name.
 """
 
 from __future__ import annotations
@@ -48,11 +50,13 @@ BASE = [
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
 ]
 EXTRA = [
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("vendor_token", r"(?:ghp_|gho_|xoxb-|xoxp-|sk_live_)[A-Za-z0-9-]+", 0, 20),
 ]
 RULES = BASE + EXTRA
+#: Matches whose places are added up in one go.
+GROUP = 128
 #: Ways to satisfy a rule that a query may list before it gives up and has the rule scan fully.
 MOST_WAYS = 64
 
@@ -122,16 +126,22 @@ def spans(text: Column, rule: Rule) -> Column:
     parts = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
     gaps = F.split(text, rule.pattern, -1)
     zipped = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), F.transform(parts, F.length).alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,part:int>>").alias("out"))
+    length = lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0))
+    # places are running sums: over groups of matches first, then within each, so that no long array is copied for each match
+    groups = F.transform(F.sequence(F.lit(0), F.floor(F.size(hits) / GROUP).cast("int")), lambda i: F.slice(zipped, i * GROUP + 1, F.lit(GROUP)))
+    totals = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + length(x)))
+    starts = F.aggregate(totals, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    none = F.array().cast("array<struct<start:int,end:int,part:int>>")
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["hit"], F.lit(0))
+        end = acc["at"] + length(x)
         here = F.array(F.struct(begin.alias("start"), end.alias("end"), x["part"].alias("part")))
         return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], here)).alias("out"))
 
-    found = F.aggregate(zipped, start, step)["out"]
-    return F.filter(F.when(F.size(hits) > 0, found).otherwise(start["out"]), lambda x: x["part"] >= rule.least)
+    of_group = lambda g, start: F.aggregate(g, F.struct(start.alias("at"), none.alias("out")), step)["out"]
+    found = F.flatten(F.zip_with(groups, F.slice(starts, F.lit(1), F.size(groups)), of_group))
+    return F.filter(F.when(F.size(hits) > 0, found).otherwise(none), lambda x: x["part"] >= rule.least)
 
 
 def kept_pattern(rule: Rule) -> Rule:
@@ -205,10 +215,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: lis
         likely = F.lit(False)
         for t in _anchors(indexed, counts):
             likely = likely | F.contains(low, F.lit(t))
-        texts = rows.filter(likely).select(*_key("id", F.col("body")), "body").distinct()
+        texts = rows.filter(likely).select(*_key("id", F.col("body")), "body")
         sure = texts.join(chosen, texts["id"].eqNullSafe(chosen["id"]) & (texts["h"] == chosen["h"])).select(texts["id"], texts["h"], "body", "rules")
         found = [F.when(F.array_contains("rules", r.name), ranked(r, spans(F.col("body"), r))).otherwise(none) for r in indexed]
-        verified = sure.select("id", "h", F.concat(none, *found).alias("more")).filter(F.size("more") > 0)
+        verified = sure.select("id", "h", F.concat(none, *found).alias("more")).filter(F.size("more") > 0).dropDuplicates(["id", "h"])
         verified = stored(verified, "verified-spans")
         size = verified.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("more")).alias("spans")).first()
         verified = shared_if_small(verified, size.n + (size.spans or 0), 64).withColumnsRenamed({"id": "id2", "h": "h2"})

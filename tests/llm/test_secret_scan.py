@@ -55,3 +55,16 @@ def test_digest_and_empty_table(spark, tmp_path):
     got = {r.doc_id: r for r in ss.op6_secret_scan(spark, str(tmp_path)).collect()}
     assert got[1].base_sha256 == hashlib.sha256(b"assign:0:15").hexdigest() and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert ss.scan(df.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_many_matches(spark):
+    """A pattern's repeat a million times over, thousands of matches in one text, and repeated rows."""
+    key = "-----BEGIN " + "A " * 1_000_000 + "PRIVATE KEY-----"
+    many = " ".join(f"token={i:08d}" for i in range(5_000))
+    rows = [(1, key), (2, many), (2, many), (None, many), (3, "x" * 1_000_000)]
+    got = ss.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        found = [(s.start, s.end) for s in r.spans]
+        want = {1: [(0, len(key))], 3: []}.get(r.doc_id, [(15 * i, 15 * i + 14) for i in range(5_000)])
+        assert found == want
