@@ -54,35 +54,32 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def fitting_distance(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
-    """(distance, start, end): the least edit distance of item to a stretch doc[start:end], the first of the nearest ends."""
-    m = len(doc)
-    steps = np.arange(m + 1)
-    row, begin = np.zeros(m + 1, np.int64), steps.copy()
-    for i, symbol in enumerate(item, 1):
-        change = np.concatenate(([i], row[:-1] + (doc != symbol)))
+def fitting_distances(items: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, start, end) of each row: the least edit distance of the row of items to a stretch doc[start:end] of the row of
+    docs, the first of the nearest ends. -1 in docs equals nothing."""
+    steps = np.arange(docs.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((len(docs), len(steps)), np.int32)
+    begin = np.repeat(steps[None], len(docs), axis=0)
+    edge = np.zeros((len(docs), 1), np.int32)
+    for i in range(items.shape[1]):
+        change = np.concatenate((edge + i + 1, row[:, :-1] + (docs != items[:, i : i + 1])), axis=1)
         drop = row + 1
         best = np.minimum(change, drop)
-        source = np.where(change <= drop, np.concatenate(([0], begin[:-1])), begin)
+        source = np.where(change <= drop, np.concatenate((edge, begin[:, :-1]), axis=1), begin)
         # words of the document left out: the nearest cell to the left, one more for each word
         reach = best - steps
-        low = np.minimum.accumulate(reach)
-        at = np.maximum.accumulate(np.where(reach == low, steps, 0))
-        row, begin = low + steps, source[at]
-    end = int(row.argmin())
-    return int(row[end]), int(begin[end]), end
+        low = np.minimum.accumulate(reach, axis=1)
+        at = np.maximum.accumulate(np.where(reach == low, steps, 0), axis=1)
+        row, begin = low + steps, np.take_along_axis(source, at, axis=1)
+    end = row.argmin(axis=1)
+    every = np.arange(len(docs))
+    return row[every, end], begin[every, end], end
 
 
-def fitting_distances(items: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The least edit distance of each row of items to any stretch of the same row of docs. -1 in docs equals nothing."""
-    steps = np.arange(docs.shape[1] + 1, dtype=np.int32)
-    row = np.zeros((len(docs), docs.shape[1] + 1), np.int32)
-    for i in range(items.shape[1]):
-        change = row[:, :-1] + (docs != items[:, i : i + 1])
-        row += 1
-        np.minimum(row[:, 1:], change, out=row[:, 1:])
-        row = np.minimum.accumulate(row - steps, axis=1) + steps
-    return row.min(axis=1)
+def fitting_distance(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
+    """The same for one item and one document."""
+    distance, start, end = fitting_distances(np.asarray(item)[None], np.asarray(doc)[None])
+    return int(distance[0]), int(start[0]), int(end[0])
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -194,16 +191,16 @@ class Index:
         size = len(self.vocabulary) + 1
         return np.unique(np.concatenate([np.zeros(0, np.int64), *(k * size + x for k, x in enumerate(self.items))]))
 
-    def _within(self, c: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, allowed: np.ndarray) -> list[int]:
-        """Those of the candidates c whose item is within its distance of ids[lo:hi]; items of one length are compared at once."""
-        out: list[int] = []
+    def _within(self, c: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, allowed: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(candidate, distance, start, end) of those of the candidates c whose item is within its distance of ids[lo:hi]; items of one length are
+        compared at once."""
         for n in np.unique(self.lengths[item[c]]):
             same = c[self.lengths[item[c]] == n]
             place = lo[same][:, None] + np.arange(int((hi - lo)[same].max()))
             stretch = np.where(place < hi[same][:, None], ids[np.minimum(place, len(ids) - 1)], -1)
-            near = fitting_distances(np.stack([self.items[k] for k in item[same]]), stretch) <= allowed[same]
-            out += same[near].tolist()
-        return out
+            distance, start, end = fitting_distances(np.stack([self.items[k] for k in item[same]]), stretch)
+            near = distance <= allowed[same]
+            yield from zip(same[near].tolist(), distance[near].tolist(), start[near].tolist(), end[near].tolist())
 
     def search(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text, the items it holds with their nearest place."""
@@ -236,11 +233,10 @@ class Index:
                 own = self.members[np.minimum(np.searchsorted(self.members, code), len(self.members) - 1)] == code
                 c = c[np.bincount(row[own], minlength=len(c)) >= need[c]]
                 c = c[[not (p in tried or tried.add(p)) for p in zip(begin[c].tolist(), item[c].tolist())]]
-                for k in self._within(c, item, lo, hi, ids, allowed):
-                    start, key = int(lo[k]), (int(doc[k]), int(item[k]))
-                    distance, s, e = fitting_distance(self.items[key[1]], ids[start : int(hi[k])])
-                    base = start - int(begins[key[0]])
-                    found = (distance, base + s, base + e)
+                for k, distance, start, end in self._within(c, item, lo, hi, ids, allowed):
+                    key = (int(doc[k]), int(item[k]))
+                    base = int(lo[k]) - int(begins[key[0]])
+                    found = (distance, base + start, base + end)
                     best[key] = min(best.get(key, found), found)
         out: list[list[dict]] = [[] for _ in texts]
         spans: dict[int, list] = {}

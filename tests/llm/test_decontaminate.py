@@ -60,7 +60,8 @@ def test_fitting_distance_equals_cell_by_cell():
         d, s, e = dc.fitting_distance(np.array(a), np.array(b, np.int64))
         assert d == slow_fit(a, b)
         assert slow_fit(b[s:e], a) <= d and 0 <= s <= e <= len(b)
-        assert dc.fitting_distances(np.array([a, a]), np.array([[*b, -1], [*b, -1]])).tolist() == [d, d]
+        many = dc.fitting_distances(np.array([a, a]), np.array([[*b, -1], [*b, -1]]))
+        assert [x.tolist() for x in many] == [[d, d], [s, s], [e, e]]
 
 
 def test_finds_planted_items_and_nothing_else(spark):
