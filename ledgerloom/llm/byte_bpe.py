@@ -34,6 +34,9 @@ from ledgerloom.llm.common import read, small_batches, stored
 
 #: Characters of a chunk beyond its overlap with the next one, and of the overlap.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
+#: A run of blanks from this length on is not left to the library's matcher.
+LONG_RUN = 1 << 16
+_RUN = regex.compile(rf"\s{{{LONG_RUN}}}")
 #: Rows whose ids a Python worker holds at once.
 ROWS = 256
 
@@ -60,6 +63,14 @@ def boundaries(chunk: str, lo: int, hi: int) -> list[int]:
     return [p for p in starts[1:] if lo <= p < hi and not chunk[p - 1].isspace()]
 
 
+def tokens(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text. Its longest run of blanks may be too much for the library's own matcher, which backtracks over all of it; such a
+    text is matched here, and each match encoded by its ranks."""
+    if len(text) < LONG_RUN or not _RUN.search(text):
+        return enc.encode_ordinary(text)
+    return [i for m in _pattern().finditer(text) for i in enc._core_bpe.encode_single_piece(m.group().encode("utf-8"))]
+
+
 def _encoded(docs: DataFrame, text: str, ids: str, path: str, decoded: str | None = None) -> DataFrame:
     """docs, the ids of each text as one piece, and, if asked for, the bytes that these ids decode to."""
 
@@ -68,7 +79,7 @@ def _encoded(docs: DataFrame, text: str, ids: str, path: str, decoded: str | Non
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                coded = [np.array(enc.encode_ordinary(t or ""), np.int32) for t in part.column(text).to_pylist()]
+                coded = [np.array(tokens(enc, t or ""), np.int32) for t in part.column(text).to_pylist()]
                 ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
                 columns = [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded)))]
                 if decoded:

@@ -51,3 +51,14 @@ def test_digests_and_empty_table(spark):
     assert (got[3].n_tokens, got[3].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
     assert got[3].decoded_sha256 == hashlib.sha256("héllo wörld".encode()).hexdigest() and got[4].n_tokens == 0
     assert byte_bpe.digests(df.limit(0)).count() == 0
+
+
+def test_very_long_runs_of_blanks(spark):
+    """Runs that the library's matcher can't take: same ids as the pattern and the ranks give, whatever stands around them."""
+    enc = byte_bpe.encoding(byte_bpe.rank_file())
+    for text in (" " * 70_000 + "x", "a" + "\n" * 66_000 + " b", "\t " * 40_000, " " * byte_bpe.LONG_RUN):
+        assert byte_bpe.tokens(enc, text) == enc.encode_ordinary(text)
+    long = "some words" + " " * 5_000_000 + "end"
+    df = spark.createDataFrame([(1, long), (2, "\n" * 1_000_000)], "doc_id long, text string")
+    for r in byte_bpe.decode(byte_bpe.encode(df)).collect():
+        assert bytes(r.decoded).decode() == r.text and len(r.ids) > 1000
