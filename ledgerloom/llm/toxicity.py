@@ -10,7 +10,7 @@
 4. A logistic regression over the induced entries and patterns learns the posterior of the label model. It alone scores
    texts, in one pass without a shuffle.
 
-The fit reads at most FIT_ROWS labelled rows, drawn by a hash of the id; that bound is a parameter, and what is collected
+The fit reads at most FIT_ROWS labelled rows, drawn by hash and counted; that bound is a parameter, and what is collected
 (votes and features of those rows) is bounded by it. Scores cover every whole text.
 
 Defined results: null and empty texts score the base rate of a text without features; without labelled rows of both
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ledgerloom.llm.common import held_out, read, small_batches
+from ledgerloom.llm.common import held_out, read, small_batches, stored
 
 FIT_ROWS = 20_000
 #: Entries that lean to toxic and to clean, and the labelled rows that an entry must occur in.
@@ -155,13 +155,24 @@ def logistic(rows: list[list[int]], target: np.ndarray, size: int, ridge: float
     return w, float(b)
 
 
+def _drawn(rows: DataFrame, hash_: str, most: int) -> DataFrame:
+    """At most `most` rows, those below a threshold of a hash that tells rows apart; never more, as every threshold is counted."""
+    n, top = rows.count(), 1 << 62
+    while n > most:
+        top = int(top * most / n * 0.98)
+        rows = rows.filter(F.shiftrightunsigned(hash_, 2) < top)
+        n = rows.count()
+    return rows
+
+
 def _chosen(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, fit_rows: int) -> DataFrame:
-    """(text, y) of at most about fit_rows labelled rows; the drawn labels are few enough for every task."""
+    """(text, y) of at most fit_rows labelled rows. Of an id's several labels the greatest counts; at most fit_rows labelled ids go to every
+    task, and the rows they meet are drawn again, so a repeated id or label can't break the bound."""
     labels = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1) AND id IS NOT NULL")
-    n = labels.count()
-    if n > fit_rows:
-        labels = labels.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(labels), "id").select("text", "y")
+    labels = labels.groupBy("id").agg(F.max("y").alias("y")).withColumn("hash", F.xxhash64("id"))
+    labels = stored(_drawn(labels, "hash", fit_rows), "toxic-labels")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("hash", F.xxhash64("id", "text", F.monotonically_increasing_id()))
+    return stored(_drawn(rows.join(F.broadcast(labels.drop("hash")), "id"), "hash", fit_rows).select("text", "y"), "toxic-rows")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
@@ -199,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         m = Model(given["vocabulary"], given["toxic"], np.zeros(0), 0.0)
         return texts.map(m.features)
 
-    got = rows.select(features("text").alias("f"), "y").toPandas()  # at most about fit_rows rows
+    got = rows.select(features("text").alias("f"), "y").toPandas()  # at most fit_rows rows
     feats, y = [list(map(int, f)) for f in got["f"]], got["y"].to_numpy()
     votes = np.array([model.votes(f, int(t)) for f, t in zip(feats, y)], np.int8)
     names = Model.voters()

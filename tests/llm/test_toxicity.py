@@ -64,3 +64,33 @@ def test_odd_rows_and_missing_labels(spark):
         assert got[1] >= 0.5 and got[4] >= 0.5 and max(got[2], got[3], got[5]) < 0.5
         assert {r.k for r in tx.drop_toxic(docs, labels).collect()} == {2, 3, 5}
     assert tx.with_score(docs.limit(0), tx.seeded()).count() == 0
+
+
+def test_fit_rows_are_a_hard_bound(spark):
+    """One id with most labels, and one with most documents."""
+    docs, labels = planted(spark, 200)
+    hot = labels.unionByName(spark.range(4000).selectExpr("7L AS doc_id", "1 AS toxic"))
+    rows = docs.unionByName(spark.range(3000).selectExpr("8L AS doc_id", "concat('tolne ', id) AS text", "'x' AS score"))
+    assert tx._chosen(docs, hot, "doc_id", "text", "toxic", 1000).count() == 200
+    assert 0 < tx._chosen(rows, hot, "doc_id", "text", "toxic", 500).count() <= 500
+    assert 0 < tx._chosen(rows, labels, "doc_id", "text", "toxic", 50).count() <= 50
+
+
+def test_label_model_against_plain_em():
+    """Two voters and the label, independent: posteriors equal those of EM written out vote by vote."""
+    rng = np.random.default_rng(3)
+    y = rng.random(400) < 0.4
+    votes = np.stack([np.where(rng.random(400) < r, np.where(y, 1, -1), np.where(y, -1, 1)) for r in (0.9, 0.85, 0.9)], axis=1)
+    votes[::7, 1] = 0
+    post, _, _ = tx.label_model(votes, 0.4, 2, rounds=5)
+    q = [0.9 if c > 0 else 0.1 for _, _, c in votes]
+    for _ in range(5):
+        p = [[[(sum(w for w, v in zip(ws, votes[:, j]) if v == x) + 0.5) / (sum(ws) + 1.5) for x in (-1, 0, 1)] for j in range(3)] for ws in ([1 - x for x in q], q)]
+        mean = [[(1 - w) * (p[0][j][2] - p[0][j][0]) + w * (p[1][j][2] - p[1][j][0]) for j in range(3)] for w in q]
+        rest = np.array(votes) - np.array(mean)
+        corr = (rest.T @ rest) / np.sqrt(np.outer((rest**2).sum(0), (rest**2).sum(0)))
+        share = [1 / max(1, sum(abs(c) for c in row if abs(c) > 0.1)) for row in corr[:2]] + [1]
+        rate = min(max(sum(q) / len(q), 0.001), 0.999)
+        z = [np.log(rate / (1 - rate)) + sum(share[j] * (np.log(p[1][j][v[j] + 1]) - np.log(p[0][j][v[j] + 1])) for j in range(3)) for v in votes]
+        q = [1 / (1 + np.exp(-max(-30, min(30, x)))) for x in z]
+    assert np.abs(np.array(q) - post).max() < 1e-3
