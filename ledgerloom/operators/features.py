@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import WALLET_FEATURES
+from .peers import distinct_peers
 
 DAY_S = 86_400.0
 
@@ -51,17 +52,10 @@ def leg_tempo() -> list[Column]:
 
 
 def counterparties(legs: DataFrame) -> DataFrame:
-    """Distinct opposite-side addresses per wallet.
-
-    Legs are unique per (transaction, side, address) before the self-join, and a stored ledger keeps
-    at most 50 legs per side (top_legs), so a transaction adds at most 2,500 pairs.
-    """
-    unique = legs.select("txid", "direction", "address").distinct()
-    sends = unique.filter(F.col("direction") == "IN").select("txid", F.col("address").alias("a"))
-    receives = unique.filter(F.col("direction") == "OUT").select("txid", F.col("address").alias("b"))
-    pairs = sends.join(receives, "txid").filter("a <> b").select("a", "b").distinct()
-    both = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("address"), F.col("b").alias("peer")), F.struct(F.col("b").alias("address"), F.col("a").alias("peer")))))
-    return both.distinct().groupBy("address").agg(F.count("*").alias("unique_counterparties"))
+    """Distinct opposite-side addresses per wallet, counted without pairing the legs of a transaction."""
+    other = F.when(F.col("direction") == "IN", "OUT").otherwise("IN")
+    sets = legs.select("txid", other.alias("direction"), F.col("address").alias("peer"))
+    return distinct_peers(legs, sets, ["txid", "direction"], "unique_counterparties")
 
 
 def wallet_transactions(legs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import snap
 from ..config import STORED_PROFILE, ProfileRules
 from ..session import cut
+from .peers import distinct_peers
 from .spread import SPLIT_OVER, gap_range, quantiles
 
 DAY_S = 86_400.0
@@ -124,18 +125,9 @@ def flow_profile(events: DataFrame, legs: DataFrame) -> DataFrame:
     fans = events.groupBy("address").agg(
         snap(F.avg("fan_in"), 2).alias("typical_fan_in"), snap(F.avg("fan_out"), 2).alias("typical_fan_out")
     )
-    mine = events.select("address", "txid", "direction").distinct()
-    theirs = legs.select(
-        "txid", F.when(F.col("direction") == "IN", "OUT").otherwise("IN").alias("direction"), F.col("address").alias("peer")
-    ).distinct()
-    peers = (
-        mine.join(theirs, ["txid", "direction"])
-        .filter("peer <> address")
-        .select("address", "peer")
-        .distinct()
-        .groupBy("address")
-        .agg(F.count("*").alias("unique_counterparty_count"))
-    )
+    other = F.when(F.col("direction") == "IN", "OUT").otherwise("IN")
+    theirs = legs.select("txid", other.alias("direction"), F.col("address").alias("peer"))
+    peers = distinct_peers(events, theirs, ["txid", "direction"], "unique_counterparty_count")
     return fans.join(peers, "address", "left").withColumn(
         "unique_counterparty_count", F.coalesce("unique_counterparty_count", F.lit(0))
     )
@@ -255,16 +247,7 @@ def on_demand_baseline(tx: DataFrame, legs: DataFrame, min_history: int = 3, hig
     span_s, many = (F.col("hi") - F.col("lo")) / 1e6, F.col("n") > 1
     speed = lambda gap: 1.0 / F.greatest(F.lit(0.01), F.col(gap) / 3600.0)
     pick = lambda c, alone: F.when(many, c).otherwise(F.lit(alone))
-    unique = legs.select("txid", F.col("address").alias("peer")).distinct()
-    peers = (
-        rows.select("address", "txid")
-        .join(unique, "txid")
-        .filter("peer <> address")
-        .select("address", "peer")
-        .distinct()
-        .groupBy("address")
-        .agg(F.count("*").alias("counterparties_count"))
-    )
+    peers = distinct_peers(rows, legs.select("txid", F.col("address").alias("peer")), ["txid"], "counterparties_count")
     counts = rows.groupBy("address").agg(F.count("*").alias("_rows"))
     total = F.greatest(F.lit(1), F.col("_in") + F.col("_out"))
     j = (

@@ -735,12 +735,12 @@ SCALED = ["avg_tx_amount", "max_tx_amount", "unique_counterparties", "unique_cou
 
 @query
 def ml2_robust_scaling(spark, sf):
-    return rounded(outliers.robust_scale(star_features(spark, sf).select("address", *SCALED), SCALED), 4)
+    return rounded(outliers.robust_scale(star_features(spark, sf), WALLET_FEATURES), 4)
 
 
 @query
 def ml3_standard_scaling(spark, sf):
-    return rounded(outliers.standard_scale(star_features(spark, sf).select("address", *SCALED), SCALED), 4)
+    return rounded(outliers.standard_scale(star_features(spark, sf), WALLET_FEATURES), 4)
 
 
 def _matrix(spark, sf) -> DataFrame:
@@ -770,10 +770,6 @@ def ml7_contamination_cut(spark, sf):
     return outliers.contamination_cut(f).select("event_id", "prediction")
 
 
-def _sized(spark, sf) -> DataFrame:
-    return star_features(spark, sf).select("address", *SCALED)
-
-
 @query
 def ml8_local_outlier_factor(spark, sf):
     """Comparison model over all rows and features."""
@@ -783,11 +779,9 @@ def ml8_local_outlier_factor(spark, sf):
 
 @query
 def ml9_comparison_guard(spark, sf):
-    """The comparison covers every entity, whatever their number."""
-    m = cut(_sized(spark, sf))
-    out = outliers.lof_baseline(m, SCALED, "address")
-    entities = m.agg(F.count("*").alias("entities"))
-    return entities.join(out.agg(F.count("*").alias("scored")), F.lit(True))
+    """Comparison scores of every entity, whatever their number."""
+    out = outliers.lof_baseline(star_features(spark, sf), WALLET_FEATURES, "address")
+    return out.select("address", r("raw_score", 4).alias("raw_score"), r("anomaly_score", 4).alias("anomaly_score"), "prediction")
 
 
 @query
@@ -797,7 +791,7 @@ def ml10_dbscan(spark, sf):
 
 @query
 def ml11_sample_then_assign(spark, sf):
-    return clusters.sample_then_assign(_sized(spark, sf), SCALED, 200)
+    return clusters.sample_then_assign(star_features(spark, sf), WALLET_FEATURES, 200)
 
 
 def _rule_labels(f: DataFrame) -> DataFrame:

@@ -692,7 +692,7 @@ _SCALED = ["avg_tx_amount", "max_tx_amount", "unique_counterparties", "unique_co
 
 def _scaled(centre: str, scale: str) -> str:
     cols = ", ".join(
-        f"RND(({c} - (SELECT {centre.format(c)} FROM feats)) / (SELECT CASE WHEN {scale.format(c)} = 0 THEN 1.0 ELSE {scale.format(c)} END FROM feats), 4) AS {c}" for c in _SCALED
+        f"RND(({c} - (SELECT {centre.format(c)} FROM feats)) / (SELECT CASE WHEN {scale.format(c)} = 0 THEN 1.0 ELSE {scale.format(c)} END FROM feats), 4) AS {c}" for c in WALLET_FEATURES
     )
     return f"SELECT address, {cols} FROM feats"
 
@@ -702,19 +702,30 @@ ask("ml3_standard_scaling", _scaled("avg({0})", "stddev_pop({0})"), FEATURES)
 ask("ml6_score_range", "SELECT address, RND((max_tx_amount - (SELECT min(max_tx_amount) FROM feats)) / (SELECT max(max_tx_amount) - min(max_tx_amount) FROM feats), 6) AS anomaly_score FROM feats", FEATURES)
 ask("ml7_contamination_cut", "SELECT event_id, CASE WHEN value > (SELECT quantile_cont(value, 0.95) FROM events) THEN 1 ELSE 0 END AS prediction FROM events")
 _Z = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0.0)" for c in WALLET_FEATURES)
-ask(
-    "ml8_local_outlier_factor",
-    f""", z AS (SELECT address, [{_Z}] AS x FROM feats), pts AS (SELECT x, min(address) AS pid, count(*) AS w FROM z GROUP BY x),
+_IQR = "(quantile_cont({0}, 0.75) OVER () - quantile_cont({0}, 0.25) OVER ())"
+_R = ", ".join(f"({c} - quantile_cont({c}, 0.5) OVER ()) / CASE WHEN {_IQR.format(c)} = 0 THEN 1.0 ELSE {_IQR.format(c)} END" for c in WALLET_FEATURES)
+
+
+def _factor(scaled: str) -> str:
+    """CTEs up to lof(address, raw): the outlier factor with 20 neighbours of the scaled features."""
+    return f""", z AS (SELECT address, [{scaled}] AS x FROM feats), pts AS (SELECT x, min(address) AS pid, count(*) AS w FROM z GROUP BY x),
     d AS (SELECT a.pid, b.pid AS other, round(list_distance(a.x, b.x), 9) AS distance, b.w - CAST(a.pid = b.pid AS INT) AS w FROM pts a, pts b),
     r AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY pid ORDER BY distance, other ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b4 FROM d WHERE w > 0),
     near AS (SELECT pid, other, distance, least(w, 20 - b4) AS taken FROM r WHERE b4 < 20),
     kd AS (SELECT pid AS other, max(distance) AS k_distance FROM near GROUP BY 1),
     dens AS (SELECT pid, 1 / (sum(greatest(distance, k_distance) * taken) / sum(taken) + 1e-10) AS density FROM near JOIN kd USING (other) GROUP BY pid),
-    m AS (SELECT near.pid, sum(o.density * taken) / sum(taken) AS mean FROM near JOIN dens o ON o.pid = near.other GROUP BY near.pid)
-    SELECT address, RND(mean / density, 4) AS raw_score FROM z JOIN pts USING (x) JOIN m USING (pid) JOIN dens USING (pid)""",
+    m AS (SELECT near.pid, sum(o.density * taken) / sum(taken) AS mean FROM near JOIN dens o ON o.pid = near.other GROUP BY near.pid),
+    lof AS (SELECT address, mean / density AS raw FROM z JOIN pts USING (x) JOIN m USING (pid) JOIN dens USING (pid))"""
+
+
+ask("ml8_local_outlier_factor", _factor(_Z) + " SELECT address, RND(raw, 4) AS raw_score FROM lof", FEATURES)
+ask(
+    "ml9_comparison_guard",
+    _factor(_R)
+    + """ SELECT address, RND(raw, 4) AS raw_score, RND(coalesce((raw - min(raw) OVER ()) / nullif(max(raw) OVER () - min(raw) OVER (), 0), 0.0), 4) AS anomaly_score,
+    CASE WHEN raw > quantile_cont(raw, 0.95) OVER () THEN 1 ELSE 0 END AS prediction FROM lof""",
     FEATURES,
-)
-ask("ml9_comparison_guard", "SELECT count(DISTINCT address) AS entities, count(DISTINCT address) AS scored FROM legs", LEGS)
+)
 ask("ml17_training_sample", "SELECT txid, fan_in, fan_out FROM etx ORDER BY md5('42:' || txid), txid LIMIT 500", ETX)
 _PROFILE = _SCALED + ["tx_velocity_per_hour", "unique_observed_ips"]
 CLUSTERED = f"""{FEATURES},

@@ -217,7 +217,8 @@ def test_outlier_factor_equals_brute_force_with_repeated_points(spark):
 
 
 def test_dbscan_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr("ledgerloom.operators.metric_cells.MEMBERS_PER_GROUP", 30)
+    for name, rows in (("PIVOTS", 4), ("LEAF", 20), ("GROUP", 15)):
+        monkeypatch.setattr(f"ledgerloom.operators.metric_cells.{name}", rows)
     x = _points(2, 240, 2)
     names = [f"k{i:03d}" for i in range(len(x))]
     df = spark.createDataFrame([(n, *map(float, p)) for n, p in zip(names, x)], "address string, a double, b double")
@@ -233,3 +234,98 @@ def test_dbscan_equals_brute_force(spark, monkeypatch):
         labels = [roots[comp[j]] for j in np.flatnonzero(near[i] & core)]
         want[n] = roots[comp[i]] if core[i] else min(labels, default=-1)
     assert got == want and len(roots) >= 2 and -1 in want.values()
+
+
+def test_third_of_all_points_in_one_ball(spark, monkeypatch):
+    """Dense balls are dealt on both sides, and a ball within the reach is not compared pair by pair."""
+    from ledgerloom.operators import metric_cells as mc
+
+    for name, rows in (("PIVOTS", 6), ("LEAF", 40), ("GROUP", 32)):
+        monkeypatch.setattr(mc, name, rows)
+    sizes = []
+    real = mc.met
+
+    def watched(askers, members, keys, name, fn, schema):
+        out = real(askers, members, keys, name, fn, schema)
+        for side, part in ((askers, "pid"), (members, name)):
+            counts = side.groupBy(*keys).count()
+            counts = side.join(counts, keys).withColumn("p", F.pmod(F.xxhash64(part), F.ceil(F.col("count") / mc.GROUP)))
+            sizes.append((counts.groupBy(*keys, "p").count().agg(F.max("count")).first()[0] or 0, side.count()))
+        return out
+
+    monkeypatch.setattr(mc, "met", watched)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.02, (300, 3)), rng.uniform(-4, 4, (400, 3)), rng.normal(2, 0.1, (200, 3))])
+    names = [f"k{i:03d}" for i in range(len(x))]
+    df = spark.createDataFrame([(n, *map(float, p)) for n, p in zip(names, x)], "address string, a double, b double, c double")
+    got = {r.address: r.cluster_label for r in clusters.dbscan(df, ["a", "b", "c"], "address", 0.3, 4).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)).round(9)
+    core = (d <= 0.3).sum(axis=1) >= 4
+    comp = np.where(core, np.arange(len(x)), len(x))
+    for _ in range(60):
+        comp = np.where(core, np.where((d <= 0.3) & core[None], comp[None], len(x)).min(axis=1), len(x))
+    roots = {c: i for i, c in enumerate(sorted(set(comp[core]), key=lambda c: names[c]))}
+    for i, n in enumerate(names):
+        labels = [roots[comp[j]] for j in np.flatnonzero((d[i] <= 0.3) & core)]
+        assert got[n] == (roots[comp[i]] if core[i] else min(labels, default=-1))
+    k = 9
+    points = mc.folded(df, ["a", "b", "c"], "address")
+    near = {}
+    for r in mc.nearest_points(points, k).collect():
+        near.setdefault(r.pid, []).append((r.distance, r.other))
+    for i, n in enumerate(names):
+        want = sorted((d[i, j], names[j]) for j in range(len(x)) if j != i)[:k]
+        assert sorted(near[n]) == want
+    assert sizes and max(n for n, _ in sizes) <= 3 * mc.GROUP  # a hash deals unevenly, never without a bound
+    assert max(total for _, total in sizes) > 600
+
+
+def test_clusters_are_numbered_without_a_global_window(spark):
+    from ledgerloom.operators.metric_cells import numbered
+
+    keys = [f"k{i * 7919 % 1000:04d}" for i in range(1000)]
+    got = {r.k: r.n for r in numbered(spark.createDataFrame([(k,) for k in keys], "k string").repartition(9), "k", "n").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    assert numbered(spark.createDataFrame([], "k string"), "k", "n").count() == 0
+
+
+def _brute_peers(legs):
+    sides = {}
+    for t, d, a in legs:
+        sides.setdefault((t, d), set()).add(a)
+    out = {}
+    for t, d, a in legs:
+        out.setdefault(a, set()).update(sides.get((t, "OUT" if d == "IN" else "IN"), ()))
+    return {a: len(p - {a}) for a, p in out.items() if p - {a}}
+
+
+def test_counterparties_equal_pairs(spark, monkeypatch):
+    from ledgerloom.operators import features, peers
+
+    monkeypatch.setattr(peers, "PART", 3)
+    rng = np.random.default_rng(6)
+    legs = [(f"t{rng.integers(40)}", str(rng.choice(["IN", "OUT"])), f"a{rng.integers(25)}") for _ in range(400)]
+    legs += [(t, d, a) for t in ("u1", "u2", "u3") for d, ids in (("IN", range(30)), ("OUT", range(20, 60))) for a in (f"b{i}" for i in ids)] + legs[:20]
+    df = spark.createDataFrame(legs, "txid string, direction string, address string")
+    got = {r.address: r.unique_counterparties for r in features.counterparties(df).collect()}
+    assert got == _brute_peers(legs)
+    assert features.counterparties(df.limit(0)).count() == 0
+
+
+def test_counterparties_of_a_wide_transaction_cost_no_pairs(spark):
+    """5,000 x 5,000 legs in three transactions: 25 million pairs, of which none are made."""
+    from ledgerloom.operators import features, peers
+
+    legs = spark.range(10_000).selectExpr("id", "IF(id < 5000, 'IN', 'OUT') AS direction", "concat('w', id) AS address")
+    legs = legs.crossJoin(spark.createDataFrame([("x",), ("y",)], "txid string")).unionByName(
+        legs.filter("id < 4000 OR id >= 6000").withColumn("txid", F.lit("z"))
+    )
+    counts = features.counterparties(legs)
+    assert [tuple(r) for r in counts.groupBy("unique_counterparties").count().collect()] == [(5000, 10_000)]
+    other = F.when(F.col("direction") == "IN", "OUT").otherwise("IN")
+    mine = legs.select("address", "txid", "direction").distinct()
+    sets = legs.select("txid", other.alias("direction"), F.col("address").alias("peer")).distinct()
+    faced, named = peers._sets(mine, sets, ["txid", "direction"])
+    family = peers.families(faced)
+    assert family.select("family").distinct().count() == 4 and faced.count() == 18_000
+    assert peers.unfolded(family, faced, named, sets, ["txid", "direction"]).count() == 10_000  # two families of two sets
