@@ -9,8 +9,9 @@ samples SAMPLES steps spread over its whole walk (two steps for a word) as its k
 is a candidate, and the edit distance in words decides: an item is found where it aligns with some stretch of the document
 within (1 - similarity) of its own words.
 
-Windows start at every word of every document, but for places where too few of the class's words stand for any of its
-items to be within the distance; that filter is exact. Candidates of a key are taken in blocks of AT_ONCE pairs, which first must
+Windows start at every word of every document, but for places where too few of the class's words, or of its pairs of
+neighbouring words, stand for any of its items to be within the distance. An edit takes one word and two pairs at most, so
+that filter is exact. Candidates of a key are taken in blocks of AT_ONCE pairs, which first must
 hold enough words of the item's own, so a key that many items and places share costs time, never memory.
 
 Recall: an unedited item shares all of its keys. For items with a fifth of their words edited the test measures it by length
@@ -135,9 +136,27 @@ class Index:
         """A random number for each word; 0 stands for all words of no item."""
         return _spread(np.arange(1, len(self.vocabulary) + 2, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))
 
+    def _codes(self, ids: np.ndarray) -> np.ndarray:
+        return ids[:-1] * (len(self.vocabulary) + 1) + ids[1:]
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """Sorted codes of the pairs of neighbouring words of all items."""
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *map(self._codes, self.items)]))
+
+    def _pairs_at(self, ids: np.ndarray) -> np.ndarray:
+        """For each place, the number of its pair of words from 1, or 0 for a pair of no item."""
+        out = np.zeros(max(0, len(ids) - 1), np.int64)
+        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        if len(both) and len(self.pairs):
+            code = self._codes(ids)[both]
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            out[both] = np.where(self.pairs[at] == code, at + 1, 0)
+        return out
+
     @cached_property
     def classes(self) -> list[tuple]:
-        """(least and greatest length, words of the items, tables with sorted keys and the items of each)."""
+        """(least and greatest length, words and pairs of the items, how many of each one leaves, tables with sorted keys and the items of each)."""
         out, todo = [], np.unique(self.lengths[self.lengths > 0])
         while len(todo):
             lo, own = int(todo[0]), todo[todo * 4 <= todo[0] * 5]
@@ -145,6 +164,9 @@ class Index:
             members = np.flatnonzero((self.lengths >= lo) & (self.lengths <= own[-1]))
             known = np.zeros(len(self.vocabulary) + 1, bool)
             known[np.concatenate([self.items[k] for k in members])] = True
+            paired = np.zeros(len(self.pairs) + 1, bool)
+            for k in members:
+                paired[np.searchsorted(self.pairs, self._codes(self.items[k])) + 1] = True
             row = self.symbols[np.concatenate([self.items[k] for k in members])]
             begins = np.concatenate(([0], np.cumsum(self.lengths[members])))[:-1]
             rng, tables = np.random.default_rng(lo), []
@@ -153,20 +175,26 @@ class Index:
                 keys = table.keys(row, begins)
                 order = np.argsort(keys, kind="stable")
                 tables.append((table, keys[order], members[order]))
-            out.append((lo, int(own[-1]), known, tables))
+            edits = self.allowed(own)
+            need = int((own - edits).min()), max(0, int((own - 1 - 2 * edits).min()))
+            out.append((lo, int(own[-1]), known, paired, need, tables))
         return out
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (where the item would begin in ids, item) of windows that share a key with an item."""
         n = len(ids)
-        symbols = None
-        for lo, hi, known, tables in self.classes:
+        symbols, pair_at = None, self._pairs_at(ids)
+        for lo, hi, known, paired, (words, pairs), tables in self.classes:
             if n < lo:
                 continue
             slack = int(self.allowed(np.array(hi)))
-            seen = np.concatenate(([0], np.cumsum(known[ids])))
-            begin = np.arange(n - lo + 1)
-            begin = begin[seen[np.minimum(begin + hi + slack, n)] - seen[np.maximum(begin - slack, 0)] >= lo - int(self.allowed(np.array(lo)))]
+            places = n - lo + 1
+            seen = np.cumsum(paired[pair_at], dtype=np.int32)
+            seen = np.concatenate((np.zeros(slack + 1, np.int32), seen, np.full(hi + slack + 1, seen[-1] if len(seen) else 0)))
+            begin = np.flatnonzero(seen[hi + 2 * slack :][:places] - seen[:places] >= pairs)
+            if len(begin):
+                seen = np.concatenate(([0], np.cumsum(known[ids])))
+                begin = begin[seen[np.minimum(begin + hi + slack, n)] - seen[np.maximum(begin - slack, 0)] >= words]
             if not len(begin):
                 continue
             symbols = self.symbols[ids] if symbols is None else symbols

@@ -135,8 +135,8 @@ def test_recall_of_edited_copies_by_length():
                     want.append(k)
         found = sum(any(f["item"] == k for f in got) for got, k in zip(index.search(texts), want))
         assert len(want) > 60 and found >= 0.95 * len(want), (lo, found, len(want))
-    starts = {t.start for _, _, _, tables in index.classes for t, _, _ in tables}
-    steps = [s / (2 * t.size) for _, _, _, tables in index.classes for t, _, _ in tables for s in t.steps]
+    starts = {t.start for c in index.classes for t, _, _ in c[-1]}
+    steps = [s / (2 * t.size) for c in index.classes for t, _, _ in c[-1] for s in t.steps]
     assert len(starts) > 20 and min(steps) < 0.05 and max(steps) > 0.95  # own starts; samples over the whole walk
 
 
