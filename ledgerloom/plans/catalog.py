@@ -590,7 +590,7 @@ def co10_lead_score(spark, sf):
 @query
 def co11_evidence(spark, sf):
     e = event_scored(spark, sf)
-    return e.select("txid", F.array_join(F.transform("evidence", lambda x: F.substring(x, 1, 18)), " | ").alias("evidence"), F.size("evidence").alias("n"))
+    return e.select("txid", F.array_join("evidence", " | ").alias("evidence"), F.size("evidence").alias("n"))
 
 
 @query
@@ -907,14 +907,14 @@ def re6_top_reasons(spark, sf):
 def re7_reason_texts(spark, sf):
     s = scored_wallets(spark, sf)
     e = prioritize.explain(s, prioritize.population_baseline(s))
-    return e.select("address", F.size("reasons").alias("n"), F.substring(F.get("reasons", F.lit(0)), 1, 20).alias("first_reason"))
+    return e.select("address", F.size("reasons").alias("n"), F.array_join("reasons", " | ").alias("reasons"))
 
 
 @query
 def re8_plain_reasons(spark, sf):
     f = star_features(spark, sf).withColumn("tx_velocity_per_hour", F.col("tx_count_total") / 10.0)
     got = prioritize.simple_reasons()
-    return f.select("address", F.array_join(F.transform(got, lambda x: F.substring(x, 1, 12)), "|").alias("reasons"))
+    return f.select("address", F.array_join(got, "|").alias("reasons"))
 
 
 @query

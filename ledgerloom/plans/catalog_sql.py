@@ -625,12 +625,21 @@ ask(
     MATCHED,
 )
 ask("co10_lead_score", "SELECT txid, risk_score FROM scored", SCORED)
-_EV = """list_filter([CASE WHEN p1 > 0 THEN '+15 High fan-in: Ag' END, CASE WHEN p2 > 0 THEN '+15 High fan-out: P' END,
-  CASE p3 WHEN 20 THEN '+20 Very large tra' WHEN 15 THEN '+15 Large transact' END, CASE p4 WHEN 25 THEN '+25 Strong network' WHEN 10 THEN '+10 Moderate tempo' END,
-  CASE WHEN p5 > 0 THEN '+10 Highly connect' END, CASE p6 WHEN 20 THEN '+20 Known illicit ' WHEN 10 THEN '+10 Anomalous high' END], lambda x: x IS NOT NULL)"""
+def _fixed(x: str, digits: int) -> str:
+    return f"printf('%.{digits}f', CAST(RND({x}, {digits}) AS DOUBLE))"
+
+
+# Evidence wording.
+_EV = f"""list_filter([CASE WHEN p1 > 0 THEN '+15 High fan-in: Aggregated from ' || fan_in || ' input sources (threshold >= 4)' END,
+  CASE WHEN p2 > 0 THEN '+15 High fan-out: Peeling/splitting across ' || fan_out || ' output addresses (threshold >= 4)' END,
+  CASE p3 WHEN 20 THEN '+20 Very large transaction: ' || {_fixed("RND(amount, 6)", 2)} || ' BTC moved (exceeds 50.0 BTC)' WHEN 15 THEN '+15 Large transaction: ' || {_fixed("RND(amount, 6)", 2)} || ' BTC moved (threshold >= 10.0 BTC)' END,
+  CASE p4 WHEN 25 THEN '+25 Strong network correlation: Confidence ' || {_fixed("network_confidence", 2)} || ' via ' || correlation_method || ' (time difference: ' || coalesce({_fixed("time_difference_seconds", 1)} || 's', 'exact') || ')'
+    WHEN 10 THEN '+10 Moderate temporal network correlation: Confidence ' || {_fixed("network_confidence", 2)} END,
+  CASE WHEN p5 > 0 THEN '+10 Highly connected entity: ' || wallet_count || ' associated counterparties' END,
+  CASE p6 WHEN 20 THEN '+20 Known illicit category label in benchmark forensic dataset' WHEN 10 THEN '+10 Anomalous high transaction fee: ' || {_fixed("fee", 6)} || ' BTC' END], lambda x: x IS NOT NULL)"""
 ask(
     "co11_evidence",
-    f"""SELECT txid, CASE WHEN len(e) = 0 THEN 'Standard transacti' ELSE array_to_string(list_transform(e, lambda x: left(x, 18)), ' | ') END AS evidence, greatest(1, len(e)) AS n
+    f"""SELECT txid, CASE WHEN len(e) = 0 THEN 'Standard transaction profile within normal baseline operating bounds' ELSE array_to_string(e, ' | ') END AS evidence, greatest(1, len(e)) AS n
     FROM (SELECT txid, {_EV} AS e FROM scored)""",
     SCORED,
 )
@@ -793,19 +802,29 @@ ask(
     "SELECT address, r AS rank, feature, RND(z, 2) AS z_score FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY round(z, 9) DESC, pos) AS r FROM dev WHERE z > 1.2) WHERE r <= 4",
     FEATURES, POP,
 )
-_OPEN = """CASE feature WHEN 'tx_velocity_per_hour' THEN 'Transaction velocity' WHEN 'unique_counterparties' THEN left('Connected to ' || CAST(CAST(value AS BIGINT) AS VARCHAR) || ' counterparties,', 20)
-  WHEN 'unique_observed_ips' THEN 'Observed broadcastin' WHEN 'unique_asns' THEN 'Associated with tran' WHEN 'unique_countries' THEN 'Transaction broadcas' WHEN 'graph_degree' THEN 'Unusually high topol'
-  WHEN 'foreign_geo_entropy' THEN 'High jurisdictional ' ELSE left('Elevated ' || replace(feature, '_', ' '), 20) END"""
+# Reason wording.
+_REASON = f"""CASE WHEN feature = 'tx_velocity_per_hour' THEN 'Transaction velocity (' || {_fixed("value", 1)} || ' tx/hr) is ' || {_fixed("ratio", 1)} || 'x higher than population median (' || {_fixed("median", 1)} || ' tx/hr).'
+  WHEN feature = 'unique_counterparties' THEN 'Connected to ' || trunc(value)::BIGINT || ' counterparties, significantly exceeding typical baseline (' || trunc(median)::BIGINT || ' peers).'
+  WHEN feature = 'unique_observed_ips' THEN 'Observed broadcasting across ' || trunc(value)::BIGINT || ' distinct IP addresses (population normal: ' || trunc(median)::BIGINT || ').'
+  WHEN feature = 'unique_asns' THEN 'Associated with transactions routed through ' || trunc(value)::BIGINT || ' autonomous systems (ASNs).'
+  WHEN feature = 'unique_countries' THEN 'Transaction broadcast observed in ' || trunc(value)::BIGINT || ' geographic jurisdictions.'
+  WHEN feature = 'avg_time_between_txs_sec' AND value < median * 0.2 THEN 'Extremely rapid inter-transaction intervals (' || {_fixed("value", 0)} || 's vs ' || {_fixed("median", 0)} || 's baseline), characteristic of automated peeling chains.'
+  WHEN feature = 'graph_degree' THEN 'Unusually high topological graph connectivity (Degree: ' || trunc(value)::BIGINT || ' vs ' || {_fixed("median", 1)} || ' average).'
+  WHEN feature = 'foreign_geo_entropy' THEN 'High jurisdictional entropy (' || {_fixed("value", 2)} || ') indicating intentional multi-country network dispersal.'
+  ELSE 'Elevated ' || replace(feature, '_', ' ') || ': ' || {_fixed("value", 2)} || ' (z-score: +' || {_fixed("z", 1)} || ').' END"""
 ask(
     "re7_reason_texts",
-    f"""SELECT f.address, greatest(1, coalesce(n, 0)) AS n, coalesce(t, 'Multivariate Isolati') AS first_reason FROM feats f LEFT JOIN (
-      SELECT address, least(4, count(*)) AS n, arg_min({_OPEN}, r) AS t FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY round(z, 9) DESC, pos) AS r FROM dev WHERE z > 1.2) GROUP BY address) x ON x.address = f.address""",
-    FEATURES, POP,
+    f"""SELECT f.address, greatest(1, coalesce(n, 0)) AS n, coalesce(t, 'Multivariate Isolation Forest anomaly score: ' || {_fixed("anomaly_score", 2)} || ' (investigation priority: ' || priority_score || '/100).') AS reasons
+    FROM risk f LEFT JOIN (SELECT address, count(*) AS n, string_agg({_REASON}, ' | ' ORDER BY r) AS t
+      FROM (SELECT dev.*, median, row_number() OVER (PARTITION BY address ORDER BY round(z, 9) DESC, pos) AS r FROM dev JOIN pop USING (feature) WHERE z > 1.2) WHERE r <= 4 GROUP BY address) x ON x.address = f.address""",
+    RISK, POP,
 )
 ask(
     "re8_plain_reasons",
-    """SELECT address, CASE WHEN len(l) = 0 THEN 'Elevated mul' ELSE array_to_string(l, '|') END AS reasons FROM (SELECT address, list_filter([CASE WHEN tx_count_total / 10.0 > 4 THEN 'High transac' END,
-    CASE WHEN unique_counterparties > 10 THEN 'Large counte' END, CASE WHEN unique_observed_ips > 3 THEN 'Dispersed ne' END], lambda x: x IS NOT NULL) AS l FROM feats)""",
+    f"""SELECT address, CASE WHEN len(l) = 0 THEN 'Elevated multivariate statistical anomaly score.' ELSE array_to_string(l, '|') END AS reasons FROM (SELECT address, list_filter([
+    CASE WHEN tx_count_total / 10.0 > 4 THEN 'High transaction frequency (' || {_fixed("tx_count_total / 10.0", 1)} || ' tx/hr)' END,
+    CASE WHEN unique_counterparties > 10 THEN 'Large counterparty network (' || trunc(unique_counterparties)::BIGINT || ' distinct peers)' END,
+    CASE WHEN unique_observed_ips > 3 THEN 'Dispersed network relay observations (' || trunc(unique_observed_ips)::BIGINT || ' unique IPs)' END], lambda x: x IS NOT NULL) AS l FROM feats)""",
     FEATURES,
 )
 ask("re9_alert_candidates", "SELECT address, priority_score, anomaly_score FROM cands", RISK)
