@@ -1051,12 +1051,12 @@ def bp12_deviations(spark, sf):
 
 @query
 def bp13_supporting_evidence(spark, sf):
-    return _verdicts(spark, sf).select("address", F.array_join(F.transform("supporting_evidence", lambda e: e["kind"]), ",").alias("kinds"))
+    return _verdicts(spark, sf).select("address", F.array_join(F.transform("supporting_evidence", lambda e: F.concat_ws(": ", e["kind"], e["reason"])), " | ").alias("evidence"))
 
 
 @query
 def bp14_counter_evidence(spark, sf):
-    return _verdicts(spark, sf).select("address", F.array_join(F.transform("counter_evidence", lambda e: e["kind"]), ",").alias("kinds"))
+    return _verdicts(spark, sf).select("address", F.array_join(F.transform("counter_evidence", lambda e: F.concat_ws(": ", e["kind"], e["reason"])), " | ").alias("evidence"))
 
 
 @query
@@ -1071,7 +1071,7 @@ def bp16_confidence(spark, sf):
 
 @query
 def bp17_explanation(spark, sf):
-    return _verdicts(spark, sf).select("address", F.regexp_extract("validation_explanation", "^(Insufficient|Although|Contextual validation|.)", 1).alias("opening"), F.contains("validation_explanation", F.lit("However,")).alias("conflicting"))
+    return _verdicts(spark, sf).select("address", "validation_explanation")
 
 
 @query
