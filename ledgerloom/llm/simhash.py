@@ -222,7 +222,7 @@ def _compared(rows: DataFrame, radius: int, tile: int, full: int = 64) -> DataFr
 
 
 def _tiled(rows: DataFrame, tile: int, *more: str) -> DataFrame:
-    """Rows (band, key, n, node, words, more columns) dealt to pairs of tiles of their band's key, sorted."""
+    """Rows (band, key, n, node, words, more columns) dealt to pairs of tiles of their band's key, sorted; n is the weight of the group, tile that of a tile."""
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pair = F.least("own", "other") * F.lit(1 << 15) + F.greatest("own", "other")
     return (
@@ -255,8 +255,8 @@ WORDS, MINIMA, ROWS = 8, 14, 5
 _SALTS = np.random.default_rng(64).integers(0, 1 << 63, WORDS + MINIMA * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
 
 
-#: Band groups up to FULL rows give all their candidates; larger ones a spanning forest first. Rows in a tile of the exact search.
-FULL, EXACT_TILE = 8, 1 << 11
+#: Band groups up to FULL rows give all their candidates; larger ones a spanning forest first. Rows and bytes of sets in a tile of the exact search.
+FULL, EXACT_TILE, EXACT_BYTES = 8, 1 << 11, 16 << 20
 
 
 def wide_radius(similarity: float) -> int:
@@ -353,7 +353,12 @@ def _verified(banded: DataFrame, sets_of, similarity: float, tile: int) -> DataF
     if rows.isEmpty():
         return links
     sets = sets_of(rows.select("node").distinct())
-    more = _tiled(rows.join(sets, "node"), EXACT_TILE, "component", "set").mapInArrow(_exact_links(radius, similarity), "u long, v long")
+    # tiles by rows and by bytes, so that a task holds two tiles of bounded size whatever the length of the texts
+    weight = F.greatest(F.lit(EXACT_BYTES // EXACT_TILE), 8 * F.size("set"))
+    held = sets.select("node", weight.cast("long").alias("weight"))
+    groups = rows.select("band", "key", "node").join(held, "node").groupBy("band", "key").agg(F.sum("weight").alias("n"))
+    dealt = rows.drop("n").join(cut(groups), ["band", "key"]).join(sets, "node")
+    more = _tiled(dealt, EXACT_BYTES, "component", "set").mapInArrow(_exact_links(radius, similarity), "u long, v long")
     return links.union(more)
 
 
