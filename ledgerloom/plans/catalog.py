@@ -1311,16 +1311,20 @@ def _landed(df: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(folder)
 
 
+#: Files of each landed part, and so of each micro-batch.
+PART_FILES = 4
+
+
 def _landed_in_parts(df: DataFrame, name: str, part, parts: int = 3, closing: DataFrame | None = None) -> DataFrame:
-    """Land a table as `parts` files one after the other, by the column `part` (0 to parts - 1), and stream one file for each micro-batch."""
+    """Land a table in `parts` turns one after the other, by the column `part` (0 to parts - 1), PART_FILES files each, and stream one turn for each micro-batch."""
     spark = df.sparkSession
     folder = scratch(spark, f"land-{name}")
     rows = cut(df.withColumn("_part", part))
     for p in range(parts):
-        rows.filter(F.col("_part") == p).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+        rows.filter(F.col("_part") == p).drop("_part").repartition(PART_FILES).write.mode("append").parquet(folder)
     if closing is not None:
-        closing.select(*df.columns).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        closing.select(*df.columns).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", PART_FILES).parquet(folder)
 
 
 def _thirds(df: DataFrame, c: str):

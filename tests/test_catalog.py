@@ -11,6 +11,7 @@ LIGHT = [
     "in15_epochs", "dq1_reject_reasons", "dq4_amount_alignment", "dq7_geo_enrichment", "dq9_dedupe", "dq14_top_legs", "co2_wallet_union", "co4_exact_match",
     "co5_nearest_window", "co7_tiered_match", "co10_lead_score", "fe7_counterparties", "fe11_geo_entropy", "ml7_contamination_cut", "ml13_evaluation",
     "bp2_leak_free_split", "bp6_tempo_profile", "qs6_triage_fold", "qs10_hourly_volume", "st2_stream_dedupe",
+    "co11_evidence", "re7_reason_texts", "re8_plain_reasons", "bp13_supporting_evidence", "bp17_explanation", "ml9_comparison_guard",
 ]
 
 
