@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,16 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) ->
             spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """At the end of a partition: a Python worker that waits for its next task gives back what it no longer uses."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared scratch folder and go on from the files: later readers don't repeat the work, and lost executors lose nothing."""
     spark = df.sparkSession

@@ -15,7 +15,7 @@ that filter is exact. Candidates of a key are taken in blocks of AT_ONCE pairs,
 hold enough words of the item's own, so a key that many items and places share costs time, never memory.
 
 Recall: an unedited item shares all of its keys. For items with a fifth of their words edited the test measures it by length
-(target 0.95, found 1.0 over 2,000 copies of items of 1 to 60 words); TABLES and SAMPLES are set for that.
+(target 0.95, found 1.0 over 1,200 copies of items of 1 to 60 words); TABLES and SAMPLES are set for that.
 
 The benchmark is a query set: its items go to the tasks in blocks of at most BLOCK_CHARS characters, one pass over the
 documents for each block. Documents are never shuffled.

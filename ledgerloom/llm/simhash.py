@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ledgerloom.llm.common import read, shared_if_small, small_batches, stored
+from ledgerloom.llm.common import read, release, shared_if_small, small_batches, stored
 from ledgerloom.llm.components import connected_components
 from ledgerloom.session import cut
 
@@ -211,6 +211,8 @@ def _links_of_partition(radius: int, full: int = 64):
             held, rows = [(g[end:], nodes[end:], fps[end:])], len(g) - end
         if rows:
             yield from out(compare(*joined()))
+        held.clear()
+        release()
 
     return links
 
@@ -324,6 +326,8 @@ def _exact_links(radius: int, similarity: float):
                 fp, members = (np.array(batch.column(c)[i].values.to_numpy()) for c in (4, 6))
                 held.append((nodes[i], fp, components[i], members))
         yield from out(held)
+        held = []
+        release()
 
     return links
 
@@ -399,8 +403,10 @@ def similar_groups(rows: DataFrame, place: str, text: str, words: int = 5, simil
     small_batches(rows.sparkSession)
 
     @pandas_udf("struct<words:array<long>,keys:array<long>,same:binary>")
-    def of(texts):
-        return pd.DataFrame([{"words": w, "keys": k, "same": d} for w, k, d in (signature(t, words) for t in texts)], columns=["words", "keys", "same"])
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([{"words": w, "keys": k, "same": d} for w, k, d in (signature(t, words) for t in texts)], columns=["words", "keys", "same"])
+        release()
 
     marked = rows.select(F.col(place).alias("place"), of(F.col(text)).alias("s")).select("place", "s.*")
     marked = stored(marked, "wide-simhash")
@@ -409,8 +415,10 @@ def similar_groups(rows: DataFrame, place: str, text: str, words: int = 5, simil
     banded = nodes.select("node", "words", F.posexplode("keys").alias("band", "key"))
 
     @pandas_udf("array<long>")
-    def set_of(texts):
-        return texts.map(lambda t: shingles(t, words).view(np.int64))
+    def set_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: shingles(t, words).view(np.int64))
+        release()
 
     def sets_of(wanted):
         held = rows.select(F.col(f"{place}.row").alias("node"), F.col(text).alias("text")).join(wanted, "node", "left_semi")

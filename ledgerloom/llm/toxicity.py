@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ledgerloom.llm.common import held_out, read, small_batches, stored
+from ledgerloom.llm.common import held_out, read, release, small_batches, stored
 
 FIT_ROWS = 20_000
 #: Entries that lean to toxic and to clean, and the labelled rows that an entry must occur in.
@@ -188,6 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             both[0][""], both[1][""] = int((pdf["y"] == 0).sum()), int((pdf["y"] == 1).sum())
             keys = list(both[0].keys() | both[1].keys())
             yield pd.DataFrame({"entry": keys, "clean": [both[0][k] for k in keys], "toxic": [both[1][k] for k in keys]})
+        both = keys = None
+        release()
 
     sums = rows.mapInPandas(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sums = sums.filter(F.expr(f"clean + toxic >= {SUPPORT} OR entry = ''")).persist()
@@ -206,9 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     given = {"vocabulary": model.vocabulary, "toxic": model.toxic}
 
     @pandas_udf("array<int>")
-    def features(texts: pd.Series) -> pd.Series:
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = Model(given["vocabulary"], given["toxic"], np.zeros(0), 0.0)
-        return texts.map(m.features)
+        for texts in batches:
+            yield texts.map(m.features)
+        release()
 
     got = rows.select(features("text").alias("f"), "y").toPandas()  # at most fit_rows rows
     feats, y = [list(map(int, f)) for f in got["f"]], got["y"].to_numpy()
@@ -231,13 +236,13 @@ def seeded() -> Model:
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.toxic, model.weights, model.bias))
-    made = {}
 
     @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if not made:
-            made["model"] = Model(*held.value)
-        return texts.map(made["model"].score).astype("float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        made = Model(*held.value)
+        for texts in batches:
+            yield texts.map(made.score).astype("float64")
+        release()
 
     return docs.withColumn(name, score(F.col(text)))
 
