@@ -9,6 +9,7 @@
    the radius. A row that is already linked into a component of its band is not searched for again, so a dense band
    costs about its size, and at most size - 1 links leave it.
    Bands of at most 64 emit all of their links.
+   Wide fingerprints (512 bits) ask many queries in one call, and a tree of carry-save adders takes 16 planes at once.
 5. Bands above TILE rows are dealt to pairs of tiles, so that no task holds a whole hot band; all pairs are still compared.
 6. Connected components over the links.
 
@@ -38,6 +39,8 @@ BLOCKS, RADIUS, TILE = 6, 4, 1 << 15
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PIECE = 1 << 15  # shingles whose bits are unpacked at once
 _ALL = ~np.uint64(0)
+_STEP = 16  # planes that the wide comparison adds at once
+_AT_ONCE = 1 << 14  # pairs of a query and a block that one call compares
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -96,10 +99,11 @@ def near_lanes(queries: np.ndarray, block: np.ndarray, planes: np.ndarray, used:
     The counters hold one bit of each lane's distance so far, in carry-save form; a lane whose distance passes the
     radius leaves `alive`, and queries without a lane alive leave the work.
     """
+    if radius >= _STEP:
+        return _near_wide(queries, block, planes, used, radius)
     at = np.arange(len(queries))
     alive = used[block].copy()
     counters = [np.zeros(len(queries), np.uint64) for _ in range((radius + 1).bit_length())]
-    every = 4 if radius < 16 else 16
     for bit in range(len(planes)):
         want = np.where((queries[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1) == 1, _ALL, np.uint64(0))
         carry = planes[bit][block] ^ want
@@ -112,7 +116,7 @@ def near_lanes(queries: np.ndarray, block: np.ndarray, planes: np.ndarray, used:
         for i, count in enumerate(counters):
             dead = dead & (count if (radius + 1) >> i & 1 else ~count)
         alive &= ~dead
-        if bit % every == every - 1:
+        if bit % 4 == 3:
             stay = alive != 0
             if not stay.all():
                 at, alive, queries, block = (x[stay] for x in (at, alive, queries, block))
@@ -122,6 +126,44 @@ def near_lanes(queries: np.ndarray, block: np.ndarray, planes: np.ndarray, used:
     return at, alive
 
 
+def _near_wide(queries: np.ndarray, block: np.ndarray, planes: np.ndarray, used: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """near_lanes for a large radius: a tree of carry-save adders takes _STEP planes at once, then distances are compared with the radius."""
+    at = np.arange(len(queries))
+    alive = used[block].copy()
+    # bits of the distance from low to high; the first four belong to the tree
+    count = [np.zeros(len(queries), np.uint64) for _ in range(len(planes).bit_length())]
+    for bit in range(0, len(planes), _STEP):
+        column = queries[:, bit // 64] >> np.uint64(bit % 64)
+        words = [planes[bit + i][block] ^ np.negative((column >> np.uint64(i)) & np.uint64(1)) for i in range(_STEP)]
+        for i in range(4):
+            carries = []
+            for a, b in zip(words[::2], words[1::2]):
+                odd = a ^ b
+                carries.append((a & b) | (odd & count[i]))
+                count[i] = odd ^ count[i]
+            words = carries
+        carry = words[0]
+        for i in range(4, len(count)):
+            count[i], carry = count[i] ^ carry, count[i] & carry
+        if bit + _STEP <= radius:
+            continue
+        over, same = np.zeros(len(at), np.uint64), np.full(len(at), _ALL)
+        for i in reversed(range(len(count))):
+            if radius >> i & 1:
+                same &= count[i]
+            else:
+                over |= same & count[i]
+                same &= ~count[i]
+        alive &= ~over
+        stay = alive != 0
+        if not stay.all():
+            at, alive, queries, block = (x[stay] for x in (at, alive, queries, block))
+            count = [c[stay] for c in count]
+        if not len(at):
+            break
+    return at, alive
+
+
 def _lanes_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, lane) of every set bit."""
     bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -165,6 +207,66 @@ def _large_group(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.
             yield np.full(len(hit), q), hit
 
 
+def _against(rows: np.ndarray, fps: np.ndarray, blocks: np.ndarray, planes: np.ndarray, used: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, hit): the rows as queries against the used lanes of the blocks."""
+    queries, block = np.repeat(rows, len(blocks)), np.tile(blocks, len(rows))
+    at, words = near_lanes(fps[queries], block, planes, used, radius)
+    row, lane = _lanes_of(words)
+    return queries[at[row]], block[at[row]] * 64 + lane
+
+
+def _wide_group(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As _large_group, with many queries in a call, for fingerprints whose single query is many steps.
+
+    Seeds are asked together, more of them as long as they find nothing. What they hit is then followed seed by seed, so rows
+    closed in one turn are joined already; a row still open is compared when its turn comes. At most about two links a row leave.
+    """
+    index = np.arange(len(fps))
+    planes, used = bit_planes(fps, index // 64, index % 64, (len(fps) + 63) // 64)
+    is_open = np.ones(len(fps), bool)
+
+    def close(rows):
+        is_open[rows] = False
+        np.bitwise_and.at(used, rows // 64, ~(np.uint64(1) << (rows % 64).astype(np.uint64)))
+
+    first, together = 0, 1
+    while True:
+        left = np.flatnonzero(is_open[first:]) + first
+        if not len(left):
+            return
+        first = int(left[0])
+        blocks = np.flatnonzero(used)
+        seeds = left[: max(1, min(together, _AT_ONCE // len(blocks)))]
+        a, b = _against(seeds, fps, blocks, planes, used, radius)
+        a, b = a[a != b], b[a != b]
+        close(seeds)
+        together = 1 if len(a) > len(fps) else min(64, 2 * together)
+        if not len(a):
+            continue
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        new = np.concatenate(([True], b[1:] != b[:-1]))
+        owner = a[np.flatnonzero(new)][np.cumsum(new) - 1]
+        once = np.unique(a * len(fps) + owner, return_index=True)[1]
+        kept = np.union1d(np.flatnonzero(new), once)
+        yield a[kept], b[kept]
+        for seed in seeds:
+            waiting = b[a == seed]
+            waiting = waiting[is_open[waiting]]
+            close(waiting)
+            while len(waiting):
+                blocks = np.flatnonzero(used)
+                if not len(blocks):
+                    break
+                some = max(1, _AT_ONCE // len(blocks))
+                u, v = _against(waiting[:some], fps, blocks, planes, used, radius)
+                v, at = np.unique(v, return_index=True)
+                close(v)
+                waiting = np.concatenate((waiting[some:], v))
+                if len(v):
+                    yield u[at], v
+
+
 def _links_of_partition(radius: int, full: int = 64):
     """Groups of at most `full` rows give all of their links, larger ones a spanning forest. Rows (band, key, pair, node, words) come sorted by band, key and tile pair. Whole groups are compared as soon as the next group begins."""
 
@@ -179,7 +281,7 @@ def _links_of_partition(radius: int, full: int = 64):
             for a, b in _small_groups(fps[part], dense, rank[part], radius):
                 yield nodes[part[a]], nodes[part[b]]
         for s, m in zip(starts[sizes > full].tolist(), sizes[sizes > full].tolist()):
-            for a, b in _large_group(fps[s : s + m], radius):
+            for a, b in (_large_group if radius < _STEP else _wide_group)(fps[s : s + m], radius):
                 yield nodes[a + s], nodes[b + s]
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,31 +381,40 @@ def _exact_links(radius: int, similarity: float):
     """Rows (band, key, pair, node, words, component, set) come sorted by group: links of each group that join its components further, all verified."""
 
     def joined(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        parent: dict[int, int] = {r[2]: r[2] for r in rows}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        if len(parent) < 2:
+        label = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        left = int(label.max()) + 1 if len(rows) else 0
+        if left < 2:
             return
-        left = len(parent)
         fps = np.stack([r[1] for r in rows]).view(np.uint64)
         index = np.arange(len(rows))
         planes, used = bit_planes(fps, index // 64, index % 64, (len(rows) + 63) // 64)
+        sizes = np.array([len(r[3]) for r in rows])
+        ends = np.cumsum(sizes)
+        # postings: for each shingle the rows that hold it, so one count gives a row's share with all others
+        shingle = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)[1]
+        holders = np.repeat(index, sizes)[np.argsort(shingle, kind="stable")]
+        held_by = np.bincount(shingle)
+        begin = np.cumsum(held_by) - held_by
         blocks = np.arange(len(used))
-        for q in range(len(rows)):
-            at, words = near_lanes(np.repeat(fps[q : q + 1], len(blocks), axis=0), blocks, planes, used, radius)
-            row, lane = _lanes_of(words)
-            for h in (at[row] * 64 + lane).tolist():
-                if h <= q or (a := root(rows[q][2])) == (b := root(rows[h][2])):
+        some = max(1, _AT_ONCE // len(blocks))
+        for q0 in range(0, len(rows), some):
+            asked, hits = _against(index[q0 : q0 + some], fps, blocks, planes, used, radius)
+            asked, hits = (x[(hits > asked) & (label[asked] != label[hits])] for x in (asked, hits))
+            for q in np.unique(asked).tolist():
+                near = hits[asked == q]
+                near = near[label[near] != label[q]]
+                if not len(near):
                     continue
-                one, other = rows[q][3], rows[h][3]
-                if _same_share(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other), similarity):
-                    parent[a] = b
-                    left -= 1
+                mine = shingle[ends[q] - sizes[q] : ends[q]]
+                n = held_by[mine]
+                both = np.bincount(holders[np.repeat(begin[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))[near]
+                near = near[_same_share(both, sizes[q], sizes[near], similarity)]
+                while len(near):
+                    h = int(near[0])
                     yield rows[q][0], rows[h][0]
+                    label[label == label[h]] = label[q]
+                    left -= 1
+                    near = near[label[near] != label[q]]
             if left == 1:
                 return
 

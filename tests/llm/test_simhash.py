@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -206,3 +207,46 @@ def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000, 2000), (None, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(300)}}
+
+
+def _joined(n, pairs):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return [root(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("n,centers,flip", [(300, 1, 0.15), (300, 300, 0.2), (200, 5, 0.14), (130, 40, 0.13), (65, 1, 0.0), (1, 1, 0.0)])
+def test_wide_groups_join_what_all_pairs_join(n, centers, flip):
+    rng = np.random.default_rng(n + centers)
+    bits = rng.integers(0, 2, (centers, 512))[rng.integers(0, centers, n)] ^ (rng.random((n, 512)) < flip)
+    fps = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    apart = (bits[:, None, :] != bits[None]).sum(2)
+    for radius in (131, 100, 16):
+        got = [(int(a), int(b)) for u, v in simhash._wide_group(fps, radius) for a, b in zip(u, v)]
+        assert all(a != b and apart[a, b] <= radius for a, b in got)
+        assert _joined(n, got) == _joined(n, zip(*(x.tolist() for x in np.nonzero(apart <= radius))))
+        assert len(got) <= 2 * n + 64 * 64
+
+
+def test_exact_search_joins_what_exact_pairs_join():
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 40, (4, 60))
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.06, 0.2]), rng.integers(1, 1 << 40, 60), base[i % 4])) for i in range(150)]
+    same = [[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8 for b in sets] for a in sets]
+    zero = [0] * simhash.WORDS  # the fingerprint proposes every pair, the sets decide
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 150), pa.array([7] * 150), pa.array([0] * 150), pa.array(range(150)), pa.array([zero] * 150), pa.array(range(150)), pa.array([s.tolist() for s in sets])],
+        names=["band", "key", "pair", "node", "words", "component", "set"],
+    )
+    got = [(u, v) for out in simhash._exact_links(131, 0.8)(iter([batch])) for u, v in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert all(same[u][v] for u, v in got)
+    want = _joined(150, [(i, j) for i in range(150) for j in range(i) if same[i][j]])
+    assert _joined(150, got) == want and len(got) == 150 - len(set(want)) and 1 < len(set(want)) < 150
