@@ -15,7 +15,7 @@ def col(c: Column | str) -> Column:
 
 def blank_to_null(c: Column | str) -> Column:
     c = col(c)
-    return F.when(F.lower(F.trim(c)).isin(*BLANK_WORDS), F.lit(None)).otherwise(c)
+    return F.when(F.lower(F.trim(c, F.lit(" \t\n\x0b\f\r"))).isin(*BLANK_WORDS), F.lit(None)).otherwise(c)
 
 
 def first_filled(*cols: Column | str) -> Column:

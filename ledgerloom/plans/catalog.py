@@ -139,7 +139,9 @@ def _file_view(raw: DataFrame) -> DataFrame:
 def in1_csv_ledger(spark, sf):
     folder = scratch(spark, "csv")
     joined = {c: F.concat_ws(";", c).alias(c) for c in ledger_files.LIST_FIELDS}
-    flat = _flat_raw(spark, sf)
+    # some cells hold a line break
+    note = F.when(F.col("txid").endswith("7"), F.concat("script_type", F.lit("\nsecond line"))).otherwise(F.col("script_type"))
+    flat = _flat_raw(spark, sf).withColumn("script_type", note)
     flat.select(*[joined.get(c, F.col(c)) for c in flat.columns]).withColumnRenamed("txid", "Tx-Hash").withColumnRenamed(
         "geo_country", "Country"
     ).write.option("header", True).csv(folder)

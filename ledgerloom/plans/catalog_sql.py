@@ -410,8 +410,9 @@ def rounded(cols: list[str], digits: int) -> str:
 
 _FILE = """SELECT record_type, coalesce(nullif(txid, ''), '') AS txid, ts_text AS timestamp, fee, script_type, array_to_string(ins, '~') AS ins, array_to_string(outs, '~') AS outs,
   array_to_string(in_amts, '~') AS in_amts, array_to_string(out_amts, '~') AS out_amts, src_ip, src_port, geo_country, asn0 AS asn FROM raw"""
-for _name in ("in1_csv_ledger", "in3_json_ledger", "in4_xml_ledger"):
+for _name in ("in3_json_ledger", "in4_xml_ledger"):
     ask(_name, _FILE, RAW)
+ask("in1_csv_ledger", _FILE.replace("fee, script_type,", "fee, CASE WHEN txid LIKE '%7' THEN script_type || chr(10) || 'second line' ELSE script_type END AS script_type,"), RAW)
 ask(
     "in2_record_kinds",
     """SELECT 'TRANSACTION' AS record_type, count(*) AS n, 0 AS classes FROM raw

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tables import JSON_WRAPPERS, LEDGER_ALIASES, RECORD_KEYS, XML_ROW_TAGS
 from ..functions.text import blank_to_null, first_filled, split_list
+from ..session import cut
 
 LIST_FIELDS = ("input_addresses", "output_addresses", "input_amounts", "output_amounts")
 TEXT_FIELDS = [f for f in LEDGER_ALIASES if f not in LIST_FIELDS]
@@ -68,8 +69,104 @@ def map_ledger_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def read_ledger_csv(spark: SparkSession, path) -> DataFrame:
-    raw = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+#: How cells are quoted, for whole files and for single records.
+_CSV = {"escape": '"', "mode": "PERMISSIVE"}
+
+
+def _quotes(value: str) -> Column:
+    return F.length(value) - F.length(F.replace(F.col(value), F.lit('"')))
+
+
+def csv_records(spark: SparkSession, path) -> DataFrame:
+    """(src_file, src_pos, value): the records of CSV files whose quoted cells may hold line breaks.
+
+    A break ends a record only after an even number of quotes. That number is a prefix sum over the lines of a file: running
+    sums inside each block of the file, and the sums of whole blocks before it. So files stay split over tasks; a record that
+    goes on is gathered by the place of its first line, also across blocks. src_pos rises with the order in the file.
+    A file with an odd number of quotes has one that opens no cell: its lines are records as they are. Blank records are left out.
+    """
+    # positions are kept, as they depend on how a read is split
+    lines = cut(
+        spark.read.text(path, lineSep="\n").select(
+            F.col("_metadata.file_path").alias("src_file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+            "value",
+            _quotes("value").alias("quotes"),
+        )
+    )
+    blocks = lines.groupBy("src_file", "block").agg(F.sum("quotes").alias("held"), F.min("line").alias("first_line"))
+    before = Window.partitionBy("src_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "src_file",
+        "block",
+        "first_line",
+        F.coalesce(F.sum("held").over(before), F.lit(0)).alias("so_far"),
+        (F.sum("held").over(Window.partitionBy("src_file")) % 2 == 1).alias("unpaired"),
+    )
+    # a block holds fewer lines than bytes, so its first byte and the number of the line make one rising position
+    up_to = Window.partitionBy("src_file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    counted = lines.join(blocks, ["src_file", "block"]).select(
+        "src_file",
+        "block",
+        "line",
+        (F.col("block") + F.col("line") - F.col("first_line")).alias("src_pos"),
+        "value",
+        "quotes",
+        (F.col("unpaired") | ((F.col("so_far") + F.sum("quotes").over(up_to) - F.col("quotes")) % 2 == 0)).alias("is_start"),
+        "unpaired",
+    )
+    started = cut(counted.withColumn("start", F.max(F.when(F.col("is_start"), F.col("src_pos"))).over(up_to)))
+    # a line before the first start of its block belongs to the last start of an earlier block
+    last = started.groupBy("src_file", "block").agg(F.max("start").alias("last"))
+    carried = last.select("src_file", "block", F.max("last").over(before).alias("carried"))
+    alone = F.col("unpaired") | (F.col("is_start") & (F.col("quotes") % 2 == 0))
+    whole = started.filter(alone).select("src_file", "src_pos", "value")
+    parts = (
+        started.filter(~alone)
+        .join(carried, ["src_file", "block"])
+        .groupBy("src_file", F.coalesce("start", "carried").alias("start"))
+        .agg(F.sort_array(F.collect_list(F.struct("src_pos", "value"))).alias("parts"))
+        .select("src_file", F.col("start").alias("src_pos"), F.array_join("parts.value", "\n").alias("value"))
+    )
+    return whole.union(parts).withColumn("value", F.rtrim("value", F.lit("\r"))).filter(F.trim("value") != "")
+
+
+def _has_quoted_breaks(spark: SparkSession, path) -> bool:
+    """Whether any line holds an odd number of quotes."""
+    return not spark.read.text(path, lineSep="\n").filter(_quotes("value") % 2 == 1).isEmpty()
+
+
+def _column_names(spark: SparkSession, head: str) -> list[str]:
+    """The cells of a header; empty and repeated names take their number, as in Spark's reader."""
+    one = spark.range(1)
+    width = len(T.DataType.fromDDL(one.select(F.schema_of_csv(F.lit(head), _CSV)).first()[0]))
+    cells = one.select(F.from_csv(F.lit(head), ", ".join(f"c{i} string" for i in range(width)), _CSV)).first()[0]
+    lower = [(c or "").lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if lower.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+
+
+def _read_broken_csv(spark: SparkSession, path) -> DataFrame:
+    records = cut(csv_records(spark, path))
+    heads = records.groupBy("src_file").agg(F.min_by("value", "src_pos").alias("head"), F.min("src_pos").alias("head_pos"))
+    first = heads.orderBy("src_file").first()
+    if first is None:
+        raise FileFormatError(f"no columns in {path}")
+    names = _column_names(spark, first.head)
+    cells = F.from_csv("value", ", ".join(f"`{n.replace('`', '``')}` string" for n in names), _CSV)
+    body = records.join(heads.select("src_file", "head_pos"), "src_file").filter("src_pos > head_pos")
+    return body.select(cells.alias("cells"), "src_file", "src_pos").select("cells.*", "src_file", "src_pos")
+
+
+def read_ledger_csv(spark: SparkSession, path, quoted_breaks: bool | None = None) -> DataFrame:
+    """Rows of CSV files; cells in quotes may hold line breaks (csv_records).
+
+    Files without such breaks take Spark's reader as it is. quoted_breaks says which they are; None looks for a line
+    with an odd number of quotes, one more pass over the text.
+    """
+    if _has_quoted_breaks(spark, path) if quoted_breaks is None else quoted_breaks:
+        return map_ledger_columns(_read_broken_csv(spark, path))
+    raw = spark.read.option("header", True).options(**_CSV).csv(path)
     if not raw.columns:
         raise FileFormatError(f"no columns in {path}")
     return map_ledger_columns(_with_position(raw))
