@@ -176,9 +176,11 @@ def in4_xml_ledger(spark, sf):
     folder = scratch(spark, "xml")
     flat = _flat_raw(spark, sf)
     nested = {c: F.struct(F.col(c).alias("item")).alias(c) for c in ledger_files.LIST_FIELDS}
-    flat.select(*[nested.get(c, F.col(c)) for c in flat.columns]).write.format("xml").option("rowTag", "transaction").option(
-        "rootTag", "transactions"
-    ).save(folder)
+    shown = flat.select(*[nested.get(c, F.col(c)) for c in flat.columns])
+    other = F.coalesce(F.col("txid").endswith("3"), F.lit(False))
+    # two record tags in one set of files
+    for tag, rows in (("transaction", shown.filter(~other)), ("tx", shown.filter(other))):
+        rows.write.format("xml").option("rowTag", tag).option("rootTag", "transactions").mode("append").save(folder)
     return _file_view(ledger_files.read_ledger_xml(spark, folder))
 
 

@@ -77,45 +77,65 @@ def _quotes(value: str) -> Column:
     return F.length(value) - F.length(F.replace(F.col(value), F.lit('"')))
 
 
-def csv_records(spark: SparkSession, path) -> DataFrame:
-    """(src_file, src_pos, value): the records of CSV files whose quoted cells may hold line breaks.
+def _placed(spark: SparkSession, path, end: str, weight: Column) -> DataFrame:
+    """(src_file, block, line, src_pos, value, weight, up_to, in_file): texts cut at `end`, in the order of the file by src_pos.
 
-    A break ends a record only after an even number of quotes. That number is a prefix sum over the lines of a file: running
-    sums inside each block of the file, and the sums of whole blocks before it. So files stay split over tasks; a record that
-    goes on is gathered by the place of its first line, also across blocks. src_pos rises with the order in the file.
-    A file with an odd number of quotes has one that opens no cell: its lines are records as they are. Blank records are left out.
+    up_to is the sum of weights up to and with this piece, in_file that of the file: running sums inside each block of the
+    file, and the sums of whole blocks before it. No window holds more than a block of a file.
     """
-    # positions are kept, as they depend on how a read is split
-    lines = cut(
-        spark.read.text(path, lineSep="\n").select(
+    # places are kept, as they depend on how a read is split
+    pieces = cut(
+        spark.read.text(path, lineSep=end).select(
             F.col("_metadata.file_path").alias("src_file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line"),
             "value",
-            _quotes("value").alias("quotes"),
+            weight.cast("long").alias("weight"),
         )
     )
-    blocks = lines.groupBy("src_file", "block").agg(F.sum("quotes").alias("held"), F.min("line").alias("first_line"))
+    blocks = pieces.groupBy("src_file", "block").agg(F.sum("weight").alias("held"), F.min("line").alias("first_line"))
     before = Window.partitionBy("src_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
         "src_file",
         "block",
         "first_line",
         F.coalesce(F.sum("held").over(before), F.lit(0)).alias("so_far"),
-        (F.sum("held").over(Window.partitionBy("src_file")) % 2 == 1).alias("unpaired"),
+        F.sum("held").over(Window.partitionBy("src_file")).alias("in_file"),
     )
-    # a block holds fewer lines than bytes, so its first byte and the number of the line make one rising position
-    up_to = Window.partitionBy("src_file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    counted = lines.join(blocks, ["src_file", "block"]).select(
+    # a block holds fewer pieces than bytes, so its first byte and the number of the piece make one rising place
+    in_block = Window.partitionBy("src_file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    return pieces.join(blocks, ["src_file", "block"]).select(
         "src_file",
         "block",
         "line",
         (F.col("block") + F.col("line") - F.col("first_line")).alias("src_pos"),
         "value",
-        "quotes",
-        (F.col("unpaired") | ((F.col("so_far") + F.sum("quotes").over(up_to) - F.col("quotes")) % 2 == 0)).alias("is_start"),
-        "unpaired",
+        "weight",
+        (F.col("so_far") + F.sum("weight").over(in_block)).alias("up_to"),
+        "in_file",
     )
+
+
+def csv_records(spark: SparkSession, path) -> DataFrame:
+    """(src_file, src_pos, value): the records of CSV files whose quoted cells may hold line breaks.
+
+    A break ends a record only after an even number of quotes. That number is a prefix sum over the lines of a file: running
+    sums inside each block of the file, and the sums of whole blocks before it. So files stay split over tasks; a record that
+    goes on is gathered by the place of its first line, also across blocks. src_pos rises with the order in the file.
+    A file with an odd number of quotes has one that opens no cell: its lines are records as they are. Blank records are left out.
+    """
+    counted = _placed(spark, path, "\n", _quotes("value")).select(
+        "src_file",
+        "block",
+        "line",
+        "src_pos",
+        "value",
+        F.col("weight").alias("quotes"),
+        ((F.col("in_file") % 2 == 1) | ((F.col("up_to") - F.col("weight")) % 2 == 0)).alias("is_start"),
+        (F.col("in_file") % 2 == 1).alias("unpaired"),
+    )
+    up_to = Window.partitionBy("src_file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("src_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     started = cut(counted.withColumn("start", F.max(F.when(F.col("is_start"), F.col("src_pos"))).over(up_to)))
     # a line before the first start of its block belongs to the last start of an earlier block
     last = started.groupBy("src_file", "block").agg(F.max("start").alias("last"))
@@ -237,18 +257,36 @@ def read_ledger_json(spark: SparkSession, path) -> DataFrame:
     return _map_records(_with_position(rows), split_list)
 
 
-def xml_row_tag(spark: SparkSession, path) -> str:
+def xml_row_tags(spark: SparkSession, path) -> list[str]:
+    """The record tags that files hold, each way they are written, from one pass over the text."""
+    found = F.regexp_extract_all("value", F.lit(rf"(?i)<({'|'.join(XML_ROW_TAGS)})(?=[\s>]|$)"), F.lit(1))
+    tags = spark.read.text(path).select(F.explode(F.array_distinct(found)).alias("tag")).distinct()
+    names = sorted(r.tag for r in tags.collect())  # the ways to write a few words
+    if not names:
+        raise FileFormatError(f"no transaction elements in {path}")
+    return names
+
+
+def xml_records(spark: SparkSession, path) -> DataFrame:
+    """(src_file, src_pos, value): each record element of any of the record tags, whole, in the order of the file.
+
+    Text is cut at each "</"; a piece that begins with a record tag ends a record. The number of ends before a piece is a
+    prefix sum over places in the file, and names the record that the piece belongs to, so files stay split over tasks.
+    Record tags aren't nested.
+    """
     tags = "|".join(XML_ROW_TAGS)
-    hit = (
-        spark.read.text(path)
-        .select(F.regexp_extract("value", rf"(?i)<({tags})[\s>]", 1).alias("tag"))
-        .filter("tag <> ''")
-        .limit(1)
-        .collect()
+    is_end = F.col("value").rlike(rf"(?i)^({tags})\s*>")
+    pieces = _placed(spark, path, "</", is_end.cast("int"))
+    # the end itself belongs to the record before; what follows begins the next
+    tail = F.when(F.col("weight") == 1, F.regexp_replace("value", r"^[^>]*>", "")).otherwise(F.col("value"))
+    texts = (
+        pieces.filter(F.col("up_to") < F.col("in_file"))
+        .groupBy("src_file", F.col("up_to").alias("number"))
+        .agg(F.min("src_pos").alias("src_pos"), F.sort_array(F.collect_list(F.struct("src_pos", tail.alias("text")))).alias("parts"))
+        .select("src_file", "src_pos", F.array_join("parts.text", "</").alias("text"))
     )
-    if not hit:
-        raise FileFormatError(f"no transaction elements in {path}")
-    return hit[0].tag
+    body = F.regexp_extract("text", rf"(?is)<({tags})((?:\s[^>]*)?>.*)$", 2)
+    return texts.select("src_file", "src_pos", F.concat(F.lit("<record"), body, F.lit("</record>")).alias("value")).filter(body != "")
 
 
 def _xml_list(text: Column) -> Column:
@@ -258,9 +296,14 @@ def _xml_list(text: Column) -> Column:
 
 
 def read_ledger_xml(spark: SparkSession, path, row_tag: str | None = None) -> DataFrame:
-    tag = row_tag or xml_row_tag(spark, path)
+    """Records under any of the record tags, in the order of the file. With one tag (given or found) Spark's reader cuts them."""
+    tags = [row_tag] if row_tag else xml_row_tags(spark, path)
+    if len(tags) > 1:
+        parsed = F.from_xml("value", _record_schema(), {"rowTag": "record", "mode": "PERMISSIVE"})
+        rows = xml_records(spark, path).select(parsed.alias("r"), "src_file", "src_pos").select("r.*", "src_file", "src_pos")
+        return _map_records(rows, _xml_list)
     rows = (
-        spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").schema(_record_schema()).load(path)
+        spark.read.format("xml").option("rowTag", tags[0]).option("mode", "PERMISSIVE").schema(_record_schema()).load(path)
     )
     return _map_records(_with_position(rows), _xml_list)
 
@@ -288,5 +331,5 @@ __all__ = [
     "read_ledger_json",
     "read_ledger_xml",
     "record_kind",
-    "xml_row_tag",
+    "xml_row_tags",
 ]
