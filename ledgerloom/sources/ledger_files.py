@@ -80,8 +80,7 @@ def _quotes(value: str) -> Column:
 def _placed(spark: SparkSession, path, end: str, weight: Column) -> DataFrame:
     """(src_file, block, line, src_pos, value, weight, up_to, in_file): texts cut at `end`, in the order of the file by src_pos.
 
-    up_to is the sum of weights up to and with this piece, in_file that of the file: running sums inside each block of the
-    file, and the sums of whole blocks before it. No window holds more than a block of a file.
+    up_to is the sum of weights up to and with this piece, in_file that of the file.
     """
     # places are kept, as they depend on how a read is split
     pieces = cut(
@@ -93,27 +92,27 @@ def _placed(spark: SparkSession, path, end: str, weight: Column) -> DataFrame:
             weight.cast("long").alias("weight"),
         )
     )
-    blocks = pieces.groupBy("src_file", "block").agg(F.sum("weight").alias("held"), F.min("line").alias("first_line"))
+    # a block holds fewer pieces than bytes, so its first byte and the number of the piece make one rising place
+    first = F.min("line").over(Window.partitionBy("src_file", "block"))
+    return _running(pieces, "weight", "up_to", "in_file").withColumn("src_pos", F.col("block") + F.col("line") - first)
+
+
+def _running(pieces: DataFrame, weight: str, name: str, total: str) -> DataFrame:
+    """pieces with the sum of a column up to and with each piece of its file, and that of the whole file.
+
+    Running sums inside each block of the file, and the sums of whole blocks before it: no window holds more than a block.
+    """
+    blocks = pieces.groupBy("src_file", "block").agg(F.sum(weight).alias("_held"))
     before = Window.partitionBy("src_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
         "src_file",
         "block",
-        "first_line",
-        F.coalesce(F.sum("held").over(before), F.lit(0)).alias("so_far"),
-        F.sum("held").over(Window.partitionBy("src_file")).alias("in_file"),
+        F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_so_far"),
+        F.sum("_held").over(Window.partitionBy("src_file")).alias(total),
     )
-    # a block holds fewer pieces than bytes, so its first byte and the number of the piece make one rising place
     in_block = Window.partitionBy("src_file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return pieces.join(blocks, ["src_file", "block"]).select(
-        "src_file",
-        "block",
-        "line",
-        (F.col("block") + F.col("line") - F.col("first_line")).alias("src_pos"),
-        "value",
-        "weight",
-        (F.col("so_far") + F.sum("weight").over(in_block)).alias("up_to"),
-        "in_file",
-    )
+    summed = pieces.join(blocks, ["src_file", "block"]).withColumn(name, F.col("_so_far") + F.sum(weight).over(in_block))
+    return summed.drop("_so_far")
 
 
 def csv_records(spark: SparkSession, path) -> DataFrame:
@@ -232,11 +231,44 @@ def json_layout(spark: SparkSession, path) -> str:
     return "lines" if is_record else "wrapped"
 
 
-def read_ledger_json(spark: SparkSession, path) -> DataFrame:
+#: JSON arrays up to this many bytes are read as one document each, larger ones are cut into records first.
+WHOLE_JSON_BYTES = 64 << 20
+
+
+def json_array_records(spark: SparkSession, path) -> DataFrame:
+    """(src_file, src_pos, value): the objects of top-level JSON arrays, in the order of the file, read by many tasks.
+
+    Text is cut at each "}". Two prefix sums over places in the file say where a record ends: the number of quotes (is
+    this brace inside a text?), then the depth of braces, with texts masked. A file that doesn't end with its array fails.
+    """
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    pieces = _placed(spark, path, "}", F.length(bare) - F.length(F.replace(bare, F.lit('"'))))
+    inside = lambda n: F.when(n % 2 == 1, F.lit('"')).otherwise(F.lit(""))
+    outside = F.regexp_replace(F.concat(inside(F.col("up_to") - F.col("weight")), bare, inside(F.col("up_to"))), '"[^"]*"', "")
+    # no brace ends the last piece of a file
+    pieces = pieces.join(pieces.groupBy("src_file").agg(F.max("src_pos").alias("last")), "src_file")
+    closes = (F.col("up_to") % 2 == 0) & (F.col("src_pos") < F.col("last"))
+    opened = F.length(outside) - F.length(F.replace(outside, F.lit("{")))
+    deep = cut(pieces.select("src_file", "block", "line", "src_pos", "value", closes.alias("closes"), (opened - closes.cast("int")).alias("step")))
+    ended = (F.col("closes") & (F.col("depth") == 0)).cast("int")
+    ends = cut(_running(deep, "step", "depth", "left_open").withColumn("end", ended).drop("left_open"))
+    numbered = _running(ends, "end", "ended", "records").withColumn("number", F.col("ended") - F.col("end"))
+    texts = (
+        numbered.groupBy("src_file", "number")
+        .agg(F.max("records").alias("records"), F.min("src_pos").alias("src_pos"), F.sort_array(F.collect_list(F.struct("src_pos", "value"))).alias("parts"))
+        .select("src_file", "src_pos", (F.col("number") == F.col("records")).alias("is_tail"), F.array_join("parts.value", "}").alias("text"))
+    )
+    closed = F.col("text").rlike(r"^\s*(\[\s*)?\]\s*$")
+    broken = F.raise_error(F.concat(F.lit("JSON array without an end: "), "src_file")).cast("boolean")
+    kept = texts.filter(F.when(~F.col("is_tail"), True).when(closed, False).otherwise(broken))
+    return kept.select("src_file", "src_pos", F.concat(F.regexp_replace("text", r"^[\s,\[]+", ""), F.lit("}")).alias("value"))
+
+
+def read_ledger_json(spark: SparkSession, path, whole_up_to: int = WHOLE_JSON_BYTES) -> DataFrame:
     """Top-level array, wrapper object, or one object per line (bad lines are left out).
 
-    A single array or wrapper is one JSON document and so one read task per file; one object
-    per line splits over tasks.
+    One object per line splits over tasks, and so do arrays above whole_up_to bytes; smaller arrays are one document for
+    each file. A wrapper is always one document.
     """
     record = _record_schema()
     layout = json_layout(spark, path)
@@ -248,6 +280,10 @@ def read_ledger_json(spark: SparkSession, path) -> DataFrame:
     # a broken document fails its job instead of turning into nulls
     strict, document = {"mode": "FAILFAST"}, spark.read.text(path, wholetext=True)
     if layout == "array":
+        largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+        if largest > whole_up_to:
+            objects = json_array_records(spark, path).select(F.from_json("value", record, strict).alias("r"), "src_file", "src_pos")
+            return _map_records(objects.select("r.*", "src_file", "src_pos"), split_list)
         rows = document.select(F.inline(F.from_json("value", T.ArrayType(record), strict)))
     else:
         wrappers = [T.StructField(w, T.ArrayType(record)) for w in JSON_WRAPPERS]
