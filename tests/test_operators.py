@@ -329,3 +329,37 @@ def test_counterparties_of_a_wide_transaction_cost_no_pairs(spark):
     family = peers.families(faced)
     assert family.select("family").distinct().count() == 4 and faced.count() == 18_000
     assert peers.unfolded(family, faced, named, sets, ["txid", "direction"]).count() == 10_000  # two families of two sets
+
+
+def test_counterparties_of_small_and_large_sets_together(spark, monkeypatch):
+    from ledgerloom.operators import features, peers
+
+    monkeypatch.setattr(peers, "SMALL", 4)
+    monkeypatch.setattr(peers, "PART", 3)
+    rng = np.random.default_rng(8)
+    legs = [(f"t{rng.integers(120)}", str(rng.choice(["IN", "OUT"])), f"a{rng.integers(40)}") for _ in range(500)]
+    legs += [(t, d, f"a{i}") for t in ("u1", "u2") for d, ids in (("IN", range(12)), ("OUT", range(8, 30))) for i in ids] + legs[:20]
+    legs += [("v", "IN", "one"), *[("v", "OUT", f"p{i}") for i in range(9)], ("w", "IN", "one"), ("w", "OUT", "p3"), ("w", "OUT", "one"), ("w", "OUT", "q")]
+    df = spark.createDataFrame(legs, "txid string, direction string, address string")
+    got = {r.address: r.unique_counterparties for r in features.counterparties(df).collect()}
+    assert got == _brute_peers(legs) and got["one"] == 10
+
+
+def test_counterparties_of_small_transactions_write_no_copies(spark, monkeypatch):
+    """Legs of ordinary transactions were written out several times, with sets and families, before they were counted."""
+    from ledgerloom.operators import features, peers
+
+    written, cut = [], peers.cut
+    monkeypatch.setattr(peers, "cut", lambda df: written.append(df.count()) or cut(df))
+    legs = [(f"t{i}", d, f"{d}{(i * 7 + j) % 50}") for i in range(200) for d, n in (("IN", 1), ("OUT", 4)) for j in range(n)]
+    df = spark.createDataFrame(legs, "txid string, direction string, address string")
+    got = {r.address: r.unique_counterparties for r in features.counterparties(df).collect()}
+    assert got == _brute_peers(legs) and sum(written) == 0
+
+
+def test_nearest_moment_needs_no_frame_to_the_end_of_the_group(spark, capsys):
+    """Such frames are run through again for each row: a day of distinct seconds cost its square."""
+    df = spark.createDataFrame([(i, i % 3 == 0) for i in range(9)], "t long, o boolean")
+    spread.around(df.withColumn("m", F.when(F.col("o"), F.struct("t"))), [], "t", "m").explain()
+    shown = capsys.readouterr().out
+    assert "Window" in shown and "unboundedfollowing" not in shown.lower()
