@@ -303,24 +303,76 @@ def xml_row_tags(spark: SparkSession, path) -> list[str]:
     return names
 
 
+def _xml_chunks(spark: SparkSession, path) -> DataFrame:
+    """(src_file, block, number, src_pos, ended, text): the text of each block of a file, cut after the ends of records.
+
+    number counts the ends before a chunk in its block; only the last chunk of a block is not ended. A task reads its blocks
+    in order and holds one record at a time; the end itself is left out.
+    """
+    end = rf"(?:{'|'.join(XML_ROW_TAGS)})\s*>".encode()
+
+    def chunks(batches):
+        import re
+
+        import pyarrow as pa
+
+        ends, names = re.compile(end, re.IGNORECASE), ["src_file", "block", "number", "src_pos", "ended", "text"]
+        kinds = pa.schema(zip(names, [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()], strict=True))
+        at, place, number, first, parts = None, 0, 0, 0, []
+        for batch in batches:
+            out = []
+            for file, block, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (file, block):
+                    if at is not None:
+                        out.append((*at, number, at[1] + first, False, b"</".join(parts)))
+                    at, place, number, first, parts = (file, block), 0, 0, 0, []
+                if ends.match(value):
+                    if parts:  # a block may begin with an end
+                        out.append((*at, number, at[1] + first, True, b"</".join(parts)))
+                    number, first, parts = number + 1, place, [value[value.index(b">") + 1 :]]
+                else:
+                    parts.append(value)
+                place += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+        if at is not None:
+            last = (*at, number, at[1] + first, False, b"</".join(parts))
+            yield pa.RecordBatch.from_arrays([pa.array([c], k.type) for c, k in zip(last, kinds, strict=True)], schema=kinds)
+
+    pieces = spark.read.text(path, lineSep="</").select(
+        F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value")
+    )
+    found = pieces.mapInArrow(chunks, "src_file string, block long, number long, src_pos long, ended boolean, text binary")
+    return found.withColumn("text", F.col("text").cast("string"))
+
+
 def xml_records(spark: SparkSession, path) -> DataFrame:
     """(src_file, src_pos, value): each record element of any of the record tags, whole, in the order of the file.
 
-    Text is cut at each "</"; a piece that begins with a record tag ends a record. The number of ends before a piece is a
-    prefix sum over places in the file, and names the record that the piece belongs to, so files stay split over tasks.
-    Record tags aren't nested.
+    Records that lie whole in a block stay where they are read. Only the first and the last chunk of a block are shuffled: the
+    number of ends in earlier blocks names the record that they belong to. Record tags aren't nested.
     """
     tags = "|".join(XML_ROW_TAGS)
-    is_end = F.col("value").rlike(rf"(?i)^({tags})\s*>")
-    pieces = _placed(spark, path, "</", is_end.cast("int"))
-    # the end itself belongs to the record before; what follows begins the next
-    tail = F.when(F.col("weight") == 1, F.regexp_replace("value", r"^[^>]*>", "")).otherwise(F.col("value"))
-    texts = (
-        pieces.filter(F.col("up_to") < F.col("in_file"))
-        .groupBy("src_file", F.col("up_to").alias("number"))
-        .agg(F.min("src_pos").alias("src_pos"), F.sort_array(F.collect_list(F.struct("src_pos", tail.alias("text")))).alias("parts"))
+    chunks = _xml_chunks(spark, path)
+    whole = chunks.filter("ended AND number > 0").select("src_file", "src_pos", "text")
+    by_block = Window.partitionBy("src_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    edges = cut(chunks.filter("NOT ended OR number = 0"))  # at most two for each block, read twice
+    blocks = edges.filter("NOT ended").select("src_file", "block", F.col("number").alias("_held"))
+    blocks = blocks.select(
+        F.col("src_file").alias("_file"),
+        F.col("block").alias("_block"),
+        F.coalesce(F.sum("_held").over(by_block), F.lit(0)).alias("_so_far"),
+        F.sum("_held").over(Window.partitionBy("src_file")).alias("_in_file"),
+    )
+    edges = edges.join(blocks, (F.col("src_file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    spread = (
+        edges.withColumn("number", F.col("number") + F.col("_so_far"))
+        .filter(F.col("number") < F.col("_in_file"))
+        .groupBy("src_file", "number")
+        .agg(F.min("src_pos").alias("src_pos"), F.sort_array(F.collect_list(F.struct("src_pos", "text"))).alias("parts"))
         .select("src_file", "src_pos", F.array_join("parts.text", "</").alias("text"))
     )
+    texts = whole.unionByName(spread)
     body = F.regexp_extract("text", rf"(?is)<({tags})((?:\s[^>]*)?>.*)$", 2)
     return texts.select("src_file", "src_pos", F.concat(F.lit("<record"), body, F.lit("</record>")).alias("value")).filter(body != "")
 

@@ -47,3 +47,14 @@ def test_one_tag_on_a_line_of_its_own(spark, tmp_path):
     path = tmp_path / "o.xml"
     path.write_text("<l>\n<record>\n<txid>a</txid>\n</record>\n<tx\n v='1'><txid>b</txid></tx>\n<record/>\n</l>")
     assert [r.txid for r in lf.read_ledger_xml(spark, str(path)).orderBy("src_pos").collect()][:2] == ["a", "b"]
+
+
+def test_whole_records_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Each piece between two end tags was written out and shuffled."""
+    written, cut = [], lf.cut
+    monkeypatch.setattr(lf, "cut", lambda df: written.append(df.count()) or cut(df))
+    path = tmp_path / "w.xml"
+    path.write_text("<l>" + "".join(f"<{t}><txid>{t}{i}</txid><fee>1</fee></{t}>" for i in range(300) for t in ("record", "tx")) + "</l>")
+    rows = lf.read_ledger_xml(spark, str(path)).orderBy("src_pos").collect()
+    assert [r.txid for r in rows] == [f"{t}{i}" for i in range(300) for t in ("record", "tx")]
+    assert sum(written) <= 2 * spark.read.text(str(path), lineSep="</").rdd.getNumPartitions()
