@@ -357,6 +357,30 @@ def test_counterparties_of_small_transactions_write_no_copies(spark, monkeypatch
     assert got == _brute_peers(legs) and sum(written) == 0
 
 
+def test_counterparties_of_missing_ids_and_both_sides(spark):
+    """A missing address is a peer and none of its own; a pair counts once, whichever side each wallet is on."""
+    from ledgerloom.operators import features
+
+    legs = [("t1", "IN", "a"), ("t1", "OUT", "b"), ("t1", "OUT", "a"), ("t1", "OUT", None), ("t2", "IN", "b"), ("t2", "OUT", "a"), ("t2", "IN", None), (None, "IN", "a"), (None, "OUT", "z")]
+    df = spark.createDataFrame(legs + legs[:3], "txid string, direction string, address string")
+    got = {r.address: r.unique_counterparties for r in features.counterparties(df).collect()}
+    assert got == {"a": 2, "b": 1}
+
+
+def test_wallet_features_shuffle_each_leg_few_times(spark, capsys):
+    """Pairs went both ways, legs were dealt anew for each join, and each network cell was tripled for three distinct counts."""
+    from ledgerloom.operators import features
+
+    legs = spark.createDataFrame([("t", "IN", "a", 1.0), ("t", "OUT", "b", 1.0)], "txid string, direction string, address string, amount double")
+    tx = spark.createDataFrame([("t", "2024-01-01")], "txid string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    obs = spark.createDataFrame([("t", "1.1.1.1", "FR", "AS1")], "txid string, src_ip string, country string, asn string")
+    f = features.wallet_features(tx, legs, obs)
+    f.explain()
+    shown = capsys.readouterr().out
+    assert "Expand" not in shown and shown.count("Exchange") <= 16
+    assert [(r.address, r.unique_counterparties, r.graph_degree, r.unique_observed_ips, r.unique_countries, r.foreign_geo_entropy) for r in f.orderBy("address").collect()] == [("a", 1, 2, 1, 1, 0), ("b", 1, 2, 1, 1, 0)]
+
+
 def test_nearest_moment_needs_no_frame_to_the_end_of_the_group(spark, capsys):
     """Such frames are run through again for each row: a day of distinct seconds cost its square."""
     df = spark.createDataFrame([(i, i % 3 == 0) for i in range(9)], "t long, o boolean")
