@@ -381,6 +381,48 @@ def test_wallet_features_shuffle_each_leg_few_times(spark, capsys):
     assert [(r.address, r.unique_counterparties, r.graph_degree, r.unique_observed_ips, r.unique_countries, r.foreign_geo_entropy) for r in f.orderBy("address").collect()] == [("a", 1, 2, 1, 1, 0), ("b", 1, 2, 1, 1, 0)]
 
 
+def test_tempo_of_small_and_large_groups_agree(spark):
+    """Rows of ordinary wallets were shuffled for seconds, days and wallets in turn."""
+    rng = np.random.default_rng(3)
+    rows = [(f"a{rng.integers(6)}", int(rng.integers(3 * 86_400)) * 500_000) for _ in range(300)] + [("one", 5), ("two", 7), ("two", 7), (None, 1), ("none", None)]
+    df = spark.createDataFrame(rows, "address string, t long")
+    found = [sorted(map(tuple, spread.tempo(df, ["address"], "t", limit).select("address", "n", "lo", "hi", "min_gap_s", "max_gap_s").collect())) for limit in (500_000, 10)]
+    assert found[0] == found[1] and ("two", 2, 7, 7, 0.0, 0.0) in found[0] and ("one", 1, 5, 5, None, None) in found[0] and len(found[0]) == 8
+
+
+def test_others_met_count_as_all_ordered_pairs_do(spark, monkeypatch):
+    """Each pair of members of a transaction was two rows."""
+    from ledgerloom.operators import peers
+
+    rng = np.random.default_rng(4)
+    legs = [(f"t{rng.integers(60)}", f"a{rng.integers(30)}") for _ in range(300)] + [("t1", None), ("t2", None), (None, "a1"), ("not", "a1"), ("not", "a2")]
+    legs = spark.createDataFrame(legs, "txid string, address string")
+    tx = legs.select("txid").filter("txid <> 'not'").distinct()
+    last = legs.join(tx, "txid").groupBy("address").agg(F.max("txid").alias("txid"), F.count("*").alias("n")).filter("n > 3").drop("n")
+    rows = legs.join(tx, "txid").distinct().join(last, ["address", "txid"], "left_anti")
+    want = peers.distinct_peers(rows, legs.withColumnRenamed("address", "peer"), ["txid"], "n").collect()
+    monkeypatch.setattr(peers, "distinct_peers", None)
+    assert sorted(map(tuple, peers.others_met(rows, legs, tx, last, "n").collect())) == sorted(map(tuple, want))
+
+
+def test_points_that_ask_all_cells_go_on_in_small_frames():
+    """A batch of 10,000 points that reach 1,024 cells was one frame of ten million rows, and of matrices of that size."""
+    import pandas as pd
+
+    from ledgerloom.operators import metric_cells as mc
+
+    x, pivots = np.random.default_rng(2).normal(size=(700, 3)), np.random.default_rng(3).normal(size=(200, 3))
+    batch = pd.DataFrame({"pid": [f"p{i}" for i in range(700)], "x": list(x), "reach": np.where(np.arange(700) % 2, np.inf, 0.5)})
+    radius = np.full(200, 0.25)
+    frames = list(mc.cells_in_reach(iter([batch, batch.iloc[:0]]), pivots, radius))
+    assert max(map(len, frames)) <= mc.ROWS < sum(map(len, frames))
+    far = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(axis=2)).round(mc.DIGITS) - radius
+    want = {(f"p{r}", c) for r, c in zip(*np.nonzero(far <= batch["reach"].to_numpy()[:, None] + mc.SLACK))}
+    every = pd.concat(frames)
+    assert len(every) == len(want) and set(zip(every["pid"], every["cell"])) == want
+    assert all((x[int(p[1:])] == v).all() for p, v in zip(every["pid"], every["x"]))
+
+
 def test_nearest_moment_needs_no_frame_to_the_end_of_the_group(spark, capsys):
     """Such frames are run through again for each row: a day of distinct seconds cost its square."""
     df = spark.createDataFrame([(i, i % 3 == 0) for i in range(9)], "t long, o boolean")
