@@ -381,6 +381,34 @@ def test_wallet_features_shuffle_each_leg_few_times(spark, capsys):
     assert [(r.address, r.unique_counterparties, r.graph_degree, r.unique_observed_ips, r.unique_countries, r.foreign_geo_entropy) for r in f.orderBy("address").collect()] == [("a", 1, 2, 1, 1, 0), ("b", 1, 2, 1, 1, 0)]
 
 
+def test_wallet_features_fold_legs_per_transaction_once(spark, monkeypatch):
+    """They were folded once to count a wallet's transactions and again to meet the observations; repeats and missing ids count as before."""
+    from ledgerloom.operators import features
+
+    legs = [("t1", "IN", "a", 1.0), ("t1", "IN", "a", 1.0), ("t1", "OUT", "b", 2.0), ("t2", "OUT", "a", 3.0), ("t3", "IN", "c", 1.0), (None, "IN", "a", 1.0), (None, "OUT", "d", 1.0), ("t2", "IN", None, 1.0)]
+    seen = [("t1", "1.1.1.1", "FR", "AS1"), ("t1", "1.1.1.1", "FR", "AS1"), ("t1", "2.2.2.2", "DE", "UNKNOWN"), ("t1", None, "", None), ("t2", None, None, None), (None, "9.9.9.9", "US", "AS9")]
+    legs = spark.createDataFrame(legs, "txid string, direction string, address string, amount double")
+    tx = spark.createDataFrame([("t1", "2024-01-01"), ("t2", "2024-01-02")], "txid string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    obs = spark.createDataFrame(seen, "txid string, src_ip string, country string, asn string")
+    folds, fold = [], features.wallet_transactions
+    monkeypatch.setattr(features, "wallet_transactions", lambda df: folds.append(1) or fold(df))
+    got = features.wallet_features(tx, legs, obs)
+    assert len(folds) == 1
+    cols = ["address", "tx_count_total", "unique_counterparties", "graph_degree", "unique_observed_ips", "unique_asns", "unique_countries", "foreign_geo_entropy"]
+    bits = -(2 / 3) * np.log2(2 / 3) - (1 / 3) * np.log2(1 / 3)
+    want = [("a", 4, 2, 5, 2, 1, 2, bits), ("b", 1, 1, 2, 2, 1, 2, bits), ("c", 1, 0, 1, 0, 0, 0, 0), ("d", 1, 0, 1, 0, 0, 0, 0)]
+    rows = [tuple(r) for r in got.select(*cols).orderBy("address").collect()]
+    assert [r[:-1] for r in rows] == [w[:-1] for w in want] and np.allclose([r[-1] for r in rows], [w[-1] for w in want])
+
+
+def test_large_groups_are_found_by_their_keys(spark, monkeypatch):
+    """Groups are counted by a short hash first; groups that share one are no large group."""
+    df = spark.createDataFrame([(f"k{i % 10}", None if i % 2 else "x") for i in range(100)], "a string, b string")
+    assert spread.has_large(df, ["a", "b"], 9) and not spread.has_large(df, ["a", "b"], 10)
+    monkeypatch.setattr(spread.F, "hash", lambda *c: F.lit(1))
+    assert spread.has_large(df, ["a", "b"], 9) and not spread.has_large(df, ["a", "b"], 10)
+
+
 def test_tempo_of_small_and_large_groups_agree(spark):
     """Rows of ordinary wallets were shuffled for seconds, days and wallets in turn."""
     rng = np.random.default_rng(3)
